@@ -1 +1,522 @@
-QUERIES = {}
+"""One query per operator, over whole tables. Each has its SQL in ``oracle`` unless SQL can't express it."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tarnbeck.functions import text as tx
+from tarnbeck.functions import vector as vx
+from tarnbeck.lineage import shared_folder
+from tarnbeck.operators import actions, curation, evaluation, retrieval, store
+from tarnbeck.sources import extract, files
+from tarnbeck.streaming import changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+DIM = 64
+FLOORS = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.34, 0.5, 0.75, 0.9]
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+    return f
+
+
+# -- inputs derived from the tables ------------------------------------------
+
+
+def listing(t: Tables) -> DataFrame:
+    """Every ledger row as a listed file."""
+    return t.files.select(F.lit(0).alias("root_no"), "path", "mtime_ns", "size")
+
+
+def asked(t: Tables) -> DataFrame:
+    """A query per anchor: its fact, and as stand-in for its embedding the vector of its file's first chunk."""
+    a = t.anchors.where("id is not null and fact is not null").groupBy("id").agg(F.min("fact").alias("query"), F.min("path").alias("path"), F.min("topic").alias("topic"))
+    first = retrieval.chunk_rows(t.chunks).where(vx.usable(F.col("vector"), DIM)).groupBy("path").agg(F.min_by("vector", F.struct("chunk_index", "chunk_id")).alias("vector"))
+    return a.join(first, "path", "left").select(F.substring("id", 2, 20).cast("long").alias("query_id"), "query", "path", F.coalesce("topic", F.lit("none")).alias("category"), "vector")
+
+
+def scored_pairs(t: Tables) -> DataFrame:
+    return t.pairs.where("query is not null and doc is not null and label is not null").select("pair_id", "label", retrieval.overlap_score(F.col("query"), F.col("doc")).alias("s"))
+
+
+def stored(t: Tables) -> DataFrame:
+    """Documents as files with content."""
+    return t.documents.where("text is not null").select(F.concat("path", F.lit("#"), "doc_id").alias("path"), F.col("modified_at").alias("mtime"), F.octet_length("text").cast("long").alias("size"), F.col("text").alias("content"))
+
+
+def documents(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select("doc_id", "text")
+
+
+def train_texts(t: Tables) -> DataFrame:
+    return t.pairs.select(F.col("pair_id").alias("row_id"), F.col("doc").alias("text"))
+
+
+def held_out(t: Tables) -> DataFrame:
+    return t.probes.select(F.col("probe_id").alias("item_id"), F.col("passage").alias("text"))
+
+
+# -- sources and storage -----------------------------------------------------
+
+
+@query
+def scan_filter(t):
+    return files.scanned(listing(t))
+
+
+@query
+def walk_filter(t):
+    return files.walked(listing(t)).select("path", "mtime_ns", "size").distinct()
+
+
+@query
+def folder_listing(t):
+    """Files directly in each folder, hidden ones left out."""
+    name = tx.base_name(F.col("path"))
+    rows = t.files.where("path is not null").select(F.regexp_extract("path", "^(.*/)[^/]*$", 1).alias("folder"), name.alias("name")).where("name <> '' and name not like '.%'")
+    return rows.distinct().groupBy("folder").agg(F.count("*").alias("n_files"), F.min("name").alias("first_name"))
+
+
+@query
+def ledger_current(t):
+    return store.latest(t.files)
+
+
+@query
+def ledger_changed(t):
+    """Newest state against the ledger as it was half way through the table's time."""
+    half = t.files.where("seen_at < timestamp '2026-01-15 00:00:00'")
+    return store.changed(store.latest(t.files).drop("chunk_count"), store.latest(half)).select("path", "mtime_ns", "size")
+
+
+@query
+def ledger_stale(t):
+    return store.stale(store.latest(t.files), t.chunks.where("path is not null")).select("path", "chunk_count")
+
+
+@query
+def stored_counts(t):
+    return store.latest(t.files).groupBy(tx.suffix(F.col("path")).alias("suffix")).agg(F.count("*").alias("n_files"), F.sum(F.coalesce("chunk_count", F.lit(0))).alias("n_chunks"))
+
+
+@query
+def chunk_count_drift(t):
+    """Ledger against the chunks that are there."""
+    there = retrieval.chunk_rows(t.chunks).groupBy("path").agg(F.count("*").alias("n_there"))
+    joined = store.latest(t.files).join(there, "path", "full")
+    return joined.select("path", "chunk_count", F.coalesce("n_there", F.lit(0)).alias("n_there")).where("not (chunk_count <=> cast(n_there as int))")
+
+
+@query
+def upsert_result(t):
+    """Chunks after all documents were stored as files."""
+    incoming = store.chunked(t.documents.groupBy("path").agg(F.max_by("text", F.struct("modified_at", "doc_id")).alias("text")))
+    return store.replaced(t.chunks.select("path", "chunk_index", "text"), incoming, t.documents.where("path is not null")).select("path", "chunk_index", "text")
+
+
+@query
+def remove_result(t):
+    gone = store.latest(t.files).where("size = 0")
+    return store.removed(t.chunks.select("chunk_id", "path"), gone)
+
+
+@query
+def corpus_union(t):
+    """Chunks and documents as one corpus by path; where both have a path, the later one wins."""
+    a = t.chunks.where("path is not null and text is not null").select("path", "text", F.col("indexed_at").alias("at"), F.col("chunk_id").alias("id"), F.lit("chunk").alias("kind"))
+    b = t.documents.where("path is not null and text is not null").select("path", "text", F.col("modified_at").alias("at"), F.col("doc_id").alias("id"), F.lit("document").alias("kind"))
+    last = a.unionByName(b).groupBy("path").agg(F.max(F.struct("kind", F.coalesce("at", F.timestamp_micros(F.lit(0))).alias("at"), "id")).alias("k"), F.count("*").alias("n"))
+    return last.select("path", "k.kind", "k.id", "n")
+
+
+@query
+def extracted_text(t):
+    """Documents written out as bytes and read back by the extraction function."""
+    rows = t.documents.where("text is not null").select("doc_id", extract.extract_text(F.lit("x.txt"), F.encode("text", "UTF-8")).alias("text"))
+    return rows.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
+
+
+@query
+def json_rows(t):
+    """Pairs as JSON lines and back with a declared schema."""
+    schema = "anchor_id string, path string, topic string, style string, query string, doc string, label int"
+    cols = [c.split()[0] for c in schema.split(", ")]
+    lines = t.pairs.select("pair_id", F.to_json(F.struct(*cols)).alias("line"))
+    return lines.select("pair_id", F.from_json("line", schema).alias("r")).select("pair_id", "r.path", "r.query", "r.label", F.md5("r.doc").alias("doc_md5"))
+
+
+# -- text --------------------------------------------------------------------
+
+
+@query
+def chunk_documents(t):
+    return documents(t).select("doc_id", F.posexplode(F.expr(tx.chunks_sql("text"))).alias("chunk_index", "chunk"))
+
+
+@query
+def long_split(t):
+    return documents(t).where(f"length(text) > {tx.LONGEST}").select("doc_id", F.posexplode(F.expr(tx.long_pieces_sql("text"))).alias("piece_index", "piece"))
+
+
+@query
+def clean_tail(t):
+    return documents(t).select("doc_id", F.expr(tx.tail_sql("text")).alias("tail"))
+
+
+@query
+def normalised_queries(t):
+    q = F.col("query")
+    return t.pairs.where("query is not null").select("pair_id", tx.normal_text(q).alias("normal"), tx.normal_query(q).alias("bare"), tx.search_text(q).alias("searched"))
+
+
+@query
+def distinctive_tokens(t):
+    raw = train_texts(t).where("text is not null").select(F.explode(F.array_distinct(tx.identifiers(F.col("text")))).alias("raw"))
+    return raw.where(tx.distinctive(F.col("raw"))).groupBy(F.lower("raw").alias("token")).agg(F.count("*").alias("n_texts"))
+
+
+@query
+def path_parts(t):
+    p = F.col("path")
+    return t.files.where("path is not null").select("path", tx.base_name(p).alias("base"), tx.parent_name(p).alias("parent"), tx.suffix(p).alias("suffix")).distinct()
+
+
+@query
+def embed_headers(t):
+    rows = t.chunks.where("path is not null and text is not null")
+    return rows.select("chunk_id", tx.shown_name(F.col("name"), F.col("path")).alias("shown"), F.md5(tx.embed_text(F.col("path"), F.col("text"))).alias("md5"))
+
+
+@query
+def safe_names(t):
+    name = F.concat_ws(" ", "fact", "value")
+    return t.anchors.where("id is not null").select("id", tx.safe_name(name, F.lit(".md")).alias("name")).distinct()
+
+
+@query
+def json_in_text(t):
+    reply = F.concat(F.lit("Sure:\n"), F.to_json(F.struct(F.col("query").alias("name"))), F.lit("\nDone."))
+    return t.pairs.where("query is not null").select("pair_id", tx.name_in_reply(reply).alias("name"))
+
+
+@query
+def rewritten_queries(t):
+    reply = F.concat(F.lit(' "'), F.col("query"), F.lit('"\nsecond line'))
+    return t.pairs.where("query is not null and anchor_id is not null").select("pair_id", tx.rewritten(reply, F.col("anchor_id")).alias("query"))
+
+
+@query
+def query_templates(t):
+    """Queries made from a fact and its value without a model."""
+    fact = F.regexp_replace("fact", "(what |when |who |which )", "")
+    words = F.filter(F.split("fact", r"\s+"), lambda w: w != "")
+    last = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), n), " ")
+    keyword = F.when(F.length("value") <= 24, F.col("value")).otherwise(last(4))
+    rows = t.anchors.where("id is not null and fact is not null").select("id", keyword.alias("keyword"), F.concat("fact", F.lit("?")).alias("natural"), F.concat(F.lit("can you remind me "), fact).alias("paraphrase"), F.lower(last(3)).alias("partial"))
+    return rows.distinct()
+
+
+@query
+def shown_sizes(t):
+    return store.latest(t.files).where("size is not null").select("path", tx.shown_size(F.col("size")).alias("shown"))
+
+
+# -- retrieval ---------------------------------------------------------------
+
+
+@query
+def token_stats(t):
+    p = retrieval.postings(retrieval.chunk_rows(t.chunks), "text")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def bm25_topk(t):
+    hits = retrieval.text_list(asked(t), retrieval.chunk_rows(t.chunks))
+    return hits.select("query_id", "chunk_id", "bm25", "fts_rank")
+
+
+@query
+def cosine_topk(t):
+    return retrieval.vector_list(asked(t), retrieval.chunk_rows(t.chunks), DIM).select("query_id", "chunk_id", "score", "vec_rank")
+
+
+def fused(t):
+    q, rows = asked(t), retrieval.chunk_rows(t.chunks)
+    return retrieval.with_scores(retrieval.fuse(retrieval.vector_list(q, rows, DIM), retrieval.text_list(q, rows)), q, rows, DIM)
+
+
+@query
+def rrf_fusion(t):
+    return fused(t).select("query_id", "chunk_id", "rrf", "score", "fts_rank")
+
+
+@query
+def confidence_floor(t):
+    return retrieval.pooled(retrieval.confident(fused(t))).select("query_id", "chunk_id", "pool_rank")
+
+
+@query
+def rerank_default(t):
+    pool = retrieval.pooled(retrieval.confident(fused(t)))
+    return retrieval.reranked(pool, retrieval.overlap_score(F.col("query"), F.col("text"))).select("query_id", "chunk_id", "rerank", "place")
+
+
+@query
+def per_file_cap(t):
+    pool = retrieval.pooled(retrieval.confident(fused(t)))
+    return retrieval.capped(retrieval.reranked(pool, None)).select("query_id", "ref", "chunk_id", "path")
+
+
+def hits(t, k=None):
+    return retrieval.search(asked(t), t.chunks, k, DIM)
+
+
+@query
+def hybrid_search(t):
+    return hits(t).select("query_id", "ref", "chunk_id", "path", "name", "score", "rrf", "fts_rank", "rerank")
+
+
+@query
+def hit_citations(t):
+    return retrieval.citations(hits(t))
+
+
+@query
+def context_blocks(t):
+    return retrieval.context(hits(t)).select("query_id", F.md5("context").alias("md5"), F.length("context").alias("n_chars"))
+
+
+@query
+def history_window(t):
+    """The last turns about each file: mined queries in order, positives as users', negatives as assistants'."""
+    role = F.when(F.col("label") == 1, "user").when(F.col("label") == 0, "assistant").otherwise("system")
+    turns = t.pairs.where("path is not null").select(F.col("path").alias("conv_id"), F.col("pair_id").alias("turn"), role.alias("role"), F.col("query").alias("content"))
+    return actions.answers_at(turns)
+
+
+# -- evaluation --------------------------------------------------------------
+
+
+def ranks(t):
+    q = asked(t).select("query_id", F.array("path").alias("accept"), "category")
+    return evaluation.gold_ranks(q, hits(t, 10))
+
+
+@query
+def metrics_by_category(t):
+    return evaluation.metrics(ranks(t))
+
+
+@query
+def probe_rejection(t):
+    """Held-out probes by category: how many find no chunk that has all their words."""
+    q = t.probes.where("query is not null").select(F.col("probe_id").alias("query_id"), "query", "category")
+    words = q.select("query_id", F.explode(F.array_distinct(tx.terms(F.col("query")))).alias("term"))
+    need = words.groupBy("query_id").agg(F.count("*").alias("need"))
+    got = retrieval.postings(retrieval.chunk_rows(t.chunks), "text").join(F.broadcast(words), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("got"))
+    return evaluation.rejection(q.select("query_id", "category"), got.join(need, "query_id").where("got >= need"))
+
+
+@query
+def two_hop(t):
+    """Two anchors of a topic as one question: are the files of both found?"""
+    q = asked(t).where("path is not null")
+    after = F.lead("path").over(Window.partitionBy("category").orderBy("query_id"))
+    probes = q.withColumn("second", after).where("second is not null and second <> path").select("query_id", F.array("path", "second").alias("accept"))
+    return evaluation.both_found(probes, hits(t))
+
+
+@query
+def percentile_nearest(t):
+    style = F.coalesce(F.lower(F.trim("style")), F.lit("none"))
+    rows = t.pairs.select(style.alias("style"), F.length("query").alias("n"))
+    return evaluation.percentile(rows, ["style"], "n", [50, 95, 99])
+
+
+@query
+def floor_sweep(t):
+    return evaluation.sweep(scored_pairs(t), FLOORS, 0.5)
+
+
+@query
+def calibrate_floor(t):
+    return evaluation.calibrate(scored_pairs(t))
+
+
+@query
+def dataset_summary(t):
+    return evaluation.summary(t.pairs, ["split"])
+
+
+@query
+def topic_summary(t):
+    return evaluation.summary(t.pairs, ["topic", "style"])
+
+
+@query
+def stale_counts(t):
+    """How far the stored character counts are from the texts."""
+    return evaluation.parity(t.documents.withColumn("n", F.length("text").cast("long")), "n", "n_chars")
+
+
+# -- curation ----------------------------------------------------------------
+
+
+@query
+def mine_pairs(t):
+    q = asked(t).where("path is not null")
+    pool = retrieval.mining_pool(q, t.chunks, dim=DIM)
+    return curation.mined(pool, q.select("query_id", "path"), retrieval.chunk_rows(t.chunks)).select("query_id", "label", "chunk_id")
+
+
+@query
+def drop_known(t):
+    return curation.drop_known_queries(t.pairs.where("query is not null"), t.probes).select("pair_id")
+
+
+@query
+def doc_split(t):
+    return curation.split_by_path(t.pairs).select("pair_id", "path", "part")
+
+
+@query
+def val_unseen(t):
+    return curation.unseen(t.pairs.where("split = 'val' and query is not null"), t.pairs.where("split = 'train'")).select("pair_id", "query")
+
+
+@query
+def shared_queries(t):
+    """Queries that both training and validation rows have."""
+    a, b = (t.pairs.where(f"split = '{s}' and query is not null").select("query") for s in ("train", "val"))
+    return a.intersect(b)
+
+
+@query
+def todo_anchors(t):
+    """Anchor and style pairs not mined yet: all of them less those in the pairs."""
+    styles = F.explode(F.array(*(F.lit(s) for s in ("keyword", "natural", "paraphrase", "partial"))))
+    every = t.anchors.where("id is not null").select("id", styles.alias("style")).distinct()
+    done = t.pairs.select(F.col("anchor_id").alias("id"), "style").where("id is not null and style is not null").distinct()
+    return every.join(done, ["id", "style"], "left_anti")
+
+
+@query
+def typo_variants(t):
+    return curation.typo_rows(t.pairs.where("split = 'train'")).select("pair_id", "query", "style")
+
+
+@query
+def capped_negatives(t):
+    return curation.cap_negatives(t.pairs).select("pair_id", "label")
+
+
+@query
+def ranking_groups(t):
+    g = curation.ranking_groups(t.pairs)
+    return g.select("query", F.md5("positive").alias("positive"), F.transform("negatives", lambda d: F.md5(d)).alias("negatives"))
+
+
+@query
+def example_triples(t):
+    e = curation.last_examples(t.pairs)
+    return e.select("query", F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
+
+
+@query
+def first_passages(t):
+    """Nested passages of each file: its first positive and first two negatives; files without a positive are skipped."""
+    first = curation.cap_negatives(t.pairs.withColumn("query", F.col("path")).where("path is not null"), 2)
+    g = first.groupBy("path").agg(F.min(F.when(F.col("label") == 1, F.col("pair_id"))).alias("positive"), F.array_sort(F.collect_list(F.when(F.col("label") == 0, F.col("pair_id")))).alias("neg"))
+    return g.where("positive is not null").select("path", "positive", F.explode_outer(F.slice("neg", 1, 2)).alias("negative"))
+
+
+@query
+def leak_exact(t):
+    return curation.same_text(train_texts(t), held_out(t))
+
+
+@query
+def leak_contained(t):
+    return curation.contained(train_texts(t), held_out(t))
+
+
+@query
+def leak_tokens(t):
+    return curation.shared_identifiers(train_texts(t), held_out(t))
+
+
+# -- plans for files ---------------------------------------------------------
+
+
+@query
+def dedupe_groups(t):
+    return actions.duplicates(stored(t))
+
+
+@query
+def dedupe_plan(t):
+    return actions.trash_plan(stored(t))
+
+
+@query
+def organise_by_type(t):
+    return actions.move_plan(store.latest(t.files).select("path", F.lit(None).cast("timestamp").alias("mtime")), "by-type")
+
+
+@query
+def organise_by_date(t):
+    return actions.move_plan(t.documents.where("path is not null").select("path", F.col("modified_at").alias("mtime")).distinct(), "by-date")
+
+
+def flat_plan(t):
+    """Moving every file's newest state into one folder, which makes names collide."""
+    current = store.latest(t.files)
+    plan = current.select(F.col("path").alias("src"), F.concat(F.lit("all/"), tx.base_name(F.col("path"))).alias("dest"))
+    return actions.checked(plan, t.chunks.where("path is not null").select("path"))
+
+
+@query
+def plan_validation(t):
+    return flat_plan(t)
+
+
+@query
+def plan_outcome(t):
+    folder = F.regexp_extract("src", "^([^/]*)/", 1)
+    return flat_plan(t).groupBy(folder.alias("folder")).agg(F.count_if(F.col("problem").isNull()).alias("ok"), F.count("*").alias("total"))
+
+
+# -- change feed -------------------------------------------------------------
+
+
+@query
+def change_debounce(t):
+    return changes.debounced(t.events, "user_id", "ts", 2)
+
+
+@query
+def stream_debounce(t):
+    """The same over a stream of the table's file, all of it, as one available-now run."""
+    source = t.events
+    folder = tempfile.mkdtemp() if not t.spark.conf.get("spark.checkpoint.dir", None) else shared_folder(t.spark)
+    name = f"debounce_{abs(hash((t.folder, folder, id(source)))):x}"
+    stream = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
+    run = changes.debounced(stream, "user_id", "ts", 2).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.table(name)
