@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import ceil
 
 import ahocorasick
 import numpy as np
@@ -22,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnbeck.lineage import Stages
+
 from .common import Frequencies, hash_words, words
 
 KEYED = "row_id long, side int, key binary, text string, routes array<long>"
@@ -48,18 +49,21 @@ def keyed(rows: DataFrame, frequencies: Frequencies, share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Frequencies(shared.value)
         for batch in batches:
-            out: dict[str, list] = {"row_id": [], "side": [], "key": [], "text": [], "routes": []}
-            for row, side, query in zip(*(c.to_pylist() for c in batch.columns)):
-                ws = sorted(words(query))
-                if not ws:
-                    continue
-                hashes = hash_words(numbered(ws))
-                order = np.lexsort((hashes, counts.of(hashes)))[: len(ws) - ceil(share * len(ws) - 1e-9) + 1]
-                digits = hash_words([" ".join(w for w in ws if any(c.isdigit() for c in w))])[0]
-                text = " ".join(ws)
-                for k, v in (("row_id", row), ("side", side), ("key", hashlib.md5(text.encode(), usedforsecurity=False).digest()), ("text", text), ("routes", (hashes[order] * np.uint64(3) + digits).view(np.int64).tolist())):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("row_id", pa.int64()), ("side", pa.int32()), ("key", pa.binary()), ("text", pa.string()), ("routes", pa.list_(pa.int64()))]))
+            split = [sorted(words(q)) for q in batch.column(2).to_pylist()]
+            has = [i for i, ws in enumerate(split) if ws]
+            n = np.array([len(split[i]) for i in has], np.int64)
+            hashes = hash_words([w for i in has for w in numbered(split[i])])
+            digits = hash_words([" ".join(w for w in split[i] if any(c.isdigit() for c in w)) for i in has])
+            owner = np.repeat(np.arange(len(has)), n)
+            order = np.lexsort((hashes, counts.of(hashes), owner))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+            prefix = n - np.ceil(share * n - 1e-9).astype(np.int64) + 1
+            kept = order[place < prefix[owner]]  # owner is sorted, so it is the owner of order too
+            routes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(prefix)]), pa.int32()), pa.array((hashes[kept] * np.uint64(3) + digits[owner[kept]]).view(np.int64)))
+            texts = [" ".join(split[i]) for i in has]
+            keys = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in texts]
+            at = pa.array(has, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary()), pa.array(texts, pa.string()), routes], names=["row_id", "side", "key", "text", "routes"])
 
     return rows.mapInArrow(run, KEYED)
 
@@ -120,7 +124,7 @@ def find_overlaps(pairs: DataFrame, share: float = 0.75, shards: int | None = No
     named = rows.select("row_id", "split", "style")
     rows = rows.select("row_id", "side", "query")
     frequencies = Frequencies.count(rows.select("query"), tokens_of, bits=22)
-    marked = keyed(rows, frequencies, share)
+    marked = Stages(spark, "overlap").keep(keyed(rows, frequencies, share))
     distinct = marked.groupBy("key", "side").agg(F.first("text").alias("text"), F.first("routes").alias("routes"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     routed = distinct.select("key", "side", "text", F.explode("routes").alias("route")).withColumn("shard", F.pmod("route", F.lit(n)).cast("int"))
