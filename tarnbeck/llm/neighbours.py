@@ -1,15 +1,17 @@
 """The k most similar vectors of every vector, by balanced posting lists.
 
-Centroids are fitted on a bounded sample. Every vector is stored in the list
-of its nearest centroid and, near a boundary, in further lists. A graph over
-the centroids (each knows its nearest ones) finds a query's nearest centroid
-by a greedy walk and the lists around it; lists much farther than the nearest
-are pruned by a distance ratio. Lists that lie together form regions: vectors
-are shipped once per region they are needed in, not once per list.
+Equal vectors are handled as one. Centroids are fitted on a bounded sample.
+Every vector is stored in the list of its nearest centroid and, near a
+boundary, in a further list. A graph over the centroids (each knows its nearest
+ones) finds a query's nearest centroid by a greedy walk and the lists around
+it; lists much farther than the nearest are pruned by a distance ratio. Lists
+that lie together form a region; a vector is shipped once to every region
+in which some query may search a list of its, and is a query in its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tarnbeck.functions.vector import cosine
 from tarnbeck.lineage import Stages
 
 SCALE = 32767.0
@@ -25,23 +29,25 @@ SCALE = 32767.0
 
 @dataclass(frozen=True)
 class Settings:
-    """list_size: vectors a list; most_lists, least_lists: lists searched a query; ratio: distance up to which a list is searched,
-    against the nearest; closure: the same for storing in up to most_copies lists; region_lists: lists a region;
-    sample: vectors the centroids are fitted on; most_centroids: bounds what every worker holds."""
-
-    list_size: int = 250
-    most_lists: int = 112
-    least_lists: int = 12
+    """list_size: vectors a list; hood_lists: lists around a centroid, of which a query searches its own nearest most_lists, and at least least_lists; ratio: distance up to which a list is searched,
+    against the nearest; closure: the same for storing in up to most_copies lists; region_lists: lists a region, and least_regions
+    of them for parallel work; sample: vectors the centroids are fitted on; most_centroids: bounds what every worker holds."""
+
+    list_size: int = 500
+    most_lists: int = 56
+    hood_lists: int = 256
+    least_lists: int = 8
     ratio: float = 1.6
-    closure: float = 1.02
+    closure: float = 1.005
     most_copies: int = 2
-    region_lists: int = 100
+    region_lists: int = 200
+    least_regions: int = 8
     sample: int = 40_000
     most_centroids: int = 16_384
 
 
 def packed(df: DataFrame, dim: int) -> DataFrame:
-    """(id, v): the usable vectors at unit length as 16-bit integers."""
+    """(id, v, h): the usable vectors at unit length as 8-bit integers, and a digest of them with 16 bits an element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -55,14 +61,15 @@ def packed(df: DataFrame, dim: int) -> DataFrame:
             x = x[good] / peak[good, None]
             x /= np.linalg.norm(x, axis=1)[:, None]
             q = np.rint(x * SCALE).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep[good])), pa.array([r.tobytes() for r in q], pa.binary())], names=["id", "v"])
+            digests = [hashlib.md5(r.tobytes(), usedforsecurity=False).digest() for r in q]
+            data = [r.tobytes() for r in np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True, initial=1e-9))).astype(np.int8)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep[good])), pa.array(data, pa.binary()), pa.array(digests, pa.binary())], names=["id", "v", "h"])
 
-    return df.mapInArrow(run, "id long, v binary")
+    return df.mapInArrow(run, "id long, v binary, h binary")
 
 
 def unpack(column: pa.Array, dim: int) -> np.ndarray:
-    data = b"".join(column.to_pylist())
-    x = np.frombuffer(data, np.int16).reshape(-1, dim).astype(np.float32)
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
 
 
@@ -73,15 +80,18 @@ class Index:
         rng = np.random.default_rng(7)
         k = int(min(max(1, round(total / s.list_size)), s.most_centroids, max(1, len(sample) // 4)))
         self.centroids = self.fit(sample, k, rng)
-        degree = min(k, s.most_lists + 48)
+        degree = min(k, s.hood_lists)
         self.near = np.empty((k, degree), np.int32)
         for a in range(0, k, 1024):
             sims = self.centroids[a : a + 1024] @ self.centroids.T
             self.near[a : a + 1024] = np.argsort(-sims, axis=1)[:, :degree]
         self.pivots = rng.choice(k, min(k, max(1, int(np.sqrt(k)))), replace=False)
-        regions = max(1, -(-k // s.region_lists))
-        self.region = self.balanced(self.fit(self.centroids, regions, rng), -(-k // regions)) if regions > 1 else np.zeros(k, np.int32)
+        regions = max(-(-k // s.region_lists), min(s.least_regions, k))
+        self.region = self.balanced(self.fit(self.centroids, regions, rng), -(-k // regions))
         self.regions = regions
+        # the regions in which a list may be searched: those of the centroids that have it around them
+        pairs = np.unique(self.near.astype(np.int64) * regions + self.region[:, None])
+        self.asked_in, self.asked_at = pairs % regions, np.searchsorted(pairs // regions, np.arange(k + 1))
 
     @staticmethod
     def fit(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -120,212 +130,212 @@ class Index:
             nodes, starts = np.unique(at[order], return_index=True)
             best = np.empty(len(order), np.int64)
             for node, a, b in zip(nodes, starts, [*starts[1:], len(order)]):
-                hood = self.near[node, :48]
+                hood = self.near[node, :32]
                 best[a:b] = hood[np.argmax(x[order[a:b]] @ self.centroids[hood].T, axis=1)]
             moved = best != at[order]
             at[order] = best
             active = order[moved]
         return at
 
-    def around(self, x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each row: similarities to the lists around it, those lists, nearest first."""
+    def around(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row: similarities to the n nearest lists, and those lists, nearest first."""
         at = self.walk(x)
-        width = self.near.shape[1]
-        sims, lists = np.empty((len(x), width), np.float32), np.empty((len(x), width), np.int32)
+        n = min(n, self.near.shape[1])
+        sims, lists = np.empty((len(x), n), np.float32), np.empty((len(x), n), np.int32)
         order = np.argsort(at, kind="stable")
         nodes, starts = np.unique(at[order], return_index=True)
         for node, a, b in zip(nodes, starts, [*starts[1:], len(order)]):
-            hood = self.near[node]
-            sims[order[a:b]] = x[order[a:b]] @ self.centroids[hood].T
-            lists[order[a:b]] = hood
-        rank = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(sims, rank, 1), np.take_along_axis(lists, rank, 1), at
+            hood = self.near[node, :48]
+            found = x[order[a:b]] @ self.centroids[hood].T
+            top = np.argsort(-found, axis=1, kind="stable")[:, :n]
+            sims[order[a:b]], lists[order[a:b]] = np.take_along_axis(found, top, 1), hood[top]
+        return sims, lists
 
 
-ROUTED = "region int, role int, id long, v binary, lists array<int>, floor float"
+ROUTED = "region int, rep long, ids array<long>, v binary, lists array<int>, home int"
 
 
-def route(vectors: DataFrame, index, dim: int, s: Settings) -> DataFrame:
-    """A row per vector and region: role 0 with the lists that store it, role 1 with the similarity a list needs to be searched."""
+def route(classes: DataFrame, index, dim: int, s: Settings) -> DataFrame:
+    """A row per distinct vector and region that may ask for it: the lists that store it, and its own list if the region is its home, else -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for b in batches:
-            x = unpack(b.column(1), dim)
+            x = unpack(b.column(2), dim)
             if not len(x):
                 continue
-            sims, lists, _ = ix.around(x, s)
+            sims, lists = ix.around(x, s.most_copies)
             far = np.sqrt(np.maximum(2 - 2 * sims, 1e-9))
-            place = np.arange(sims.shape[1])
-            searched = ((far <= s.ratio * far[:, :1]) | (place < s.least_lists)) & (place < s.most_lists)
-            stored = (far[:, : s.most_copies] <= s.closure * far[:, :1]) & searched[:, : s.most_copies]
-            floor = np.where(searched, sims, np.inf).min(axis=1)
-            ids = np.asarray(b.column(0))
-            rows, cols = np.nonzero(stored)
-            home = ix.region[lists[rows, cols]]
-            # role 0: one row per vector and region that stores it
-            key = rows.astype(np.int64) * ix.regions + home
+            rows, cols = np.nonzero(far <= s.closure * far[:, :1])
+            held = lists[rows, cols]
+            n = ix.asked_at[held + 1] - ix.asked_at[held]
+            every = np.repeat(ix.asked_at[held] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key = np.repeat(rows.astype(np.int64), n) * ix.regions + ix.asked_in[every]
             order = np.argsort(key, kind="stable")
             uniq, first = np.unique(key[order], return_index=True)
-            held = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(lists[rows, cols][order], pa.int32()))
-            r0, g0 = uniq // ix.regions, uniq % ix.regions
-            q = np.unique(np.nonzero(searched)[0].astype(np.int64) * ix.regions + ix.region[lists[searched]])
-            r1, g1 = q // ix.regions, q % ix.regions
-            none = pa.array([None] * len(q), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([g0, g1]), pa.int32()),
-                    pa.array(np.repeat([0, 1], [len(r0), len(r1)]), pa.int32()),
-                    pa.array(ids[np.concatenate([r0, r1])], pa.int64()),
-                    b.column(1).take(pa.array(np.concatenate([r0, r1]))),
-                    pa.concat_arrays([held, none]),
-                    pa.array(np.concatenate([np.zeros(len(r0), np.float32), floor[r1]]), pa.float32()),
-                ],
-                names=["region", "role", "id", "v", "lists", "floor"],
-            )
-
-    return vectors.mapInArrow(run, ROUTED)
-
-
-class Region:
-    """The posting lists of one region, and the search in them."""
-
-    def __init__(self, ix: Index, dim: int, k: int) -> None:
-        self.ix, self.dim, self.k = ix, dim, k
-        self.ids, self.x, self.lists = [], [], []
-        self.ready: list | None = None
-
-    def add(self, ids: np.ndarray, x: np.ndarray, lists: list[list[int]]) -> None:
-        self.ids.append(ids)
-        self.x.append(x)
-        self.lists += lists
-
-    def close(self) -> None:
-        ids, x = np.concatenate(self.ids), np.concatenate(self.x)
-        owner = np.repeat(np.arange(len(ids)), [len(n) for n in self.lists])
-        which = np.concatenate([np.asarray(n) for n in self.lists])
-        order = np.argsort(which, kind="stable")
-        names, starts = np.unique(which[order], return_index=True)
-        self.ready = [(name, ids[owner[order[a:b]]], x[owner[order[a:b]]]) for name, a, b in zip(names, starts, [*starts[1:], len(order)])]
-        self.ids = self.x = self.lists = []
-
-    def search(self, ids: np.ndarray, x: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, neighbour and similarity, at most k a row, best first."""
-        if self.ready is None:
-            self.close()
-        sims = x @ self.ix.centroids[[n for n, _, _ in self.ready]].T
-        thr = np.full(len(x), -2, np.float32)
-        rows, found, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-        pile: list[tuple] = []
-        held = 0
-        # each query's lists from near to far would need a gather a query; lists are taken in the order of how well they fit the whole batch
-        for j in np.argsort(-sims.mean(axis=0)):
-            name, members, vectors = self.ready[j]
-            asks = np.flatnonzero(sims[:, j] >= floor - 1e-6)
-            if not len(asks):
-                continue
-            dots = x[asks] @ vectors.T
-            r, c = np.nonzero(dots > thr[asks, None])
-            row, to = asks[r], members[c]
-            other = to != ids[row]
-            pile.append((row[other], to[other], dots[r, c][other]))
-            held += int(other.sum())
-            if held > 8 * self.k * len(x):
-                rows, found, score = best(np.concatenate([rows, *(p[0] for p in pile)]), np.concatenate([found, *(p[1] for p in pile)]), np.concatenate([score, *(p[2] for p in pile)]), self.k)
-                pile, held = [], 0
-                n = np.bincount(rows, minlength=len(x))
-                last = np.cumsum(n) - 1
-                full = n >= self.k
-                thr[full] = score[last[full]] - 1e-6
-        return best(np.concatenate([rows, *(p[0] for p in pile)]), np.concatenate([found, *(p[1] for p in pile)]), np.concatenate([score, *(p[2] for p in pile)]), self.k)
-
-
-def best(rows: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            stored = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(np.repeat(held, n)[order], pa.int32()))
+            row, region = uniq // ix.regions, uniq % ix.regions
+            home = np.where(ix.region[lists[row, 0]] == region, lists[row, 0], -1)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int32()), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), stored, pa.array(home, pa.int32())], names=["region", "rep", "ids", "v", "lists", "home"])
+
+    return classes.select("rep", "ids", "v").mapInArrow(run, ROUTED)
+
+
+def search(rows: pa.Table, ix: Index, dim: int, k: int, s: Settings, start: int = 4, often: int = 40) -> Iterator[pa.RecordBatch]:
+    """The k best ids for each query of one region: (rep, ids, found, score).
+
+    Queries of one home list are taken together. The k-th best of the ``start``
+    nearest lists is a first bound; of further lists only what reaches the bound is
+    looked at, and the bound is raised after every ``often`` lists.
+    """
+    x, reps, home = unpack(rows["v"].combine_chunks(), dim), np.asarray(rows["rep"]), np.asarray(rows["home"])
+    lists, ids = rows["lists"].combine_chunks(), rows["ids"].combine_chunks()
+    owner = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
+    which = np.asarray(lists.flatten())
+    order = np.argsort(which, kind="stable")
+    member, bounds = owner[order], np.searchsorted(which[order], np.arange(len(ix.centroids) + 1))
+    stored = np.ascontiguousarray(x[member])
+    flat, n_ids = np.asarray(ids.flatten()), np.asarray(ids.value_lengths())
+    id_at = np.cumsum(n_ids) - n_ids
+    by_home = np.argsort(home, kind="stable")
+    homes, starts = np.unique(home[by_home], return_index=True)
+    for c, a, e in zip(homes, starts, [*starts[1:], len(by_home)]):
+        if c < 0:
+            continue
+        asks = by_home[a:e]
+        mine = x[asks]
+        hood = ix.near[c]
+        sims = mine @ ix.centroids[hood].T
+        far = np.sqrt(np.maximum(2 - 2 * sims, 1e-9))
+        limit = np.minimum(np.partition(far, min(s.most_lists, len(hood)) - 1, axis=1)[:, min(s.most_lists, len(hood)) - 1], s.ratio * far.min(axis=1))
+        limit = np.maximum(limit, np.partition(far, min(s.least_lists, len(hood)) - 1, axis=1)[:, min(s.least_lists, len(hood)) - 1])
+        wanted = far <= limit[:, None]
+        wanted[:, :start] = True
+        first = np.concatenate([np.arange(bounds[h], bounds[h + 1]) for h in hood[:start]])
+        dots = mine @ stored[first].T
+        m = s.most_copies * (k + 1)  # a vector may stand here twice, and one is the query
+        thr = np.partition(dots, len(first) - m, axis=1)[:, len(first) - m] if len(first) > m else np.full(len(asks), -2, np.float32)
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        at = np.flatnonzero(dots >= thr[:, None])
+        pile = [(at // len(first), first[at % len(first)], dots.ravel()[at])] if len(first) else []
+        for i in range(start, len(hood) + 1):
+            if i < len(hood):
+                lo, hi = bounds[hood[i]], bounds[hood[i] + 1]
+                q = np.flatnonzero(wanted[:, i])
+                if len(q) and hi > lo:
+                    dots = mine[q] @ stored[lo:hi].T
+                    at = np.flatnonzero(dots >= thr[q, None])
+                    pile.append((q[at // (hi - lo)], lo + at % (hi - lo), dots.ravel()[at]))
+            if (i % often == 0 or i == start or i >= len(hood)) and pile:
+                row, j, score = (np.concatenate(p) for p in zip(*pile))
+                j = member[j]
+                other = j != asks[row]
+                kept = best(*(np.concatenate(z) for z in zip(kept, (row[other], j[other], score[other]))), k, reps)
+                pile = []
+                n = np.bincount(kept[0], minlength=len(asks))
+                full = n >= k
+                thr[full] = np.maximum(thr[full], kept[2][np.cumsum(n)[full] - 1])
+        row, j, score = kept
+        n = n_ids[j]
+        every = np.repeat(id_at[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row, found, score = np.repeat(row, n), flat[every], np.repeat(score, n)
+        few = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, found, score = row[few], found[few], score[few]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(asks)))]), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(reps[asks]), ids.take(pa.array(asks)), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(np.rint(np.clip(score, -1, 1) * 10_000).astype(np.int16)))], names=["rep", "ids", "found", "score"])
+
+
+def best(rows: np.ndarray, found: np.ndarray, score: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row, without repeats, ties by the smaller id."""
-    order = np.lexsort((found, -score, rows))
+    order = np.lexsort((ids[found], -score, rows))
     rows, found, score = rows[order], found[order], score[order]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])  # copies of one vector in two lists have the same score and so stand side by side
+    new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])  # a vector in two lists has the same score twice and so stands side by side
     rows, found, score = rows[new], found[new], score[new]
-    start = np.searchsorted(rows, rows)
-    keep = np.arange(len(rows)) - start < k
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
     return rows[keep], found[keep], score[keep]
 
 
-def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Settings(), block: int = 2048) -> DataFrame:
+def expanded(results: DataFrame, k: int) -> DataFrame:
+    """A row per id and neighbour of (id, ids, found, score): the other ids with an equal vector first, then what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            me = np.asarray(b.column(0))
+            parts = []
+            for i, column in enumerate((1, 2)):
+                n = np.asarray(b.column(column).value_lengths())
+                row = np.repeat(np.arange(len(me)), n)
+                score = np.full(len(row), 10_000) if i == 0 else np.asarray(b.column(3).flatten()).astype(np.int64)
+                parts.append((row, np.full(len(row), i), np.asarray(b.column(column).flatten()), score, np.arange(len(row))))
+            row, part, found, score, place = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            other = found != me[row]
+            row, part, found, score, place = row[other], part[other], found[other], score[other], place[other]
+            order = np.lexsort((place, part, row))
+            row, found, score = row[order], found[order], score[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            keep = rank <= k
+            yield pa.RecordBatch.from_arrays([pa.array(me[row[keep]]), pa.array(found[keep]), pa.array(rank[keep], pa.int32()), pa.array(score[keep] / 10_000)], names=["id", "neighbour", "rank", "cosine"])
+
+    return results.mapInArrow(run, "id long, neighbour long, rank int, cosine double")
+
+
+def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Settings()) -> DataFrame:
     """(id, neighbour, rank, cosine): the k most similar other vectors of every usable vector.
 
     ``df`` needs chunk_id and vector; other columns are ignored. Usable is a
     vector of ``dim`` finite elements that aren't all zero; others (null, of
     another length, with a null or NaN) are neither queries nor neighbours.
-    Ties go to the smaller id, equal vectors are neighbours of each other, and
-    an empty table gives an empty result. Cosines are rounded to four digits (vectors are
-    shipped with 16 bits an element). Approximate: see the README for recall.
+    Equal vectors are neighbours of each other and come first; ties go to the
+    smaller id; an empty table gives an empty result. Cosines are within
+    about 0.002 (vectors are shipped with 8 bits an element). Approximate: see
+    the README for recall. Of many equal vectors only the k + 1 smallest ids
+    are carried along, which is all that any list of k can show.
     """
     spark = df.sparkSession
     stages = Stages(spark, "neighbours")
-    vectors = stages.keep(packed(df.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<float>")), dim))
-    total = vectors.count()
+    vectors = packed(df.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<float>")), dim)
+    first = vectors.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)  # cut before the shuffle, too
+    classes = stages.keep(first.groupBy("h").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min("v").alias("v")))
+    total = classes.count()
     if not total:
         return spark.createDataFrame([], "id long, neighbour long, rank int, cosine double")
     part = min(1.0, settings.sample / total)
-    drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("v").limit(2 * settings.sample).collect()
+    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("v").limit(2 * settings.sample).collect()
     if not drawn:
-        drawn = vectors.select("v").limit(64).collect()
+        drawn = classes.select("v").limit(64).collect()
     sample = unpack(pa.array([bytes(r.v) for r in drawn], pa.binary()), dim)
     ix = Index(sample, total, settings)
     index = spark.sparkContext.broadcast(ix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, region = None, None
-        waiting: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            asked = pa.Table.from_batches(waiting).combine_chunks()
-            waiting.clear()
-            ids, x, floor = np.asarray(asked["id"]), unpack(asked["v"].combine_chunks(), dim), np.asarray(asked["floor"])
-            for i in range(0, len(ids), block):
-                rows, found, score = region.search(ids[i : i + block], x[i : i + block], floor[i : i + block])
-                n = np.bincount(rows, minlength=len(ids[i : i + block]))
-                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + block]), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(np.rint(score * 10_000).astype(np.int16)))], names=["id", "found", "score"])
+        rows = [b for b in batches if b.num_rows]  # one region: its lists and those around them
+        if rows:
+            yield from search(pa.Table.from_batches(rows), index.value, dim, k, settings)
 
-        for b in batches:
-            regions, roles = np.asarray(b.column(0)), np.asarray(b.column(1))
-            cut = np.flatnonzero((np.diff(regions) != 0) | (np.diff(roles) != 0)) + 1
-            for a, e in zip([0, *cut], [*cut, len(regions)]):
-                if e == a:
-                    continue
-                piece = b.slice(a, e - a)
-                if regions[a] != at:
-                    if waiting:
-                        yield from flush()
-                    at, region = regions[a], Region(index.value, dim, k)
-                if roles[a] == 0:
-                    region.add(np.asarray(piece.column(2)), unpack(piece.column(3), dim), piece.column(4).to_pylist())
-                elif region.ids or region.ready:
-                    waiting.append(piece)
-                    if sum(w.num_rows for w in waiting) >= block:
-                        yield from flush()
-        if waiting:
-            yield from flush()
-
-    routed = route(vectors, index, dim, settings).repartitionById(ix.regions, "region").sortWithinPartitions("region", "role")
-    partial = routed.mapInArrow(run, "id long, found array<long>, score array<short>")
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = np.asarray(b.column(1).value_lengths())
-            found, score = np.asarray(b.column(1).flatten()), np.asarray(b.column(2).flatten())
-            rows, found, score = best(np.repeat(np.arange(len(n)), n), found, score.astype(np.float32), k)
-            ids = np.asarray(b.column(0))[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found), pa.array(np.arange(len(rows)) - np.searchsorted(rows, rows) + 1, pa.int32()), pa.array(score.astype(np.float64) / 10_000)], names=["id", "neighbour", "rank", "cosine"])
+    routed = route(classes, index, dim, settings).repartitionById(ix.regions, "region")
+    results = routed.mapInArrow(run, "rep long, ids array<long>, found array<long>, score array<short>")
+    copies = vectors.select("id", "h").join(classes.where(F.size("ids") > 1).select("h", "rep"), "h").where("id <> rep").select("id", "rep")
+    members = classes.select(F.col("rep").alias("id"), "rep").unionByName(copies)
+    return expanded(members.join(results, "rep").select("id", "ids", "found", "score"), k)
 
-    gathered = partial.groupBy("id").agg(F.flatten(F.collect_list("found")).alias("found"), F.flatten(F.collect_list("score")).alias("score"))
-    return gathered.mapInArrow(merge, "id long, neighbour long, rank int, cosine double")
 
+def close_pairs(neighbours: DataFrame, chunks: DataFrame, least: float = 0.90, doubt: float = 0.03, most: int = 100_000) -> DataFrame:
+    """(chunk_id_a, chunk_id_b), a < b: neighbours whose cosine is at least ``least``.
 
-def close_pairs(neighbours: DataFrame, least: float = 0.90) -> DataFrame:
-    """(chunk_id_a, chunk_id_b, cosine), a < b: neighbours with at least that cosine."""
-    close = neighbours.where(F.col("cosine") >= least)
-    return close.groupBy(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).agg(F.max("cosine").alias("cosine"))
+    Cosines of shipped vectors are a little rounded; pairs within ``doubt`` of the
+    threshold are computed again from the full vectors of ``chunks``. Their ids are
+    broadcast if there are at most ``most`` of them, else joined.
+    """
+    stages = Stages(chunks.sparkSession, "close")
+    near = neighbours.where(F.col("cosine") >= least - doubt).groupBy(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).agg(F.max("cosine").alias("cosine"))
+    near = stages.keep(near)
+    sure, open_ = near.where(F.col("cosine") >= least + doubt), near.where(F.col("cosine") < least + doubt)
+    ids = open_.select(F.explode(F.array("chunk_id_a", "chunk_id_b")).alias("chunk_id")).distinct()
+    few = ids.limit(most + 1).count() <= most
+    full = chunks.select("chunk_id", F.transform("vector", lambda x: x.cast("double")).alias("w")).join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi")
+    full = stages.keep(full)
+    a, b = full.select(F.col("chunk_id").alias("chunk_id_a"), F.col("w").alias("x")), full.select(F.col("chunk_id").alias("chunk_id_b"), F.col("w").alias("y"))
+    checked = open_.join(a, "chunk_id_a").join(b, "chunk_id_b").where(cosine(F.col("x"), F.col("y")) >= least)
+    return sure.select("chunk_id_a", "chunk_id_b").unionByName(checked.select("chunk_id_a", "chunk_id_b"))

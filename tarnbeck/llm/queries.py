@@ -62,7 +62,7 @@ def p3_report(table) -> DataFrame:
 
 @query
 def p4_found(table) -> DataFrame:
-    return close_pairs(nearest(table("chunks"))).select("chunk_id_a", "chunk_id_b")
+    return close_pairs(nearest(table("chunks")), table("chunks"))
 
 
 @query
@@ -116,18 +116,18 @@ SQL: dict[str, str] = {
             SELECT pair_id,
                 nullif(regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize(lower(nfc_normalize(trim(path, chr(32) || chr(9) || chr(10) || chr(13))))), '\', '/'), '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '/\.?$', ''), '') AS p,
                 CASE WHEN lower(trim(anchor_id)) NOT IN ('', 'none', 'n/a') THEN lower(trim(anchor_id)) END AS a,
-                nullif(regexp_replace(trim(regexp_replace(lower(query), '\s+', ' ', 'g')), '[?.! ]+$', ''), '') AS q
+                nullif(regexp_replace(trim(regexp_replace(lower(query), '[\s\p{Z}]+', ' ', 'g')), '[?.! ]+$', ''), '') AS q
             FROM pairs),
         edges AS (
             SELECT pair_id AS x, min(pair_id) OVER (PARTITION BY p) AS y FROM keyed WHERE p IS NOT NULL
             UNION SELECT pair_id, min(pair_id) OVER (PARTITION BY a) FROM keyed WHERE a IS NOT NULL
             UNION SELECT pair_id, min(pair_id) OVER (PARTITION BY q) FROM keyed WHERE q IS NOT NULL),
         both_ways AS (SELECT x, y FROM edges WHERE x <> y UNION SELECT y, x FROM edges WHERE x <> y),
-        label(id, root) USING KEY (id) AS (
+        reach(id, root) AS (  -- the least id of a component reaches all of it over larger ids
             SELECT pair_id, pair_id FROM keyed
             UNION
-            SELECT b.y, min(l.root) FROM label l JOIN both_ways b ON b.x = l.id JOIN recurring.label r ON r.id = b.y
-            WHERE l.root < r.root GROUP BY b.y),
+            SELECT b.y, l.root FROM reach l JOIN both_ways b ON b.x = l.id WHERE l.root < b.y),
+        label AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
         big AS (SELECT root FROM label JOIN keyed ON id = pair_id GROUP BY root HAVING count(DISTINCT p) > 1)
         SELECT id AS pair_id, root AS group_id FROM label WHERE root IN (SELECT root FROM big)""",
     "p4_found": """
