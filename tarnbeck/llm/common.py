@@ -37,11 +37,11 @@ def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 class Frequencies:
-    """Counts of all tokens of a corpus, folded into ``2 ** bits`` counters.
+    """Counts of all tokens of a corpus, folded into ``2 ** bits`` counters of one byte.
 
-    The size does not depend on the data (two bytes a counter, 16 MB by
-    default), so the counters may be sent to every worker. A counter is an
-    upper bound of each of its tokens' counts (up to 65,535). Used to order
+    The size does not depend on the data (16 MB by default), so the counters
+    may be sent to every worker. A counter stands for at least its tokens' own
+    counts: exact up to 31, then in steps of a fourteenth of a power of two. Used to order
     tokens from rare to frequent, and to tell tokens that occur only once.
     """
 
@@ -52,7 +52,7 @@ class Frequencies:
         return self.counters[(tokens & self.mask).astype(np.int64)]
 
     @staticmethod
-    def count(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int = 23, slots: int = 16) -> Frequencies:
+    def count(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int = 24, slots: int = 16) -> Frequencies:
         """Counts every row of ``df``. Each task adds up locally and sends compressed counters; slots are added in parallel."""
         size, width = 1 << bits, (1 << bits) // slots
 
@@ -63,17 +63,22 @@ class Frequencies:
                 if len(found):
                     at, n = np.unique((found & np.uint64(size - 1)).astype(np.int64), return_counts=True)
                     total[at] += n.astype(np.uint32)
-            parts = np.minimum(total, 65535).astype(np.uint16).reshape(slots, width)
-            yield pa.RecordBatch.from_pydict({"slot": list(range(slots)), "part": [zlib.compress(p.tobytes(), 1) for p in parts]}, schema=pa.schema([("slot", pa.int32()), ("part", pa.binary())]))
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(width, np.uint32)
-            for part in pdf["part"]:
-                total += np.frombuffer(zlib.decompress(part), np.uint16)
-            return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "part": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
-
-        parts = df.mapInArrow(local, "slot int, part binary").groupBy("slot").applyInPandas(add, "slot int, part binary").collect()
-        counters = np.zeros((slots, width), np.uint16)
+            for slot in range(slots):
+                part = total[slot * width : (slot + 1) * width]
+                at = np.flatnonzero(part)
+                yield pa.RecordBatch.from_pydict({"slot": [slot], "at": [zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes(), 1)], "n": [zlib.compress(part[at].tobytes(), 1)]}, schema=pa.schema([("slot", pa.int32()), ("at", pa.binary()), ("n", pa.binary())]))
+
+        def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(width, np.int64)
+            for pdf in batches:
+                for at, n in zip(pdf["at"], pdf["n"]):
+                    where = np.cumsum(np.frombuffer(zlib.decompress(at), np.uint32), dtype=np.int64)
+                    total[where] += np.frombuffer(zlib.decompress(n), np.uint32)
+            code = np.where(total < 32, total, np.minimum(255, 32 + 14 * np.log2(np.maximum(total, 32) / 32)))
+            yield pd.DataFrame({"slot": [key[0]], "part": [zlib.compress(code.astype(np.uint8).tobytes(), 1)]})
+
+        parts = df.mapInArrow(local, "slot int, at binary, n binary").groupBy("slot").applyInPandas(add, "slot int, part binary").collect()
+        counters = np.zeros((slots, width), np.uint8)
         for row in parts:
-            counters[row.slot] = np.frombuffer(zlib.decompress(row.part), np.uint16)
+            counters[row.slot] = np.frombuffer(zlib.decompress(row.part), np.uint8)
         return Frequencies(counters.reshape(-1))

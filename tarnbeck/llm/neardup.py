@@ -3,8 +3,8 @@
 A text is the set of its word shingles. A sketch has 2^20 blocks; a shingle's
 hash is XORed into its block, so the number of blocks in which two sketches
 differ never exceeds the symmetric difference of the sets. Two sets of enough
-similarity therefore agree on at least one of a known number of non-zero
-blocks (pigeonhole); of these the rarest are joined. A second sketch of 256
+similarity therefore agree on several of a known number of non-zero
+blocks (pigeonhole); of these the rarest are joined. A second sketch of 128
 single bits, whose Hamming distance also bounds the symmetric difference from
 below, discards most candidates before the texts are compared.
 """
@@ -25,7 +25,9 @@ from .common import Frequencies, hash_words, words
 from .components import components
 
 BLOCKS = np.uint64(1 << 20)
-SKETCH = "row_id long, class binary, n int, s0 long, s1 long, s2 long, s3 long, blocks array<long>"
+MOST_BROADCAST = 1_000_000  # ids
+SHARED = 3  # blocks that two sets have to share among their rarest
+SKETCH = "row_id long, class binary, n int, s0 long, s1 long, blocks array<long>"
 
 
 def shingles(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,20 +64,25 @@ def blocks(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def bits(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """Four 64-bit words a row, one bit flipped a shingle."""
-    at = ((hashes >> np.uint64(40)) & np.uint64(255)).astype(np.int64)
-    odd = (np.bincount(rows * 256 + at, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 256)
-    return np.packbits(odd, axis=1).view(np.int64).reshape(n, 4)
+    """Two 64-bit words a row, one bit flipped a shingle."""
+    at = ((hashes >> np.uint64(40)) & np.uint64(127)).astype(np.int64)
+    odd = (np.bincount(rows * 128 + at, minlength=n * 128) & 1).astype(np.uint8).reshape(n, 128)
+    return np.packbits(odd, axis=1).view(np.int64).reshape(n, 2)
+
+
+def spoiled(n: np.ndarray, share: float) -> np.ndarray:
+    """Blocks allowed for collisions in a set of n shingles or its largest partner: eight times their mean number, and one."""
+    return 1 + np.floor(8 * (n / share) ** 2 / (2 * float(BLOCKS)))
 
 
 def sketches(df: DataFrame, size: int, share: float, frequencies: Frequencies) -> DataFrame:
     """A row per text with shingles: class of equal shingle sets, size, bits and the blocks to join on.
 
-    |A \\ B| <= (1 - share) |A| for every partner B, so at most that many of A's
-    blocks hold an unshared shingle, plus those that B's own collisions spoil.
-    A set has at most C(n, 2) collisions; ``spoiled`` allows for as many
-    as the set could meet with a partner of the largest fitting size, observed
-    below one in practice; sets of under 4 blocks are joined on all of them.
+    At most (1 - share) |A| of A's blocks hold a shingle that a partner B lacks;
+    ``spoiled`` more may differ because two of A's or B's shingles fell into one block.
+    So the first (1 - share) |A| + spoiled + SHARED of A's blocks, in an order
+    common to all texts, hold the first SHARED ones of those that agree with
+    B, and B's hold them likewise. Rare blocks come first in that order.
     """
     shared = df.sparkSession.sparkContext.broadcast(frequencies.counters)
 
@@ -95,11 +102,10 @@ def sketches(df: DataFrame, size: int, share: float, frequencies: Frequencies) -
             brow, value, seen = brow[order], value[order], seen[order]
             place = np.arange(len(brow)) - np.searchsorted(brow, brow)
             size_of = n[brow]
-            spoiled = 1 + (size_of / share) ** 2 // float(BLOCKS >> np.uint64(2))
-            joined = (place < np.floor((1 - share) * size_of + 1e-9) + spoiled + 1) & (seen > 1)  # a block value counted once has no partner
+            joined = (place < np.floor((1 - share) * size_of + 1e-9) + spoiled(size_of, share) + SHARED) & (seen > 1)  # a block value counted once has no partner
             m = np.bincount(brow[joined], minlength=len(ids))[has]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32()), pa.array(value[joined].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(sets, pa.binary()), pa.array(n[has], pa.int32()), *(pa.array(sketch[has, i]) for i in range(4)), lists], names=["row_id", "class", "n", "s0", "s1", "s2", "s3", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(sets, pa.binary()), pa.array(n[has], pa.int32()), *(pa.array(sketch[has, i]) for i in range(2)), lists], names=["row_id", "class", "n", "s0", "s1", "blocks"])
 
     return df.mapInArrow(run, SKETCH)
 
@@ -146,14 +152,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, sh
     least = rows.groupBy("class").agg(F.min("row_id").alias("rep"))
     members = stages.keep(rows.select("row_id", "class").join(least, "class").select("row_id", "rep"))
     reps = rows.join(members.where("row_id = rep").select("row_id"), "row_id", "left_semi")
-    keys = reps.select("row_id", "n", "s0", "s1", "s2", "s3", F.explode("blocks").alias("block"))
+    keys = reps.select("row_id", "n", "s0", "s1", F.explode("blocks").alias("block"))
     a, b = keys.alias("a"), keys.alias("b")
-    hamming = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+    hamming = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
     fits = (F.least("a.n", "b.n") >= share * F.greatest("a.n", "b.n") - 1e-9) & (hamming <= (1 - share) / (1 + share) * (F.col("a.n") + F.col("b.n")) + 1e-9)
-    found = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.row_id") < F.col("b.row_id")) & fits).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b")).distinct()
-    found = stages.keep(found)
-    involved = found.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    needed = stages.keep(texts.join(involved, "row_id", "left_semi"))
+    larger = F.greatest("a.n", "b.n")
+    agreed = F.ceil(share * larger - 1e-9) - 1 - F.floor(8 * (larger / share) * (larger / share) / (2 * float(BLOCKS)))  # blocks that are sure to agree
+    need = F.greatest(F.lit(1), F.least(F.lit(SHARED), agreed)).cast("int")
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.row_id") < F.col("b.row_id")) & fits).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"), need.alias("need"))
+    found = stages.keep(met.groupBy("a", "b", "need").agg(F.count("*").alias("c")).where("c >= need").select("a", "b"))
+    involved = stages.keep(found.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
+    few = involved.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    needed = stages.keep(texts.join(F.broadcast(involved) if few else involved, "row_id", "left_semi"))
     compared = found.join(needed.select(F.col("row_id").alias("a"), F.col("text").alias("x")), "a").join(needed.select(F.col("row_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
