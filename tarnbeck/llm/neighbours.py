@@ -34,7 +34,7 @@ class Settings:
     of them for parallel work; sample: vectors the centroids are fitted on; most_centroids: bounds what every worker holds."""
 
     list_size: int = 500
-    most_lists: int = 56
+    most_lists: int = 76
     hood_lists: int = 256
     least_lists: int = 8
     ratio: float = 1.6
