@@ -219,7 +219,7 @@ def search(rows: pa.Table, ix: Index, dim: int, k: int, s: Settings, start: int
         kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
         at = np.flatnonzero(dots >= thr[:, None])
         pile = [(at // len(first), first[at % len(first)], dots.ravel()[at])] if len(first) else []
-        for i in range(start, len(hood) + 1):
+        for i in range(start, max(start, len(hood)) + 1):
             if i < len(hood):
                 lo, hi = bounds[hood[i]], bounds[hood[i] + 1]
                 q = np.flatnonzero(wanted[:, i])
