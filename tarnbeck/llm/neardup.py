@@ -60,7 +60,8 @@ def blocks(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.flatnonzero(first)
     value = np.bitwise_xor.reduceat(hashes, at) if len(at) else hashes
     keep = value != 0
-    return rows[at][keep], value[keep] ^ (block[at][keep] * np.uint64(0xD6E8FEB86659FD93))
+    token = (value[keep] + block[at][keep]) * np.uint64(0xD6E8FEB86659FD93)
+    return rows[at][keep], token ^ (token >> np.uint64(32))
 
 
 def bits(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
