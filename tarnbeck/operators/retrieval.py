@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbeck.functions import text as tx
 from tarnbeck.functions.vector import sigmoid, top_cosines, usable
+from tarnbeck.lineage import spread
 
 
 @dataclass(frozen=True)
@@ -44,22 +49,64 @@ def postings(rows: DataFrame, column: str) -> DataFrame:
     return words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, rows: DataFrame, column: str, limits: Limits = LIMITS) -> DataFrame:
-    """(query_id, chunk_id, bm25) of all chunks that share a term with the query (query_id, query).
+def bm25_top(queries: DataFrame, rows: DataFrame, column: str, limits: Limits = LIMITS, most_queries: int = 65_536) -> DataFrame:
+    """(query_id, chunk_id, bm25): for each query (query_id, query) the best ``per_list`` chunks that share a term with it, ties by chunk_id.
 
-    Terms of a query count once. Document frequency and mean length are taken
-    over all of ``rows``. The postings of query terms only are shuffled; AQE
-    splits those of frequent terms.
+    Document frequency and mean length are taken over all of ``rows``; terms of a
+    query count once. The stated query set (at most ``most_queries``) goes to
+    every task; a task scores its chunks batch by batch and hands on no more
+    than ``per_list`` of them a query, so that frequent words cost no shuffle.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tx.terms(tx.search_text(F.col("query"))))).alias("term"))
-    index = postings(rows, column)
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
-    lengths = rows.select(F.size(tx.terms(F.coalesce(F.col(column), F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    share = F.col("tf") * (limits.k1 + 1) / (F.col("tf") + limits.k1 * (1 - limits.b + limits.b * F.try_divide("dl", "avgdl")))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(lengths)).select("term", "chunk_id", (idf * share).alias("w"))  # lengths is one row
-    return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("bm25"))
+    asked = queries.where("query is not null").select("query_id", F.array_distinct(tx.terms(tx.search_text(F.col("query")))).alias("w")).limit(most_queries + 1).collect()
+    if len(asked) > most_queries:
+        raise ValueError(f"more than {most_queries} queries")
+    by_term: dict[str, list[int]] = {}
+    for i, r in enumerate(asked):
+        for w in r.w:
+            by_term.setdefault(w, []).append(i)
+    vocabulary = sorted(by_term)
+    terms = spread(rows).select("chunk_id", tx.terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
+    spark = rows.sparkSession
+    known = spark.createDataFrame([(w,) for w in vocabulary], "term string")
+    seen = terms.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(known), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = {r.term: r.df for r in seen.collect()}
+    n, avgdl = terms.agg(F.count("*"), F.avg(F.size("w"))).first()
+    idf = np.array([np.log(1 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in vocabulary])
+    ids = np.array([r.query_id for r in asked], np.int64)
+    place = {w: i for i, w in enumerate(vocabulary)}
+    wanted = [np.array(sorted(place[w] for w in r.w), np.int64) for r in asked]
+    shared = spark.sparkContext.broadcast((vocabulary, idf, ids, wanted))
+    k = limits.per_list
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, idf, ids, wanted = shared.value
+        value_set = pa.array(vocabulary, pa.string())
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for b in batches:
+            chunk, lists = np.asarray(b.column(0)), b.column(1)
+            dl = np.asarray(lists.value_lengths())
+            term = np.asarray(pc.index_in(lists.flatten(), value_set=value_set).fill_null(-1))
+            row = np.repeat(np.arange(len(chunk)), dl)[term >= 0]
+            key, tf = np.unique(term[term >= 0].astype(np.int64) * len(chunk) + row, return_counts=True)
+            term, row = key // max(1, len(chunk)), key % max(1, len(chunk))
+            weight = idf[term] * (tf * (limits.k1 + 1) / (tf + limits.k1 * (1 - limits.b + limits.b * dl[row] / (avgdl or 1))))
+            at = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+            for q, ts in enumerate(wanted):
+                parts = [slice(at[t], at[t + 1]) for t in ts if at[t + 1] > at[t]]
+                if not parts:
+                    continue
+                score = np.round(np.bincount(np.concatenate([row[p] for p in parts]), np.concatenate([weight[p] for p in parts]), len(chunk)), 6)
+                top = np.flatnonzero(score >= (max(np.partition(score, len(score) - k)[len(score) - k], 1e-9) if len(score) > k else 1e-9))
+                kept.append((np.full(len(top), q), chunk[top], score[top]))
+            q, c, s = (np.concatenate(p) for p in zip(*kept))
+            order = np.lexsort((c, -s, q))
+            q, c, s = q[order], c[order], s[order]
+            few = np.arange(len(q)) - np.searchsorted(q, q) < k
+            kept = [(q[few], c[few], s[few])]
+        q, c, s = kept[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "bm25"])
+
+    return terms.mapInArrow(run, "query_id long, chunk_id long, bm25 double")
 
 
 def ranked(df: DataFrame, score: Column, k: int, name: str, ties: str = "chunk_id") -> DataFrame:
@@ -78,7 +125,7 @@ def vector_list(queries: DataFrame, rows: DataFrame, dim: int, limits: Limits =
 
 def text_list(queries: DataFrame, rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """(query_id, chunk_id, bm25, fts_rank): the better of the scores on text and on name."""
-    both = bm25(queries, rows, "text", limits).unionByName(bm25(queries, rows, "name", limits))
+    both = bm25_top(queries, rows, "text", limits).unionByName(bm25_top(queries, rows, "name", limits))  # who is among the best by the greater score is so by one of them
     best = both.groupBy("query_id", "chunk_id").agg(F.max("bm25").alias("bm25"))
     return ranked(best, F.col("bm25"), limits.per_list, "fts_rank")
 
