@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnbeck.lineage import spread
+
 from .common import _WORD, INVISIBLE, words
 
 SCHEMA = "row_id long, item_id long, field string, n_words int, start int, end int"
@@ -123,7 +125,7 @@ def find_leaks(train: DataFrame, held_out: DataFrame, run: int = 12, shard_chars
     if shards > most_shards:
         raise ValueError(f"the held-out items have {chars} characters; raise shard_chars or most_shards")
     text = train.select(F.col("pair_id").cast("long").alias("row_id"), F.col("doc").cast("string"), F.col("query").cast("string"))
-    scans = []
+    text, scans = spread(text), []
     for k in range(shards):
         rows = items.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).collect()
         normal = {(r.id, kind, " ".join(words(t))) for r in rows for kind, t in (("query", r.query), ("passage", r.passage))}

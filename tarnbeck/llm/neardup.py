@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.lineage import Stages
+from tarnbeck.lineage import Stages, spread
 
 from .common import Frequencies, hash_words, words
 from .components import components
@@ -143,7 +143,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, sh
     last and only where a set has no rarer ones.
     """
     stages = Stages(df.sparkSession, "neardup")
-    texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    texts = spread(df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text")))
 
     def values(batch: pa.RecordBatch) -> np.ndarray:
         return blocks(*shingles(batch.column("text").to_pylist(), size))[1]

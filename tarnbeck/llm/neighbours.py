@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbeck.functions.vector import cosine
-from tarnbeck.lineage import Stages
+from tarnbeck.lineage import Stages, spread
 
 SCALE = 32767.0
 
@@ -295,7 +295,7 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     """
     spark = df.sparkSession
     stages = Stages(spark, "neighbours")
-    vectors = packed(df.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<float>")), dim)
+    vectors = packed(spread(df.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<float>"))), dim)
     first = vectors.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)  # cut before the shuffle, too
     classes = stages.keep(first.groupBy("h").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min("v").alias("v")))
     total = classes.count()
@@ -314,7 +314,7 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
         if rows:
             yield from search(pa.Table.from_batches(rows), index.value, dim, k, settings)
 
-    routed = route(classes, index, dim, settings).repartitionById(ix.regions, "region")
+    routed = route(spread(classes), index, dim, settings).repartitionById(ix.regions, "region")
     results = routed.mapInArrow(run, "rep long, ids array<long>, found array<long>, score array<short>")
     copies = vectors.select("id", "h").join(classes.where(F.size("ids") > 1).select("h", "rep"), "h").where("id <> rep").select("id", "rep")
     members = classes.select(F.col("rep").alias("id"), "rep").unionByName(copies)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.lineage import Stages
+from tarnbeck.lineage import Stages, spread
 
 from .common import Frequencies, hash_words, words
 
@@ -122,15 +122,15 @@ def find_overlaps(pairs: DataFrame, share: float = 0.75, shards: int | None = No
     split = F.lower(F.trim("split"))
     rows = pairs.where(F.col("label") == 1).select(F.col("pair_id").cast("long").alias("row_id"), F.when(split == "train", 1).when(split.isin("val", "test"), 0).alias("side"), F.col("query").cast("string"), split.alias("split"), F.lower(F.trim(F.substring_index("style", "+", 1))).alias("style")).where("side is not null and query is not null")
     named = rows.select("row_id", "split", "style")
-    rows = rows.select("row_id", "side", "query")
+    rows = spread(rows.select("row_id", "side", "query"))
     frequencies = Frequencies.count(rows.select("query"), tokens_of, bits=22)
     marked = Stages(spark, "overlap").keep(keyed(rows, frequencies, share))
     distinct = marked.groupBy("key", "side").agg(F.first("text").alias("text"), F.first("routes").alias("routes"))
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     routed = distinct.select("key", "side", "text", F.explode("routes").alias("route")).withColumn("shard", F.pmod("route", F.lit(n)).cast("int"))
     salts = routed.where("side = 1").groupBy("shard").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
-    spread = routed.join(F.broadcast(salts), "shard")  # at most one row a shard; a shard without training questions can't match
-    spread = spread.withColumn("salt", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), "salts").cast("int")))))
+    salted = routed.join(F.broadcast(salts), "shard")  # at most one row a shard; a shard without training questions can't match
+    salted = salted.withColumn("salt", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), "salts").cast("int")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, Shard()
@@ -147,7 +147,7 @@ def find_overlaps(pairs: DataFrame, share: float = 0.75, shards: int | None = No
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("eval_key", pa.binary()), ("train_key", pa.binary()), ("covered", pa.int32()), ("longer", pa.int32())]))
 
-    streamed = spread.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "side").select("shard", "salt", "side", "route", "key", "text")
+    streamed = salted.repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "side").select("shard", "salt", "side", "route", "key", "text")
     links = streamed.mapInArrow(run, "eval_key binary, train_key binary, covered int, longer int").distinct()
     ids = marked.select("row_id", "side", "key")
     ev = ids.where("side = 0").select(F.col("key").alias("eval_key"), F.col("row_id").alias("eval_id"))

@@ -11,6 +11,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnbeck.lineage import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE of this kind splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -33,4 +35,4 @@ def with_tokens(df: DataFrame, keep: list[str], text: str, vocabulary: str = VOC
             n = [len(encode(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int32())], names=[*keep, "n_tokens"])
 
-    return df.select(*keep, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text).cast("string").alias("text"))).mapInArrow(run, schema)
