@@ -34,7 +34,7 @@ class Settings:
     of them for parallel work; sample: vectors the centroids are fitted on; most_centroids: bounds what every worker holds."""
 
     list_size: int = 500
-    most_lists: int = 76
+    most_lists: int = 88
     hood_lists: int = 256
     least_lists: int = 8
     ratio: float = 1.6
@@ -85,7 +85,7 @@ class Index:
         for a in range(0, k, 1024):
             sims = self.centroids[a : a + 1024] @ self.centroids.T
             self.near[a : a + 1024] = np.argsort(-sims, axis=1)[:, :degree]
-        self.pivots = rng.choice(k, min(k, max(1, int(np.sqrt(k)))), replace=False)
+        self.pivots = rng.choice(k, min(k, 5 * int(np.sqrt(k)) + 1), replace=False)
         regions = max(-(-k // s.region_lists), min(s.least_regions, k))
         self.region = self.balanced(self.fit(self.centroids, regions, rng), -(-k // regions))
         self.regions = regions
@@ -130,7 +130,7 @@ class Index:
             nodes, starts = np.unique(at[order], return_index=True)
             best = np.empty(len(order), np.int64)
             for node, a, b in zip(nodes, starts, [*starts[1:], len(order)]):
-                hood = self.near[node, :32]
+                hood = self.near[node, :48]
                 best[a:b] = hood[np.argmax(x[order[a:b]] @ self.centroids[hood].T, axis=1)]
             moved = best != at[order]
             at[order] = best
