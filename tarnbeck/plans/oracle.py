@@ -47,7 +47,7 @@ LATEST = """latest AS (SELECT path, mtime_ns, size, chunk_count FROM files WHERE
     QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime_ns DESC NULLS LAST, coalesce(seen_at, TIMESTAMPTZ '1970-01-01 00:00:00+00') DESC, coalesce(size, -1) DESC, coalesce(chunk_count, -1) DESC) = 1)"""
 ROWS = """rows AS (SELECT * FROM chunks WHERE path IS NOT NULL AND chunk_index IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY path, chunk_index ORDER BY chunk_id) = 1)"""
-USABLE = """usable AS (SELECT chunk_id, path, chunk_index, vector::DOUBLE[64] AS v FROM rows
+USABLE = """usable AS (SELECT chunk_id, path, chunk_index, vector::DOUBLE[] AS v FROM rows
     WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
 ASKED = """asked AS (
     SELECT substr(a.id, 2)::BIGINT AS query_id, a.query, a.path, coalesce(a.topic, 'none') AS category, u.v AS qv
@@ -55,7 +55,7 @@ ASKED = """asked AS (
     LEFT JOIN (SELECT path, v FROM usable QUALIFY row_number() OVER (PARTITION BY path ORDER BY chunk_index, chunk_id) = 1) u ON u.path = a.path)"""
 VECTORS = """vectors AS (SELECT query_id, chunk_id, score, r AS vec_rank FROM (
     SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM (
-        SELECT query_id, chunk_id, round(greatest(array_cosine_similarity(qv, v), 0), 4) AS score FROM asked, usable WHERE qv IS NOT NULL)) WHERE r <= 24)"""
+        SELECT query_id, chunk_id, round(greatest(list_cosine_similarity(qv, v), 0), 4) AS score FROM asked, usable WHERE qv IS NOT NULL)) WHERE r <= 24)"""
 
 
 def scores(column: str) -> str:
