@@ -132,12 +132,12 @@ SQL: dict[str, str] = {
         SELECT id AS pair_id, root AS group_id FROM label WHERE root IN (SELECT root FROM big)""",
     "p4_found": """
         WITH usable AS (
-            SELECT chunk_id, vector::DOUBLE[64] AS v FROM chunks
+            SELECT chunk_id, vector::DOUBLE[] AS v FROM chunks
             WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
                 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
         ranked AS (
-            SELECT a.chunk_id AS x, b.chunk_id AS y, array_cosine_similarity(a.v, b.v) AS c,
-                row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(array_cosine_similarity(a.v, b.v), 6) DESC, b.chunk_id) AS r
+            SELECT a.chunk_id AS x, b.chunk_id AS y, list_cosine_similarity(a.v, b.v) AS c,
+                row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.chunk_id) AS r
             FROM usable a JOIN usable b ON a.chunk_id <> b.chunk_id)
         SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM ranked WHERE r <= 10 AND c >= 0.90""",
 }
