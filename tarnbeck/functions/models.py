@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 
+def query_input(text: Column, model: str) -> Column:
+    """What is embedded for a query: models of the bge family expect an instruction before it."""
+    return F.concat(F.lit(QUERY_PREFIX), text) if "bge" in model.lower() else text
+
+
 def hashed_vector(text: str, dim: int) -> list[float]:
     """Stand-in embedding: words hashed to signed slots, at unit length; zero for no words."""
     v = np.zeros(dim)

@@ -15,7 +15,7 @@ from tarnbeck.functions import text as tx
 # Extensions that are indexed, and folders that never are.
 PLAIN = ".txt .md .markdown .rst .org .tex .log .csv .tsv .json .jsonl .yaml .yml .toml .ini .cfg .env.example .html .htm .xml .py .js .jsx .ts .tsx .mjs .cjs .vue .svelte .java .kt .c .h .cpp .hpp .cc .cs .go .rs .rb .php .swift .scala .lua .r .jl .sh .bash .zsh .ps1 .bat .sql".split()
 RICH = [".pdf", ".docx"]
-SKIPPED = "node_modules,.git,.svn,.hg,__pycache__,.venv,venv,.tox,.mypy_cache,.pytest_cache,.ruff_cache,dist,build,out,target,.next,.nuxt,.cache,.gradle,.idea,.vs,$RECYCLE.BIN,System Volume Information,AppData,.tek".split(",")
+SKIPPED = "node_modules,.git,.svn,.hg,__pycache__,.venv,venv,.tox,.mypy_cache,.pytest_cache,.ruff_cache,dist,build,out,target,.next,.nuxt,.cache,.gradle,.idea,.vs,$RECYCLE.BIN,System Volume Information,AppData".split(",")
 LARGEST, LARGEST_PDF = 20 << 20, 100 << 20
 
 
