@@ -4,8 +4,9 @@ A piece of size s belongs to class k = floor(capacity / s): k pieces of class
 k always fit together, so bins are filled by counting, without looking at what
 other workers do. Documents are dealt to blocks by a hash, and every block
 packs its own. Bins of class 1 waste most; each takes one more piece of the
-largest class that is sure to fit into what it leaves free. Pieces under a
-64th of the capacity are lined up and cut into bins by their running sum.
+largest class that is sure to fit into what it leaves free. Small pieces
+are lined up and poured by their running sum, first into what all these bins
+leave free, then into bins of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from tarnbeck.lineage import Stages
 
 from .tokens import VOCABULARY, with_tokens
 
-SMALL = 64
+LEVELS = (16, 64)  # from the first class on, pieces are poured level by level instead of counted
 
 
 def pack(docs: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, block_docs: int = 20_000) -> DataFrame:
@@ -43,11 +44,11 @@ def pack(docs: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, b
     cut = cut.withColumn("bin_id", F.concat_ws("/", "container", "block", F.lit("whole"), "doc_id", "piece"))
     rest = F.when(F.col("n_tokens") <= F.col("cap"), F.col("n_tokens")).otherwise(F.try_mod("n_tokens", "cap"))
     items = rows.select("container", "cap", "block", "doc_id", F.when(F.col("n_tokens") <= F.col("cap"), 0).otherwise(full).alias("piece"), rest.alias("tokens")).where("tokens > 0")
-    k = F.least(F.floor(F.try_divide("cap", "tokens")), F.lit(SMALL)).cast("int")
+    k = F.least(F.floor(F.try_divide("cap", "tokens")), F.lit(LEVELS[-1])).cast("int")
     gap = F.col("cap") - F.col("tokens")
     # the class whose largest piece is smaller than the gap
     partner = F.when(k == 1, F.when(gap > 0, F.floor(F.try_divide("cap", gap)) + 1).otherwise(0)).cast("int")
-    items = items.withColumns({"k": k, "partner": F.when(partner < SMALL, partner).when(k == 1, 0)})
+    items = items.withColumns({"k": k, "partner": F.when(partner < LEVELS[0], partner).when(k == 1, 0)})
     place = ["container", "block"]
     by_size = [F.desc("tokens"), "doc_id", "piece"]
     ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy(*place, "k", "partner").orderBy(*by_size)))
@@ -56,15 +57,22 @@ def pack(docs: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, b
     first = ones.withColumn("bin_id", F.concat_ws("/", *place, F.lit("1"), "partner", "rank"))
     others = ranked.where("k > 1").join(wanted, [*place, "k"], "left").withColumn("left", F.col("rank") - F.coalesce("wanted", F.lit(0)))
     fillers = others.where("left <= 0").withColumn("bin_id", F.concat_ws("/", *place, F.lit("1"), "k", "rank"))
-    counted = others.where(f"left > 0 and k < {SMALL}").withColumn("bin_id", F.concat_ws("/", *place, "k", F.lit("n"), F.floor(F.try_divide(F.col("left") - 1, F.col("k")))))
-    # pieces that start within one stretch of capacity minus the largest small piece fit together
-    start = F.sum("tokens").over(Window.partitionBy(*place).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
-    stretch = F.col("cap") - F.floor(F.col("cap") / SMALL)
-    small = others.where(f"left > 0 and k >= {SMALL}").withColumn("bin_id", F.concat_ws("/", *place, F.lit("small"), F.lit("n"), F.floor(F.try_divide(start, stretch))))
-    columns = ["container", "cap", "bin_id", "doc_id", "piece", "tokens"]
-    placed = cut.select(*columns)
-    for part in (first, fillers, counted, small):
-        placed = placed.unionByName(part.select(*columns))
+    counted = others.where(f"left > 0 and k < {LEVELS[0]}").withColumn("bin_id", F.concat_ws("/", *place, "k", F.lit("n"), F.floor(F.try_divide(F.col("left") - 1, F.col("k")))))
+    columns = ["container", "cap", "block", "bin_id", "doc_id", "piece", "tokens"]
+    placed = stages.keep(first.select(*columns).unionByName(fillers.select(*columns)).unionByName(counted.select(*columns)))
+    upto = Window.partitionBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for low, high in zip(LEVELS, (*LEVELS[1:], LEVELS[-1] + 1)):
+        # pieces that start within a stretch of free room minus the level's largest piece fit into the room together
+        largest = F.floor(F.col("cap") / low)
+        gaps = placed.groupBy("container", "cap", "block", "bin_id").agg((F.first("cap") - F.sum("tokens")).alias("gap")).withColumn("stretch", F.col("gap") - largest).where("stretch > 0")
+        gaps = gaps.withColumn("end", F.sum("stretch").over(upto.orderBy(F.desc("gap"), "bin_id"))).withColumn("start", F.col("end") - F.col("stretch"))
+        small = others.where((F.col("left") > 0) & (F.col("k") >= low) & (F.col("k") < high)).withColumn("start", F.sum("tokens").over(upto.orderBy("k", "rank")) - F.col("tokens"))
+        line = gaps.select(*place, "start", "end", "bin_id", F.lit(0).alias("what")).unionByName(small.select(*place, "start", "cap", "doc_id", "piece", "tokens", F.lit(1).alias("what")), allowMissingColumns=True)
+        line = line.withColumns({"into": F.last("bin_id", ignorenulls=True).over(upto.orderBy("start", "what")), "room": F.coalesce(F.max("end").over(Window.partitionBy(*place)), F.lit(0))}).where("what = 1")
+        own = F.concat_ws("/", *place, F.lit(f"from {low}"), F.floor(F.try_divide(F.col("start") - F.col("room"), F.col("cap") - largest)))
+        poured = line.withColumn("bin_id", F.when(F.col("start") < F.col("room"), F.col("into")).otherwise(own)).select(*columns)
+        placed = stages.keep(placed.unionByName(poured))
+    placed = placed.unionByName(cut.select(*columns))
     used = F.sum("tokens").over(Window.partitionBy("bin_id"))  # at most ``cap`` pieces a bin
     return placed.withColumn("bin_tokens", used.cast("int")).select("container", "bin_id", "doc_id", "piece", "tokens", "bin_tokens", F.round(F.try_divide("bin_tokens", "cap"), 6).alias("fill"))
 
