@@ -7,6 +7,9 @@ ones) finds a query's nearest centroid by a greedy walk and the lists around
 it; lists much farther than the nearest are pruned by a distance ratio. Lists
 that lie together form a region; a vector is shipped once to every region
 in which some query may search a list of its, and is a query in its own.
+Vectors are shipped with 16 bits an element and scored by their distance, so
+that the order among near copies is kept; what this rounding leaves open at the
+k-th place is ranked by the full vectors.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from pyspark.sql.window import Window
 from tarnbeck.functions.vector import cosine
 from tarnbeck.lineage import Stages, spread
 
-SCALE = 32767.0
+SCALE = 32767
+EXACT = float(1 << 30)
+TIE = 5e-7  # cosines are ranked by six digits
+FLOAT = 4.1e-6  # error of a 32-bit product of 66 terms, against the sum of their absolute values
 
 
 @dataclass(frozen=True)
@@ -47,7 +53,7 @@ class Settings:
 
 
 def packed(df: DataFrame, dim: int) -> DataFrame:
-    """(id, v, h): the usable vectors at unit length as 8-bit integers, and a digest of them with 16 bits an element."""
+    """(id, v, h): the usable vectors as 16-bit integers, and a digest of them at unit length with 31 bits an element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,17 +66,19 @@ def packed(df: DataFrame, dim: int) -> DataFrame:
             good = np.isfinite(x).all(axis=1) & (peak > 0)
             x = x[good] / peak[good, None]
             x /= np.linalg.norm(x, axis=1)[:, None]
-            q = np.rint(x * SCALE).astype(np.int16)
+            q = np.rint(x * EXACT).astype(np.int32)
             digests = [hashlib.md5(r.tobytes(), usedforsecurity=False).digest() for r in q]
-            data = [r.tobytes() for r in np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True, initial=1e-9))).astype(np.int8)]
+            data = [r.tobytes() for r in np.rint(x * (SCALE / np.abs(x).max(axis=1, keepdims=True, initial=1e-9))).astype(np.int16)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep[good])), pa.array(data, pa.binary()), pa.array(digests, pa.binary())], names=["id", "v", "h"])
 
     return df.mapInArrow(run, "id long, v binary, h binary")
 
 
-def unpack(column: pa.Array, dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None]
+def unpack(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at unit length, and for each a bound of its distance to the vector before rounding."""
+    q = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, dim)
+    norm = np.sqrt(np.einsum("ij,ij->i", q, q, dtype=np.float64))
+    return (q / np.maximum(norm, 1e-9)[:, None].astype(np.float32)).astype(np.float32), 0.51 * np.sqrt(dim) / np.maximum(norm, 1) + 5e-7
 
 
 class Index:
@@ -161,7 +169,7 @@ def route(classes: DataFrame, index, dim: int, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for b in batches:
-            x = unpack(b.column(2), dim)
+            x, _ = unpack(b.column(2), dim)
             if not len(x):
                 continue
             sims, lists = ix.around(x, s.most_copies)
@@ -182,14 +190,19 @@ def route(classes: DataFrame, index, dim: int, s: Settings) -> DataFrame:
     return classes.select("rep", "ids", "v").mapInArrow(run, ROUTED)
 
 
+FOUND = "rep long, ids array<long>, found array<long>, score array<float>, open array<long>, places int"
+
+
 def search(rows: pa.Table, ix: Index, dim: int, k: int, s: Settings, start: int = 4, often: int = 40) -> Iterator[pa.RecordBatch]:
-    """The k best ids for each query of one region: (rep, ids, found, score).
+    """The k best ids for each query of one region: those that are sure, best first, and for the remaining places all ids that may have them.
 
     Queries of one home list are taken together. The k-th best of the ``start``
-    nearest lists is a first bound; of further lists only what reaches the bound is
-    looked at, and the bound is raised after every ``often`` lists.
+    nearest lists is a first bound; of further lists only what may reach the bound is
+    looked at, and the bound is raised after every ``often`` lists. A score is minus
+    half the squared distance (cosine - 1), computed around the home centroid, so
+    that its error shrinks with the distance.
     """
-    x, reps, home = unpack(rows["v"].combine_chunks(), dim), np.asarray(rows["rep"]), np.asarray(rows["home"])
+    (x, error), reps, home = unpack(rows["v"].combine_chunks(), dim), np.asarray(rows["rep"]), np.asarray(rows["home"])
     lists, ids = rows["lists"].combine_chunks(), rows["ids"].combine_chunks()
     owner = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
     which = np.asarray(lists.flatten())
@@ -204,61 +217,129 @@ def search(rows: pa.Table, ix: Index, dim: int, k: int, s: Settings, start: int
         if c < 0:
             continue
         asks = by_home[a:e]
-        mine = x[asks]
+        centre = ix.centroids[c]
+        mine = sided(x[asks] - centre, True)
         hood = ix.near[c]
-        sims = mine @ ix.centroids[hood].T
+        sims = x[asks] @ ix.centroids[hood].T
         far = np.sqrt(np.maximum(2 - 2 * sims, 1e-9))
         limit = np.minimum(np.partition(far, min(s.most_lists, len(hood)) - 1, axis=1)[:, min(s.most_lists, len(hood)) - 1], s.ratio * far.min(axis=1))
         limit = np.maximum(limit, np.partition(far, min(s.least_lists, len(hood)) - 1, axis=1)[:, min(s.least_lists, len(hood)) - 1])
         wanted = far <= limit[:, None]
         wanted[:, :start] = True
+        own, worst, width = error[asks], error.max(), -2.0 * mine[:, dim]  # squared distance of a query to the centre
+
+        def doubt(score: np.ndarray, row: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+            """How far a score may be from that of the full vectors."""
+            off, away = own[row] + other, np.sqrt(np.maximum(-2.0 * score, 0))
+            return off * away + off * off + FLOAT * (width[row] + (np.sqrt(width[row]) + away + off) ** 2) + TIE
+
+        def below(score: np.ndarray, row: np.ndarray) -> np.ndarray:
+            """The least score that may still beat a candidate of ``score``."""
+            least = score - doubt(score, row, worst)
+            for _ in range(3):
+                other = doubt(least, row, worst)
+                least = score - doubt(score, row, worst) - other
+            return least - 0.1 * other
+
+        everyone = np.arange(len(asks))
         first = np.concatenate([np.arange(bounds[h], bounds[h + 1]) for h in hood[:start]])
-        dots = mine @ stored[first].T
+        dots = mine @ sided(stored[first] - centre, False).T
         m = s.most_copies * (k + 1)  # a vector may stand here twice, and one is the query
-        thr = np.partition(dots, len(first) - m, axis=1)[:, len(first) - m] if len(first) > m else np.full(len(asks), -2, np.float32)
+        thr = below(np.partition(dots, len(first) - m, axis=1)[:, len(first) - m], everyone) if len(first) > m else np.full(len(asks), -9.0)
         kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
-        at = np.flatnonzero(dots >= thr[:, None])
+        at = np.flatnonzero(dots >= thr[:, None].astype(np.float32))
         pile = [(at // len(first), first[at % len(first)], dots.ravel()[at])] if len(first) else []
         for i in range(start, max(start, len(hood)) + 1):
             if i < len(hood):
                 lo, hi = bounds[hood[i]], bounds[hood[i] + 1]
                 q = np.flatnonzero(wanted[:, i])
                 if len(q) and hi > lo:
-                    dots = mine[q] @ stored[lo:hi].T
-                    at = np.flatnonzero(dots >= thr[q, None])
+                    dots = mine[q] @ sided(stored[lo:hi] - centre, False).T
+                    at = np.flatnonzero(dots >= thr[q, None].astype(np.float32))
                     pile.append((q[at // (hi - lo)], lo + at % (hi - lo), dots.ravel()[at]))
             if (i % often == 0 or i == start or i >= len(hood)) and pile:
                 row, j, score = (np.concatenate(p) for p in zip(*pile))
                 j = member[j]
                 other = j != asks[row]
-                kept = best(*(np.concatenate(z) for z in zip(kept, (row[other], j[other], score[other]))), k, reps)
+                row, j, score = distinct(*(np.concatenate(z) for z in zip(kept, (row[other], j[other], score[other]))), reps)
                 pile = []
-                n = np.bincount(kept[0], minlength=len(asks))
+                # of those that surely have a cosine of 1.000000, only the k smallest ids can be among the best
+                top = score - doubt(score, row, error[j]) > -2 * TIE
+                tops, head = np.cumsum(top), np.searchsorted(row, row)
+                few = ~top | (tops - tops[head] + top[head] <= k)
+                row, j, score = row[few], j[few], score[few]
+                order = np.lexsort((-score, row))
+                row, j, score = row[order], j[order], score[order]
+                n = np.bincount(row, minlength=len(asks))
                 full = n >= k
-                thr[full] = np.maximum(thr[full], kept[2][np.cumsum(n)[full] - 1])
+                last = (np.cumsum(n) - n + k - 1)[full]
+                thr[full] = np.maximum(thr[full], below(score[last].astype(np.float64), everyone[full]))
+                few = score >= thr[row]
+                kept = row[few], j[few], score[few]
         row, j, score = kept
         n = n_ids[j]
         every = np.repeat(id_at[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        row, found, score = np.repeat(row, n), flat[every], np.repeat(score, n)
-        few = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, found, score = row[few], found[few], score[few]
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(asks)))]), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(reps[asks]), ids.take(pa.array(asks)), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(np.rint(np.clip(score, -1, 1) * 10_000).astype(np.int16)))], names=["rep", "ids", "found", "score"])
+        off = doubt(score, row, error[j])
+        row, found, score, off = np.repeat(row, n), flat[every], np.repeat(score, n), np.repeat(off, n)
+        sure, maybe = settle(row, score - off, score + off, k, len(asks))
+        places = k - np.bincount(row[sure], minlength=len(asks))
+
+        def listed(chosen: np.ndarray, values: np.ndarray) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(asks)))]), pa.int32()), pa.array(values[chosen]))
+
+        yield pa.RecordBatch.from_arrays([pa.array(reps[asks]), ids.take(pa.array(asks)), listed(sure, found), listed(sure, np.minimum(score, 0).astype(np.float32)), listed(maybe, found), pa.array(places, pa.int32())], names=["rep", "ids", "found", "score", "open", "places"])
 
 
-def best(rows: np.ndarray, found: np.ndarray, score: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row, without repeats, ties by the smaller id."""
-    order = np.lexsort((ids[found], -score, rows))
+def sided(x: np.ndarray, left: bool) -> np.ndarray:
+    """Two columns more, with which the product of a left and a right side is minus half the squared distance."""
+    half, one = -0.5 * np.einsum("ij,ij->i", x, x)[:, None], np.ones((len(x), 1), np.float32)
+    return np.concatenate([x, half, one] if left else [x, one, half], axis=1)
+
+
+def distinct(rows: np.ndarray, found: np.ndarray, score: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without repeats (a vector may stand in two lists), by row and id."""
+    order = np.lexsort((-score, ids[found], rows))
     rows, found, score = rows[order], found[order], score[order]
     new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])  # a vector in two lists has the same score twice and so stands side by side
-    rows, found, score = rows[new], found[new], score[new]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[keep], found[keep], score[keep]
+    new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
+    return rows[new], found[new], score[new]
+
+
+def settle(row: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates (by row, best first) are surely among a row's k best, and which may be. ``low`` and ``high`` bound their scores."""
+
+    def nth(values: np.ndarray, n: int) -> np.ndarray:
+        """The n-th greatest value of each row, -inf if it has fewer."""
+        order = np.lexsort((-values, row))
+        count = np.bincount(row, minlength=n_rows)
+        out = np.full(n_rows, -np.inf)
+        out[count >= n] = values[order][(np.cumsum(count) - count + n - 1)[count >= n]]
+        return out
+
+    sure = low > nth(high, k + 1)[row]
+    return sure, ~sure & (high >= nth(low, k)[row])
+
+
+def ranked_open(results: DataFrame, df: DataFrame, most: int = 100_000) -> DataFrame:
+    """(rep, late, late_score): for the places that ``search`` left open, the best of the open ids by the full vectors.
+
+    Their vectors are picked by a broadcast of the ids if there are at most ``most``, else by a join.
+    """
+    stages = Stages(df.sparkSession, "open")
+    pairs = results.where(F.size("open") > 0).select("rep", "places", F.explode("open").alias("id"))
+    ids = pairs.select(F.explode(F.array("rep", "id")).alias("chunk_id")).distinct()
+    few = ids.limit(most + 1).count() <= most
+    full = df.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<float>").alias("w"))
+    full = stages.keep(full.join(F.broadcast(ids) if few else ids, "chunk_id", "left_semi"))
+    scored = pairs.join(full.select(F.col("chunk_id").alias("rep"), F.col("w").alias("x")), "rep").join(full.select(F.col("chunk_id").alias("id"), F.col("w").alias("y")), "id")
+    scored = scored.select("rep", "places", "id", (cosine(F.col("x"), F.col("y")) - 1).alias("score"))
+    order = F.row_number().over(Window.partitionBy("rep").orderBy(F.round("score", 6).desc(), "id"))
+    best = scored.withColumn("r", order).where("r <= places").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "id", "score"))).alias("best"))
+    return best.select("rep", F.col("best.id").alias("late"), F.col("best.score").cast("array<float>").alias("late_score"))
 
 
 def expanded(results: DataFrame, k: int) -> DataFrame:
-    """A row per id and neighbour of (id, ids, found, score): the other ids with an equal vector first, then what was found."""
+    """A row per id and neighbour of (id, ids, found, score): the k best of the other ids with an equal vector and of what was found, ties by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,16 +348,16 @@ def expanded(results: DataFrame, k: int) -> DataFrame:
             for i, column in enumerate((1, 2)):
                 n = np.asarray(b.column(column).value_lengths())
                 row = np.repeat(np.arange(len(me)), n)
-                score = np.full(len(row), 10_000) if i == 0 else np.asarray(b.column(3).flatten()).astype(np.int64)
-                parts.append((row, np.full(len(row), i), np.asarray(b.column(column).flatten()), score, np.arange(len(row))))
-            row, part, found, score, place = (np.concatenate([p[i] for p in parts]) for i in range(5))
+                score = np.zeros(len(row)) if i == 0 else np.asarray(b.column(3).flatten()).astype(np.float64)
+                parts.append((row, np.asarray(b.column(column).flatten()), np.round(score, 6)))
+            row, found, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
             other = found != me[row]
-            row, part, found, score, place = row[other], part[other], found[other], score[other], place[other]
-            order = np.lexsort((place, part, row))
+            row, found, score = row[other], found[other], score[other]
+            order = np.lexsort((found, -score, row))
             row, found, score = row[order], found[order], score[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
             keep = rank <= k
-            yield pa.RecordBatch.from_arrays([pa.array(me[row[keep]]), pa.array(found[keep]), pa.array(rank[keep], pa.int32()), pa.array(score[keep] / 10_000)], names=["id", "neighbour", "rank", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array(me[row[keep]]), pa.array(found[keep]), pa.array(rank[keep], pa.int32()), pa.array(np.round(1 + score[keep], 5))], names=["id", "neighbour", "rank", "cosine"])
 
     return results.mapInArrow(run, "id long, neighbour long, rank int, cosine double")
 
@@ -288,9 +369,10 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     vector of ``dim`` finite elements that aren't all zero; others (null, of
     another length, with a null or NaN) are neither queries nor neighbours.
     Equal vectors are neighbours of each other and come first; ties go to the
-    smaller id; an empty table gives an empty result. Cosines are within
-    about 0.002 (vectors are shipped with 8 bits an element). Approximate: see
-    the README for recall. Of many equal vectors only the k + 1 smallest ids
+    smaller id; an empty table gives an empty result. Cosines, and the order
+    among the k, are those of 16 bits an element (within about 0.0001); which
+    are the k of the lists searched is decided by the full vectors where that
+    is too coarse. Approximate in the lists searched: see the README for recall. Of many equal vectors only the k + 1 smallest ids
     are carried along, which is all that any list of k can show.
     """
     spark = df.sparkSession
@@ -305,7 +387,7 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("v").limit(2 * settings.sample).collect()
     if not drawn:
         drawn = classes.select("v").limit(64).collect()
-    sample = unpack(pa.array([bytes(r.v) for r in drawn], pa.binary()), dim)
+    sample, _ = unpack(pa.array([bytes(r.v) for r in drawn], pa.binary()), dim)
     ix = Index(sample, total, settings)
     index = spark.sparkContext.broadcast(ix)
 
@@ -315,7 +397,11 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
             yield from search(pa.Table.from_batches(rows), index.value, dim, k, settings)
 
     routed = route(spread(classes), index, dim, settings).repartitionById(ix.regions, "region")
-    results = routed.mapInArrow(run, "rep long, ids array<long>, found array<long>, score array<short>")
+    results = stages.keep(routed.mapInArrow(run, FOUND))
+    late = ranked_open(results, df)
+    found = F.concat("found", F.coalesce("late", F.array().cast("array<long>")))
+    score = F.concat("score", F.coalesce("late_score", F.array().cast("array<float>")))
+    results = results.join(late, "rep", "left").select("rep", "ids", found.alias("found"), score.alias("score"))
     copies = vectors.select("id", "h").join(classes.where(F.size("ids") > 1).select("h", "rep"), "h").where("id <> rep").select("id", "rep")
     members = classes.select(F.col("rep").alias("id"), "rep").unionByName(copies)
     return expanded(members.join(results, "rep").select("id", "ids", "found", "score"), k)

@@ -60,3 +60,20 @@ def test_few_and_none(spark):
     assert nearest(frame(spark, [])).count() == 0
     assert nearest(frame(spark, [(1, np.eye(64)[0])])).count() == 0
     assert [tuple(r) for r in nearest(frame(spark, [(1, np.eye(64)[0]), (2, np.eye(64)[1])])).orderBy("id").collect()] == [(1, 2, 1, 0.0), (2, 1, 1, 0.0)]
+
+
+def test_order_among_near_copies(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=64)
+    for near in (0.155, 0.03, 0.004, 0.0005):  # median cosine about 0.988, 0.9995, 0.99999 and beyond six digits
+        step = rng.normal(size=(1200, 64))
+        copies = hot / np.linalg.norm(hot) + near * step / np.linalg.norm(step, axis=1)[:, None]
+        x = np.concatenate([copies, rng.normal(size=(1200, 64))]).astype(np.float32)
+        ids = rng.permutation(2400) + 1
+        got = {}
+        # every list is searched, so that only the order is tested
+        for r in nearest(frame(spark, zip(ids, x)), settings=Settings(most_lists=256, least_lists=256, least_regions=2)).collect():
+            got.setdefault(r.id, set()).add(r.neighbour)
+        want = exact(ids, x.astype(np.float64), 10)
+        missed = sum(len(set(want[i]) - got[i]) for i in want)
+        assert missed == 0, (near, missed)
