@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -514,9 +514,11 @@ def change_debounce(t):
 def stream_debounce(t):
     """The same over a stream of the table's file, all of it, as one available-now run."""
     source = t.events
-    folder = tempfile.mkdtemp() if not t.spark.conf.get("spark.checkpoint.dir", None) else shared_folder(t.spark)
-    name = f"debounce_{abs(hash((t.folder, folder, id(source)))):x}"
+    folder = f"{shared_folder(t.spark)}/debounce-{uuid.uuid4().hex}"
     stream = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
-    run = changes.debounced(stream, "user_id", "ts", 2).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    result = changes.debounced(stream, "user_id", "ts", 2)
+    t.spark.createDataFrame([], result.schema).write.parquet(f"{folder}/result")  # a stream of no files has no batch
+    # each batch of complete mode has all groups so far
+    run = result.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/result")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return t.spark.table(name)
+    return t.spark.read.schema(result.schema).parquet(f"{folder}/result")
