@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from tarnbeck.lineage import in_blocks
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -37,16 +40,18 @@ def sigmoid(x: Column) -> Column:
 def top_cosines(queries: DataFrame, rows: DataFrame, k: int, dim: int, block: int = 1024, most_blocks: int = 64) -> DataFrame:
     """(query_id, row_id, score): the k rows of greatest cosine for each query, ties by row_id.
 
-    ``queries`` (query_id long, vector) is a stated query set: it is packed into
+    ``queries`` (query_id long, vector) is packed into
     blocks of ``block``, and every partition of ``rows`` (row_id long, vector)
     is multiplied with one block after the other. Scores are clipped at 0 and
     rounded to four digits before they are ranked. Each partition hands on at
-    most k rows a query. Beyond ``block * most_blocks`` queries use the
-    posting lists of an index instead; that is refused here.
+    most k rows a query. Beyond ``block * most_blocks`` queries there are several
+    passes over ``rows``.
     """
-    packed = queries.select("query_id", "vector").collect() if queries.limit(block * most_blocks + 1).count() <= block * most_blocks else None
-    if packed is None:
-        raise ValueError(f"more than {block * most_blocks} queries")
+    return in_blocks(queries.select("query_id", "vector"), block * most_blocks, lambda packed: cosines_of(packed, rows, k, dim, block))
+
+
+def cosines_of(packed: list[Row], rows: DataFrame, k: int, dim: int, block: int) -> tuple[DataFrame, Broadcast]:
+    """``top_cosines`` of collected queries, and the broadcast that holds them."""
     ids = np.array([r.query_id for r in packed], np.int64)
     matrix = np.array([r.vector for r in packed], np.float64).reshape(-1, dim)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1), 1e-300)[:, None]
@@ -77,4 +82,4 @@ def top_cosines(queries: DataFrame, rows: DataFrame, k: int, dim: int, block: in
         for n, r, s in kept:
             yield pa.RecordBatch.from_arrays([pa.array(qids[n]), pa.array(r), pa.array(s)], names=["query_id", "row_id", "score"])
 
-    return rows.select("row_id", "vector").mapInArrow(run, "query_id long, row_id long, score double")
+    return rows.select("row_id", "vector").mapInArrow(run, "query_id long, row_id long, score double"), shared

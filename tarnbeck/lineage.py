@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,6 +49,30 @@ class Stages:
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def in_blocks(queries: DataFrame, most: int, one_pass: Callable[[list[Row]], tuple[DataFrame, Broadcast]]) -> DataFrame:
+    """What ``one_pass`` gives for all rows of ``queries``, which has query_id, in as many passes as it takes.
+
+    ``one_pass`` gets some collected rows, and gives a DataFrame and the
+    broadcast behind it. More than ``most`` rows are dealt by a hash of query_id into
+    blocks somewhat smaller than that; each block's result is written before
+    the next is collected, so that the driver holds one block at a time.
+    """
+    rows = queries.limit(most + 1).collect()
+    if len(rows) <= most:
+        return one_pass(rows)[0]
+    del rows
+    stages = Stages(queries.sparkSession, "blocks")
+    queries = stages.keep(queries)
+    n = -(-5 * queries.count() // (4 * most))
+    parts = []
+    for i in range(n):
+        part, shared = one_pass(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect())
+        parts.append(stages.keep(part))
+        shared.destroy()
+    stages.drop(queries)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 

@@ -8,13 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbeck.functions import text as tx
 from tarnbeck.functions.vector import sigmoid, top_cosines, usable
-from tarnbeck.lineage import spread
+from tarnbeck.lineage import in_blocks, spread
 
 
 @dataclass(frozen=True)
@@ -53,24 +54,27 @@ def bm25_top(queries: DataFrame, rows: DataFrame, column: str, limits: Limits =
     """(query_id, chunk_id, bm25): for each query (query_id, query) the best ``per_list`` chunks that share a term with it, ties by chunk_id.
 
     Document frequency and mean length are taken over all of ``rows``; terms of a
-    query count once. The stated query set (at most ``most_queries``) goes to
-    every task; a task scores its chunks batch by batch and hands on no more
+    query count once. At most ``most_queries`` queries go to
+    every task at once, more are answered in several passes; a task scores its chunks batch by batch and hands on no more
     than ``per_list`` of them a query, so that frequent words cost no shuffle.
     """
-    asked = queries.where("query is not null").select("query_id", F.array_distinct(tx.terms(tx.search_text(F.col("query")))).alias("w")).limit(most_queries + 1).collect()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
+    asked = queries.where("query is not null").select("query_id", F.array_distinct(tx.terms(tx.search_text(F.col("query")))).alias("w"))
+    terms = spread(rows).select("chunk_id", tx.terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
+    n, avgdl = terms.agg(F.count("*"), F.avg(F.size("w"))).first()
+    return in_blocks(asked, most_queries, lambda asked: bm25_of(asked, terms, n, avgdl, limits))
+
+
+def bm25_of(asked: list[Row], terms: DataFrame, n: int, avgdl: float | None, limits: Limits) -> tuple[DataFrame, Broadcast]:
+    """``bm25_top`` of collected queries over the chunks' terms, and the broadcast that holds them."""
     by_term: dict[str, list[int]] = {}
     for i, r in enumerate(asked):
         for w in r.w:
             by_term.setdefault(w, []).append(i)
     vocabulary = sorted(by_term)
-    terms = spread(rows).select("chunk_id", tx.terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
-    spark = rows.sparkSession
+    spark = terms.sparkSession
     known = spark.createDataFrame([(w,) for w in vocabulary], "term string")
     seen = terms.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(known), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     df = {r.term: r.df for r in seen.collect()}
-    n, avgdl = terms.agg(F.count("*"), F.avg(F.size("w"))).first()
     idf = np.array([np.log(1 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in vocabulary])
     ids = np.array([r.query_id for r in asked], np.int64)
     place = {w: i for i, w in enumerate(vocabulary)}
@@ -106,7 +110,7 @@ def bm25_top(queries: DataFrame, rows: DataFrame, column: str, limits: Limits =
         q, c, s = kept[0]
         yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "bm25"])
 
-    return terms.mapInArrow(run, "query_id long, chunk_id long, bm25 double")
+    return terms.mapInArrow(run, "query_id long, chunk_id long, bm25 double"), shared
 
 
 def ranked(df: DataFrame, score: Column, k: int, name: str, ties: str = "chunk_id") -> DataFrame:
