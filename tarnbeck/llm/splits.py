@@ -23,6 +23,7 @@ from tarnbeck.lineage import Stages, spread
 
 from .components import components
 
+MOST_SPLITS = 64
 NOTHING = {"", "none", "n/a"}  # fixed values: anchor ids that stand for nothing
 MISS, OVER = 1, 8  # cost of a row beyond a label profile's quota, and beyond a split's
 
@@ -187,11 +188,17 @@ def assign_splits(df: DataFrame, targets: DataFrame, max_bundles: int = 20_000,
     """
     stages = Stages(df.sparkSession, "splits")
     rows, groups = relate(df, stages)
-    shares = {r.split: float(r.share) for r in targets.where("split is not null and share > 0").groupBy("split").agg(F.max("share").alias("share")).orderBy("split").limit(64).collect()}
+    shares = {r.split: float(r.share) for r in targets.where("split is not null and share > 0").groupBy("split").agg(F.max("share").alias("share")).limit(MOST_SPLITS + 1).collect()}
+    if len(shares) > MOST_SPLITS:
+        raise ValueError(f"more than {MOST_SPLITS} splits")
+    shares = dict(sorted(shares.items()))
     profile = F.round(4 * F.col("n_pos") / F.col("n_rows"))
     exact = (F.col("n_rows").cast("double"), F.col("n_pos").cast("double"), F.col("n_neg").cast("double"))
-    if groups.select(*exact).distinct().limit(max_bundles + 1).count() > max_bundles:  # sizes in steps of a sixteenth of a power of two
-        exact = (F.floor(F.log2("n_rows") * 16).cast("double"), profile.cast("double"), F.lit(0.0))
+    sizes = groups.select("n_rows", "n_pos", "n_neg").distinct()
+    if sizes.limit(max_bundles + 1).count() > max_bundles:  # the greatest sizes stay exact, the others come in steps of a sixteenth of a power of two
+        least = sizes.select("n_rows").orderBy(F.desc("n_rows")).limit(max_bundles // 2 + 1).agg(F.min("n_rows")).first()[0]
+        classed = (-1 - F.floor(F.log2("n_rows") * 16).cast("double"), profile.cast("double"), F.lit(0.0))
+        exact = tuple(F.when(F.col("n_rows") > least, x).otherwise(c) for x, c in zip(exact, classed))
     places_of = F.pmod(F.xxhash64("group_id", F.lit(seed)), F.lit(places)).cast("int")
     groups = groups.withColumns({"b0": exact[0], "b1": exact[1], "b2": exact[2], "profile": profile.cast("int"), "place": places_of})
     if not shares:

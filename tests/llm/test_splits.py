@@ -85,3 +85,14 @@ def test_flow_is_cheapest():
     assert flow == {("x", "a"): 7, ("x", "b"): 3, ("y", "a"): 3, ("y", "b"): 1}
     taken = quotas([{"id": 0, "n": 1, "size": 90, "profile": 0}, {"id": 1, "n": 10, "size": 1, "profile": 0}], {"a": 0.5, "b": 0.5})
     assert taken == {0: {"a": 1, "b": 0}, 1: {"a": 0, "b": 10}}
+
+
+def test_too_many_splits_are_refused(spark):
+    with pytest.raises(ValueError, match="more than 64 splits"):
+        run(spark, [(1, "p", None, None, 1)], [(f"s{i}", 1.0) for i in range(65)])
+
+
+def test_great_sizes_stay_exact(spark):
+    rows = [(i, "a" if i < 606 else "b" if i < 1206 else f"f/{i}", None, None, 0) for i in range(1306)]
+    n = Counter(r.split for r in run(spark, rows, [("x", 0.5), ("y", 0.5)], max_bundles=2).values())
+    assert n == {"x": 653, "y": 653}
