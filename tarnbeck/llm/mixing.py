@@ -1,11 +1,11 @@
 """Drawing a mixture of sources near target weights with capped repetition.
 
-Weights lie on a line of temperatures between the sources' own token shares
-(exponent 0) and the targets (exponent 1): own ** (1 - x) * target ** x. The
-exponent is bisected to the largest at which no source is repeated too often;
-where that keeps it under 1, the source that stands in the way gets its limit and
-the exponent of the others is bisected again. Weights become token
-budgets; a budget takes whole epochs of its source and then blocks of a
+Filling is proportional and capped: the source that would be repeated most
+beyond its limit gets its limit, the others share the rest in proportion to
+their targets, and so on. That a limit is broken is seen at the exponent of
+own ** (1 - x) * target ** x, bisected to the largest at which none is (1 if the
+targets themselves break none); tempered shares are weights only with a target
+entropy. Weights become token budgets; a budget takes whole epochs of its source and then blocks of a
 pseudo-random permutation until it is spent.
 """
 
