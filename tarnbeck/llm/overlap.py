@@ -5,8 +5,8 @@ multisets, at least ``share`` of the words of the longer one. Distinct
 questions are dealt to shards by their rare words: a pair that shares enough
 words must share one of the few rarest of each side. In a shard, an
 Aho-Corasick automaton over the words of its evaluation questions scans the
-training questions routed there; the matched intervals are added up into
-coverage per evaluation question.
+training questions routed there, which only counts their words; the counts
+give the coverage of each evaluation question on the same route.
 """
 
 from __future__ import annotations
