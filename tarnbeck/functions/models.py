@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: the instruction that models of this family were trained with.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
 

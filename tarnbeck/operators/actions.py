@@ -10,15 +10,15 @@ from tarnbeck.functions import text as tx
 
 # The category of an extension; a first match wins, everything else is Other.
 CATEGORIES = {
-    "Documents": ".pdf .docx .doc .txt .md .rtf .odt .tex",
-    "Spreadsheets": ".xlsx .xls .csv .tsv .ods",
-    "Presentations": ".pptx .ppt .key .odp",
-    "Images": ".jpg .jpeg .png .gif .webp .svg .heic .bmp .tiff",
-    "Audio": ".mp3 .wav .flac .m4a .ogg .aac",
-    "Video": ".mp4 .mov .mkv .avi .webm .m4v",
-    "Archives": ".zip .rar .7z .tar .gz .bz2 .xz",
-    "Code": ".py .js .ts .tsx .jsx .java .c .cpp .cs .go .rs .rb .php .sh .ps1 .sql .html .css .json .yaml .yml",
-    "Installers": ".exe .msi .dmg .pkg .deb .rpm .appimage",
+    "Documents": (".pdf", ".docx", ".doc", ".txt", ".md", ".rtf", ".odt", ".tex"),
+    "Spreadsheets": (".xlsx", ".xls", ".csv", ".tsv", ".ods"),
+    "Presentations": (".pptx", ".ppt", ".key", ".odp"),
+    "Images": (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".heic", ".bmp", ".tiff"),
+    "Audio": (".mp3", ".wav", ".flac", ".m4a", ".ogg", ".aac"),
+    "Video": (".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v"),
+    "Archives": (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz"),
+    "Code": (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".c", ".cpp", ".cs", ".go", ".rs", ".rb", ".php", ".sh", ".ps1", ".sql", ".html", ".css", ".json", ".yaml", ".yml"),
+    "Installers": (".exe", ".msi", ".dmg", ".pkg", ".deb", ".rpm", ".appimage"),
 }
 
 
@@ -47,7 +47,7 @@ def category(path: Column) -> Column:
     ext = tx.suffix(path)
     out = None
     for name, exts in CATEGORIES.items():
-        out = (out.when if out is not None else F.when)(ext.isin(exts.split()), F.lit(name))
+        out = (out.when if out is not None else F.when)(ext.isin(*exts), F.lit(name))
     return out.otherwise("Other")
 
 

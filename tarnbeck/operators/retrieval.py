@@ -35,6 +35,7 @@ class Limits:
 
 
 LIMITS = Limits()
+MOST_HITS, SEPARATOR = 50, "\n\n---\n\n"  # fixed values: hits a query can ask for, and what stands between them in a context
 
 
 def chunk_rows(chunks: DataFrame) -> DataFrame:
@@ -192,8 +193,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = None, dim: int
     A query without usable vector is answered from the text list, one without
     terms from the vector list, one with neither by nothing.
     """
-    if k is not None and not 1 <= k <= 50:
-        raise ValueError("k must be from 1 to 50")
+    if k is not None and not 1 <= k <= MOST_HITS:
+        raise ValueError(f"k must be from 1 to {MOST_HITS}")
     rows = chunk_rows(chunks)
     fused = with_scores(fuse(vector_list(queries, rows, dim, limits), text_list(queries, rows, limits), limits), queries, rows, dim)
     pool = pooled(confident(fused, limits), limits)
@@ -212,8 +213,12 @@ def citations(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "ref", "path", "name", "score", F.substring("text", 1, 240).alias("preview"))
 
 
+def block() -> Column:
+    """A hit as a numbered block of a model's context."""
+    return F.concat(F.lit("["), F.col("ref"), F.lit("] "), F.col("path"), F.lit("\n"), F.coalesce("text", F.lit("")))
+
+
 def context(hits: DataFrame) -> DataFrame:
-    """(query_id, context): the hits of a query as numbered blocks; at most 50 a query."""
-    block = F.concat(F.lit("["), F.col("ref"), F.lit("] "), F.col("path"), F.lit("\n"), F.coalesce("text", F.lit("")))
-    listed = F.array_sort(F.collect_list(F.struct("ref", block.alias("b"))))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n---\n\n").alias("context"))
+    """(query_id, context): the hits of a query as numbered blocks; at most ``MOST_HITS`` a query."""
+    listed = F.array_sort(F.collect_list(F.struct("ref", block().alias("b"))))
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(listed, lambda x: x["b"]), SEPARATOR).alias("context"))

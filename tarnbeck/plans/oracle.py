@@ -5,6 +5,7 @@ from __future__ import annotations
 WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\p{Z}]"
 NOT_WORD, NOT_NAME = r"[^\p{L}\p{N}_\s]", r"[^\p{L}\p{N}_\-. ]"
+# Fixed values, stated again so that the SQL stands on its own: extensions that are indexed, folders that never are, the category of an extension.
 PLAIN = "txt md markdown rst org tex log csv tsv json jsonl yaml yml toml ini cfg html htm xml py js jsx ts tsx mjs cjs vue svelte java kt c h cpp hpp cc cs go rs rb php swift scala lua r jl sh bash zsh ps1 bat sql pdf docx"
 HIDDEN = "['node_modules', '.git', '.svn', '.hg', '__pycache__', '.venv', 'venv', '.tox', '.mypy_cache', '.pytest_cache', '.ruff_cache', 'dist', 'build', 'out', 'target', '.next', '.nuxt', '.cache', '.gradle', '.idea', '.vs', '$RECYCLE.BIN', 'System Volume Information', 'AppData']"
 KINDS = (("Documents", "pdf docx doc txt md rtf odt tex"), ("Spreadsheets", "xlsx xls csv tsv ods"), ("Presentations", "pptx ppt key odp"), ("Images", "jpg jpeg png gif webp svg heic bmp tiff"), ("Audio", "mp3 wav flac m4a ogg aac"), ("Video", "mp4 mov mkv avi webm m4v"), ("Archives", "zip rar 7z tar gz bz2 xz"), ("Code", "py js ts tsx jsx java c cpp cs go rs rb php sh ps1 sql html css json yaml yml"), ("Installers", "exe msi dmg pkg deb rpm appimage"))

@@ -19,6 +19,7 @@ from tarnbeck.streaming import changes
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 DIM = 64
+REMIND = "can you remind me "  # fixed value: how a paraphrase starts
 FLOORS = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.34, 0.5, 0.75, 0.9]
 
 
@@ -227,7 +228,7 @@ def query_templates(t):
     words = F.filter(F.split("fact", r"\s+"), lambda w: w != "")
     last = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), n), " ")
     keyword = F.when(F.length("value") <= 24, F.col("value")).otherwise(last(4))
-    rows = t.anchors.where("id is not null and fact is not null").select("id", keyword.alias("keyword"), F.concat("fact", F.lit("?")).alias("natural"), F.concat(F.lit("can you remind me "), fact).alias("paraphrase"), F.lower(last(3)).alias("partial"))
+    rows = t.anchors.where("id is not null and fact is not null").select("id", keyword.alias("keyword"), F.concat("fact", F.lit("?")).alias("natural"), F.concat(F.lit(REMIND), fact).alias("paraphrase"), F.lower(last(3)).alias("partial"))
     return rows.distinct()
 
 

@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from tarnbeck.functions import text as tx
 
 # Extensions that are indexed, and folders that never are.
-PLAIN = ".txt .md .markdown .rst .org .tex .log .csv .tsv .json .jsonl .yaml .yml .toml .ini .cfg .env.example .html .htm .xml .py .js .jsx .ts .tsx .mjs .cjs .vue .svelte .java .kt .c .h .cpp .hpp .cc .cs .go .rs .rb .php .swift .scala .lua .r .jl .sh .bash .zsh .ps1 .bat .sql".split()
-RICH = [".pdf", ".docx"]
-SKIPPED = "node_modules,.git,.svn,.hg,__pycache__,.venv,venv,.tox,.mypy_cache,.pytest_cache,.ruff_cache,dist,build,out,target,.next,.nuxt,.cache,.gradle,.idea,.vs,$RECYCLE.BIN,System Volume Information,AppData".split(",")
+PLAIN = (".txt", ".md", ".markdown", ".rst", ".org", ".tex", ".log", ".csv", ".tsv", ".json", ".jsonl", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".env.example", ".html", ".htm", ".xml", ".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".vue", ".svelte", ".java", ".kt", ".c", ".h", ".cpp", ".hpp", ".cc", ".cs", ".go", ".rs", ".rb", ".php", ".swift", ".scala", ".lua", ".r", ".jl", ".sh", ".bash", ".zsh", ".ps1", ".bat", ".sql")
+RICH = (".pdf", ".docx")
+SKIPPED = ("node_modules", ".git", ".svn", ".hg", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "out", "target", ".next", ".nuxt", ".cache", ".gradle", ".idea", ".vs", "$RECYCLE.BIN", "System Volume Information", "AppData")
 LARGEST, LARGEST_PDF = 20 << 20, 100 << 20
 
 
@@ -70,7 +70,7 @@ class _Reader(DataSourceReader):
 def indexable(path: Column, size: Column) -> Column:
     """Known extension and 0 < size <= 20 MB, for PDF 100 MB."""
     ext = tx.suffix(path)
-    return ext.isin(PLAIN + RICH) & (size > 0) & (size <= F.when(ext == ".pdf", LARGEST_PDF).otherwise(LARGEST))
+    return ext.isin(*PLAIN, *RICH) & (size > 0) & (size <= F.when(ext == ".pdf", LARGEST_PDF).otherwise(LARGEST))
 
 
 def visible(path: Column, files_too: bool) -> Column:
@@ -78,7 +78,7 @@ def visible(path: Column, files_too: bool) -> Column:
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
     if not files_too:
         parts = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return ~F.exists(parts, lambda p: p.startswith(".") | p.isin(SKIPPED))
+    return ~F.exists(parts, lambda p: p.startswith(".") | p.isin(*SKIPPED))
 
 
 def scanned(listing: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def test_listing_and_scan(spark, tmp_path):
 
 def docx(tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = f'<w:document {w}><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+    body = f'<w:document {w}><w:body><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t><w:br/><w:t>three</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
     with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
         z.writestr("word/document.xml", body)
     return (tmp_path / "x.docx").read_bytes()
@@ -36,7 +36,7 @@ def test_extraction(spark, tmp_path):
     df = spark.createDataFrame(rows, "path string, content binary")
     got = [r[0] for r in df.select(extract.extract_text("path", "content")).collect()]
     assert got[:4] == ["é", "bom", None, "caf\xe9s"]
-    assert got[4] == "One\na\tb"
+    assert got[4] == "One\ttwo\nthree\na\tb"
     assert got[5:10] == [None, None, None, "", "x"]
     assert got[10] == "\x81\x8d\x8f"
 
