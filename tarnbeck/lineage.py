@@ -12,26 +12,43 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOTS: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, else a temporary one (tests)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one in local mode; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(spark, "_tarnbeck_folder", None):
         spark._tarnbeck_folder = "file://" + tempfile.mkdtemp(prefix="tarnbeck-")
     return spark._tarnbeck_folder
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that earlier jobs of this driver wrote into the shared folder; their results can't be read any more."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
 class Stages:
     """Tables written by one job into the shared folder.
 
     ``keep(df)`` writes ``df`` and returns it as read back, so that a lost
     executor costs a re-read and not the whole lineage. ``drop(df)`` deletes a
-    table that no later plan reads.
+    table that no later plan reads; what is left is deleted by ``clear``.
     """
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}", 0
+        _ROOTS.add(self.root)
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -42,11 +59,11 @@ class Stages:
         self.paths[id(kept)] = path
         return kept
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.paths.pop(id(df), None)
-        if path:
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            path = self.paths.pop(id(df), None)
+            if path:
+                _delete(self.spark, path)
 
 
 def in_blocks(queries: DataFrame, most: int, one_pass: Callable[[list[Row]], tuple[DataFrame, Broadcast]]) -> DataFrame:
