@@ -1,22 +1,49 @@
+from math import log
+
 import pytest
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.mixing import at_temperature, budgets, entropy, entropy_weights, mix
+from tarnbeck.lineage import Stages
+from tarnbeck.llm.mixing import budgets, mix
+
+
+def entropy(shares):
+    return -sum(w * log(w) for w in shares.values() if w > 0)
+
+
+def drawn(spark, sizes, targets, limits, total):
+    rows = spark.createDataFrame([(s, sizes.get(s, 0), t, limits[s]) for s, t in targets.items()], "source string, size long, target double, limit int")
+    table, x = budgets(rows, total, Stages(spark, "test"))
+    return {r.source: r.budget for r in table.collect()}, x
+
+
+def test_targets_are_met_while_no_limit_binds(spark):
+    sizes, targets, limits = {"a": 1000, "b": 100}, {"a": 0.5, "b": 0.4, "c": 0.1}, {"a": 1, "b": 3, "c": 2}
+    assert drawn(spark, sizes, targets, limits, 180) == ({"a": 100, "b": 80, "c": 0}, 1.0)
+    assert drawn(spark, {}, targets, limits, 10)[0] == {"a": 0, "b": 0, "c": 0}
+
+
+def test_a_limit_lowers_the_exponent_and_that_gives_the_weights(spark):
+    sizes, targets, limits = {"a": 1000, "b": 100, "c": 400}, {"a": 0.4, "b": 0.4, "c": 0.2}, {"a": 9, "b": 3, "c": 9}
+    got, x = drawn(spark, sizes, targets, limits, 1500)
+    assert 0 < x < 1 and abs(sum(got.values()) - 1500) <= 2 and 298 <= got["b"] <= 300
+    u = {s: (sizes[s] / 1500) ** (1 - x) * targets[s] ** x for s in sizes}
+    assert got == {s: pytest.approx(1500 * u[s] / sum(u.values()), abs=1) for s in u}
+    # the plain targets, with the short source at its limit, would give others
+    assert abs(got["a"] - (1500 - 300) * 2 / 3) > 20
 
 
-def test_budgets_meet_targets_or_limits():
-    sizes, targets, limits = {"a": 1000, "b": 100, "c": 0}, {"a": 0.5, "b": 0.4, "c": 0.1}, {"a": 1, "b": 3, "c": 2}
-    assert budgets(sizes, targets, limits, 180) == {"a": 100, "b": 80, "c": 0}
-    assert budgets(sizes, targets, limits, 900) == {"a": 600, "b": 300, "c": 0}
-    assert budgets(sizes, targets, limits, 10**9) == {"a": 1000, "b": 300, "c": 0}
-    assert budgets({}, targets, limits, 10) == {"a": 0, "b": 0, "c": 0}
+def test_more_than_there_is(spark):
+    sizes, targets, limits = {"a": 1000, "b": 100}, {"a": 0.5, "b": 0.5}, {"a": 1, "b": 3}
+    assert drawn(spark, sizes, targets, limits, 10**9)[0] == {"a": 1000, "b": 300}
+    assert drawn(spark, sizes, targets, limits, 1200)[0] == {"a": 1000, "b": 200}
 
 
-def test_temperature_meets_an_entropy():
-    sizes = {"a": 900, "b": 90, "c": 10}
-    for wanted in (0.4, 0.8, 1.05):
-        weights, x = entropy_weights(sizes, wanted)
-        assert 0 <= x <= 1 and entropy(weights) == pytest.approx(max(wanted, entropy(at_temperature({s: n / 1000 for s, n in sizes.items()}, 0))), abs=1e-6)
+def test_any_number_of_sources(spark):
+    rows = spark.range(30_000).selectExpr("cast(id as string) as source", "id % 7 + 1 as size", "1.0D + id % 5 as target", "cast(1 + id % 3 as int) as limit")
+    table, x = budgets(rows, 100_000, Stages(spark, "test"))
+    out = table.join(rows.select("source", "limit"), "source").agg(F.count("*").alias("n"), F.sum("budget").alias("total"), F.max(F.expr("budget - size * limit")).alias("over")).first()
+    assert out.n == 30_000 and out.over <= 0 and 0 <= x <= 1 and abs(out.total - 100_000) < 15_000  # budgets of a few tokens are rounded
 
 
 def frames(spark, sizes, targets):
@@ -32,16 +59,17 @@ def test_shares_and_repeats(spark):
     shares = {r.source: r for r in m.shares.collect()}
     rows = m.documents.collect()
     assert set(shares) == {"a", "b", "c", "gone"} and shares["gone"].tokens == 0
+    assert 0 < m.exponent < 1 and {r.exponent for r in shares.values()} == {round(m.exponent, 6)}
     for s in ("a", "b", "c"):
         mine = [r for r in rows if r.source == s]
         assert max(r.repeats for r in mine) <= {"a": 1, "b": 4, "c": 3}[s] == shares[s].max_repeats
         assert max(r.repeats for r in mine) - min(r.repeats for r in mine) <= 1
         assert sum(r.n_tokens * r.repeats for r in mine) == shares[s].tokens
     assert len(rows) == len({r.doc_id for r in rows})
-    exact = mix(docs, targets, total_tokens=800, blocks=16)
+    exact = mix(docs, targets, total_tokens=800, block_docs=4)
     got = {r.source: r.actual_share for r in exact.shares.collect()}
     assert got["a"] == pytest.approx(0.6, abs=0.02) and got["b"] == pytest.approx(0.3, abs=0.02) and got["c"] == pytest.approx(0.1, abs=0.02)
-    assert sorted(map(tuple, exact.documents.collect())) == sorted(map(tuple, mix(docs, targets, total_tokens=800, blocks=16).documents.collect()))
+    assert sorted(map(tuple, exact.documents.collect())) == sorted(map(tuple, mix(docs, targets, total_tokens=800, block_docs=4).documents.collect()))
 
 
 def test_entropy_target(spark):
