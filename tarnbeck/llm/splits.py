@@ -2,7 +2,7 @@
 
 Records that share a file, an anchor or a question, directly or through other
 records, form one component. Components of identical size and label profile
-are bundled; a min-cost flow over the bundles decides how many rows of each go
+(rows, positives, negatives) are bundled; a min-cost flow with a node a bundle decides how many rows of each go
 to which split; the flow is rounded to whole components, and components take
 their places in the order of a hash. Only the bundle table (its size is
 bounded by ``max_bundles``) reaches the driver.
@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from .components import components
 
 MOST_SPLITS = 64
 NOTHING = {"", "none", "n/a"}  # fixed values: anchor ids that stand for nothing
-MISS, OVER = 1, 8  # cost of a row beyond a label profile's quota, and beyond a split's
+MISS, OVER = 1, 8  # cost of a row beyond a split's share of a bundle, and beyond its quota
 
 
 def normal_path(path: str | None) -> str | None:
@@ -63,7 +65,7 @@ def keyed(df: DataFrame) -> DataFrame:
 
 def relate(df: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Rows (pair_id, root) and components (root, group_id, n_rows, n_pos, n_neg, n_paths)."""
-    rows = stages.keep(keyed(spread(df)))
+    first = rows = stages.keep(keyed(spread(df)))
     hub = F.coalesce("p", "a", "q")
     triples = rows.groupBy("p", "a", "q").agg(F.lit(1).alias("one"))
     links = triples.select(F.explode(F.array(F.struct(hub.alias("u"), F.col("a").alias("v")), F.struct(hub.alias("u"), F.col("q").alias("v")))).alias("e")).select("e.*")
@@ -73,105 +75,121 @@ def relate(df: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
     rows = stages.keep(rows.join(roots, "node", "left").select("pair_id", "label", "p", F.coalesce("root", "node").alias("root")))
     parts = rows.groupBy("root", "p").agg(F.min("pair_id").alias("low"), F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
     groups = parts.groupBy("root").agg(F.min("low").alias("group_id"), F.sum("n").alias("n_rows"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.count("p").alias("n_paths"))
-    return rows.select("pair_id", "root"), stages.keep(groups)
+    groups = stages.keep(groups)
+    stages.drop(first)
+    return rows.select("pair_id", "root"), groups
 
 
-def min_cost_flow(supply: dict, middle: dict, ends: dict, wanted: dict) -> dict:
-    """Rows of each source (a bundle) for each split at least deviation cost.
+class Flow:
+    """Min-cost flow of bundles into splits: source - bundle - split - sink.
 
-    ``supply`` {source: (profile, rows)}; ``middle`` {(profile, split): rows free of charge};
-    ``ends`` {split: rows free of charge}; ``wanted`` the split order that breaks ties.
-    Successive cheapest paths on the network source - (profile, split) - split,
-    in which each stage has a free arc up to its quota and a charged one beyond it.
+    The arc from a bundle to a split is free up to the whole components that make
+    up the split's share of the bundle (which keeps sizes and labels alike in all splits)
+    and costs MISS a row beyond them; the arc of a split to the sink is free up to
+    its quota and costs OVER a row beyond it. Bundles are sent one after the other
+    along cheapest paths, found by Dijkstra's algorithm with potentials. A path may
+    take back what earlier bundles sent; as every path alternates between bundles and splits,
+    only the splits are kept in the heap, and for two splits the bundles that could move between them, by cost.
     """
-    if not supply:
-        return {}
-    nodes = {"s": 0, "t": 1}
-    arcs: list[list] = []  # to, room, cost
-    out: dict[int, list[int]] = {}
-
-    def arc(u, v, room: int, cost: int) -> None:
-        a, b = (nodes.setdefault(x, len(nodes)) for x in (u, v))
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            out.setdefault(x, []).append(len(arcs))
-            arcs.append([y, r, c])
-
-    total = sum(n for _, n in supply.values())
-    flow = {}
-    for b, (profile, n) in supply.items():
-        arc("s", ("b", b), n, 0)
-        for s in wanted:
-            flow[b, s] = len(arcs)
-            arc(("b", b), ("m", profile, s), n, 0)
-    for (profile, s), quota in middle.items():
-        arc(("m", profile, s), ("e", s), max(0, quota), 0)
-        arc(("m", profile, s), ("e", s), total, MISS)
-    for s, quota in ends.items():
-        arc(("e", s), "t", max(0, quota), 0)
-        arc(("e", s), "t", total, OVER)
-    while True:
-        far, via = {0: 0}, {}
-        queue = [0]
-        while queue:  # Bellman-Ford with a queue
-            x = queue.pop(0)
-            for k in out[x]:
-                y, room, cost = arcs[k]
-                if room > 0 and far[x] + cost < far.get(y, 1 << 60):
-                    far[y], via[y] = far[x] + cost, k
-                    if y not in queue:
-                        queue.append(y)
-        if 1 not in far:
-            return {key: arcs[k ^ 1][1] for key, k in flow.items()}
-        path, x = [], 1
-        while x != 0:
-            path.append(via[x])
-            x = arcs[via[x] ^ 1][0]
-        push = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= push
-            arcs[k ^ 1][1] += push
-
-
-def quotas(bundles: list[dict], shares: dict[str, float], lumpy: int = 64) -> dict[int, dict[str, int]]:
-    """Whole components of every bundle for every split.
-
-    The largest bundles are fixed one after the other, each by a flow over all
-    that is left, as a component larger than a quota has to go somewhere whole
-    and changes what the others should do. The many small ones share one flow.
+
+    def __init__(self, bundles: list[dict], shares: dict[str, float]) -> None:
+        self.splits = list(shares)
+        self.free = {b["id"]: [min(b["n"], ceil(shares[s] * b["n"] - 1e-9)) * b["size"] for s in self.splits] for b in bundles}
+        self.flow: dict[int, list[int]] = {}
+        k = len(self.splits)
+        rows = sum(b["n"] * b["size"] for b in bundles)
+        self.room = [round(shares[s] * rows) for s in self.splits]
+        self.potential = [0] * k
+        self.movers = [[{-MISS: {}, 0: {}, MISS: {}} for _ in range(k)] for _ in range(k)]  # dicts as ordered sets
+        self.cost_of: dict[tuple[int, int, int], int] = {}
+        for b in sorted(bundles, key=lambda b: (-b["size"], b["id"])):
+            self.flow[b["id"]] = [0] * k
+            left = b["n"] * b["size"]
+            while left:
+                left -= self.augment(b["id"], left)
+
+    def file(self, b: int) -> None:
+        """Where a bundle's rows could move at which cost, after its flow has changed."""
+        f, free = self.flow[b], self.free[b]
+        for s in range(len(f)):
+            for t in range(len(f)):
+                if s != t:
+                    cost = (0 if f[t] < free[t] else MISS) - (MISS if f[s] > free[s] else 0) if f[s] else None
+                    old = self.cost_of.get((b, s, t))
+                    if cost != old:
+                        if old is not None:
+                            del self.movers[s][t][old][b]
+                        if cost is None:
+                            del self.cost_of[b, s, t]
+                        else:
+                            self.movers[s][t][cost][b], self.cost_of[b, s, t] = None, cost
+
+    def augment(self, b: int, most: int) -> int:
+        """Sends up to ``most`` rows of a bundle along one cheapest path."""
+        f, free, k = self.flow[b], self.free[b], len(self.splits)
+        far = [(0 if f[s] < free[s] else MISS) - self.potential[s] for s in range(k)]
+        via: list[tuple[int, int] | None] = [None] * k
+        heap = [(far[s], -self.room[s], s) for s in range(k)]
+        heapify(heap)
+        done: set[int] = set()
+        while heap:
+            d, _, s = heappop(heap)
+            if s in done:
+                continue
+            done.add(s)
+            for t in range(k):
+                cost = next((c for c, who in self.movers[s][t].items() if who), None) if t not in done else None
+                if cost is not None and d + cost + self.potential[s] - self.potential[t] < far[t]:
+                    far[t] = d + cost + self.potential[s] - self.potential[t]
+                    via[t] = (s, next(iter(self.movers[s][t][cost])))
+                    heappush(heap, (far[t], -self.room[t], t))
+        self.potential = [p + d for p, d in zip(self.potential, far)]
+        end = min(range(k), key=lambda s: (self.potential[s] + (0 if self.room[s] > 0 else OVER), -self.room[s]))
+        steps, s = [], end
+        while via[s] is not None:
+            steps.append((via[s][1], via[s][0], s))
+            s = via[s][0]
+        push = min(most, self.room[end]) if self.room[end] > 0 else most
+        if f[s] < free[s]:
+            push = min(push, free[s] - f[s])
+        for other, x, y in steps:
+            g, h = self.flow[other], self.free[other]
+            push = min(push, g[x] - h[x] if g[x] > h[x] else g[x])
+            if g[y] < h[y]:
+                push = min(push, h[y] - g[y])
+        self.room[end] -= push
+        f[s] += push
+        for other, x, y in steps:
+            self.flow[other][x] -= push
+            self.flow[other][y] += push
+        for other in {b, *(o for o, _, _ in steps)}:
+            self.file(other)
+        return push
+
+
+def quotas(bundles: list[dict], shares: dict[str, float]) -> dict[int, dict[str, int]]:
+    """Whole components of every bundle for every split: the flow, rounded.
+
+    From the largest components on, what rounding gave a split too much or too little is made up
+    for by all later bundles in proportion to their rows.
     """
-    rows = sum(b["n"] * b["size"] for b in bundles)
-    ends = {s: round(x * rows) for s, x in shares.items()}
-    per: dict = {}
-    for b in bundles:
-        per[b["profile"]] = per.get(b["profile"], 0) + b["n"] * b["size"]
-    middle = {(p, s): round(x * n) for p, n in per.items() for s, x in shares.items()}
-    order = sorted(bundles, key=lambda b: (-b["size"], b["id"]))
+    flow = Flow(bundles, shares).flow
+    left = sum(b["n"] * b["size"] for b in bundles)
+    owed = dict.fromkeys(shares, 0.0)
     out: dict[int, dict[str, int]] = {}
-
-    def settle(b: dict, flow: dict[str, float]) -> None:
-        take = {s: min(b["n"], int(f / b["size"] + 1e-9)) for s, f in flow.items()}
-        for _ in range(b["n"] - sum(take.values())):
-            gap = {s: ends[s] + 0.01 * middle[b["profile"], s] - take[s] * b["size"] for s in shares}
-            take[max(gap, key=lambda s: (gap[s], shares[s]))] += 1
-        for s, k in take.items():
-            ends[s] -= k * b["size"]
-            middle[b["profile"], s] -= k * b["size"]
+    for b in sorted(bundles, key=lambda b: (-b["size"], b["id"])):
+        sent = dict(zip(shares, flow[b["id"]]))
+        want = {s: max(0.0, sent[s] + owed[s] * b["n"] * b["size"] / left) for s in shares}
+        take, n = dict.fromkeys(shares, 0), b["n"]
+        for s in sorted(shares, key=lambda s: -want[s]):
+            take[s] = min(n, int(want[s] / b["size"] + 1e-9))
+            n -= take[s]
+        for _ in range(n):
+            take[max(shares, key=lambda s: (want[s] - take[s] * b["size"], shares[s]))] += 1
+        for s in shares:
+            owed[s] += sent[s] - take[s] * b["size"]
+        left -= b["n"] * b["size"]
         out[b["id"]] = take
-
-    for i, b in enumerate(order[:lumpy]):
-        rest: dict = {b["id"]: (b["profile"], b["n"] * b["size"])}
-        for x in order[i + 1 :]:
-            key = ("rest", x["profile"])
-            rest[key] = (x["profile"], rest.get(key, (0, 0))[1] + x["n"] * x["size"])
-        flow = min_cost_flow(rest, middle, ends, shares)
-        settle(b, {s: flow[b["id"], s] for s in shares})
-    pooled: dict = {}
-    for x in order[lumpy:]:
-        pooled[x["profile"]] = pooled.get(x["profile"], 0) + x["n"] * x["size"]
-    flow = min_cost_flow({("rest", p): (p, n) for p, n in pooled.items()}, middle, ends, shares)
-    for x in order[lumpy:]:
-        n = pooled[x["profile"]]
-        settle(x, {s: flow[("rest", x["profile"]), s] * x["n"] * x["size"] / n for s in shares})
     return out
 
 
@@ -200,14 +218,14 @@ def assign_splits(df: DataFrame, targets: DataFrame, max_bundles: int = 20_000,
         classed = (-1 - F.floor(F.log2("n_rows") * 16).cast("double"), profile.cast("double"), F.lit(0.0))
         exact = tuple(F.when(F.col("n_rows") > least, x).otherwise(c) for x, c in zip(exact, classed))
     places_of = F.pmod(F.xxhash64("group_id", F.lit(seed)), F.lit(places)).cast("int")
-    groups = groups.withColumns({"b0": exact[0], "b1": exact[1], "b2": exact[2], "profile": profile.cast("int"), "place": places_of})
+    groups = groups.withColumns({"b0": exact[0], "b1": exact[1], "b2": exact[2], "place": places_of})
     if not shares:
         return rows.join(groups, "root").select("pair_id", "group_id", "n_paths", F.lit(None).cast("string").alias("split"))
     whole = sum(shares.values())
     shares = {s: x / whole for s, x in shares.items()}
     key = ["b0", "b1", "b2"]
-    table = groups.groupBy(*key).agg(F.count("*").alias("n"), F.avg("n_rows").alias("size"), F.min("profile").alias("profile")).collect()
-    bundles = [{"id": i, "n": r.n, "size": max(1, round(r["size"])), "profile": r.profile} for i, r in enumerate(table)]
+    table = groups.groupBy(*key).agg(F.count("*").alias("n"), F.avg("n_rows").alias("size")).collect()
+    bundles = [{"id": i, "n": r.n, "size": max(1, round(r["size"]))} for i, r in enumerate(table)]
     taken = quotas(bundles, shares)
     ends = []
     for i, r in enumerate(table):

@@ -1,9 +1,11 @@
+import itertools
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.splits import assign_splits, min_cost_flow, normal_path, normal_query, quotas
+from tarnbeck.llm.splits import MISS, OVER, Flow, assign_splits, normal_path, normal_query, quotas
 
 SCHEMA = "pair_id long, path string, anchor_id string, query string, label int"
 
@@ -80,11 +82,34 @@ def test_empty(spark):
     assert run(spark, [], TARGETS) == {}
 
 
+def cost(flow, free, quota):
+    over = sum(max(0, sum(f[s] for f in flow.values()) - q) for s, q in enumerate(quota))
+    return OVER * over + MISS * sum(max(0, f[s] - free[b][s]) for b, f in flow.items() for s in range(len(f)))
+
+
 def test_flow_is_cheapest():
-    flow = min_cost_flow({"x": ("p", 10), "y": ("q", 4)}, {("p", "a"): 7, ("p", "b"): 3, ("q", "a"): 3, ("q", "b"): 1}, {"a": 10, "b": 4}, {"a": 0.7, "b": 0.3})
-    assert flow == {("x", "a"): 7, ("x", "b"): 3, ("y", "a"): 3, ("y", "b"): 1}
-    taken = quotas([{"id": 0, "n": 1, "size": 90, "profile": 0}, {"id": 1, "n": 10, "size": 1, "profile": 0}], {"a": 0.5, "b": 0.5})
-    assert taken == {0: {"a": 1, "b": 0}, 1: {"a": 0, "b": 10}}
+    rng = random.Random(2)
+    for _ in range(60):
+        shares = dict(zip("abc", [(0.6, 0.2, 0.2), (0.5, 0.3, 0.2), (0.34, 0.33, 0.33)][rng.randrange(3)]))
+        bundles = [{"id": i, "n": rng.randint(1, 2), "size": rng.randint(1, 4)} for i in range(3)]
+        found = Flow(bundles, shares)
+        quota = [round(x * sum(b["n"] * b["size"] for b in bundles)) for x in shares.values()]
+        ways = [[(x, y, b["n"] * b["size"] - x - y) for x in range(b["n"] * b["size"] + 1) for y in range(b["n"] * b["size"] + 1 - x)] for b in bundles]
+        best = min(cost(dict(enumerate(w)), found.free, quota) for w in itertools.product(*ways))
+        assert all(sum(found.flow[b["id"]]) == b["n"] * b["size"] for b in bundles)
+        assert cost(found.flow, found.free, quota) == best
+
+
+def test_rounding_keeps_quotas():
+    assert quotas([{"id": 0, "n": 1, "size": 90}, {"id": 1, "n": 10, "size": 1}], {"a": 0.5, "b": 0.5}) == {0: {"a": 1, "b": 0}, 1: {"a": 0, "b": 10}}
+    rng = random.Random(3)
+    shares = {"train": 0.8, "val": 0.1, "test": 0.1}
+    bundles = [{"id": i, "n": rng.randint(1, 40), "size": i + 1} for i in range(3000)]
+    taken = quotas(bundles, shares)
+    rows = sum(b["n"] * b["size"] for b in bundles)
+    assert all(sum(taken[b["id"]].values()) == b["n"] for b in bundles)
+    for s, x in shares.items():
+        assert abs(sum(taken[b["id"]][s] * b["size"] for b in bundles) - x * rows) <= 3
 
 
 def test_too_many_splits_are_refused(spark):
