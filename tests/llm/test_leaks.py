@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import words
-from tarnbeck.llm.leaks import find_leaks, word_spans
+from tarnbeck.llm.leaks import Patterns, find_leaks, word_spans
 
 WORDS = [f"w{i}" for i in range(40)]
 PASSAGE = " ".join(WORDS[:20])
@@ -68,3 +68,17 @@ def test_word_spans_cover_the_words(text):
     spans = word_spans(text)
     assert len(spans) == len(words(text))
     assert all(0 <= a < b <= len(text) for a, b in spans)
+
+
+def test_more_shards_than_one_driver_would_hold(spark):
+    rows = sorted(map(tuple, find_leaks(*frames(spark)).collect()))
+    probes = PROBES + [(100 + i, f"filler question {i}", " ".join(f"f{i}x{k}" for k in range(30))) for i in range(60)]
+    assert sorted(map(tuple, find_leaks(*frames(spark, TRAIN, probes), shard_chars=300).collect())) == rows
+
+
+def test_automaton_grows_with_the_words():
+    for n in (1000, 4000):
+        held_out = Patterns([(1, "passage", " ".join(f"w{i % 700}" + "y" * (i // 700) for i in range(n)))], 12)
+        assert len(held_out.search) <= n / 6 and held_out.search.get_stats()["nodes_count"] <= n + 1
+    assert held_out.runs([f"w{i}" for i in range(5, 17)], "passage") == {1: [(0, 12)]}
+    assert held_out.runs([f"w{i}" for i in range(5, 16)], "passage") == {}
