@@ -1,10 +1,11 @@
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import words
-from tarnbeck.llm.overlap import find_overlaps, overlap_report
+from tarnbeck.llm.overlap import Shard, common_words, covered, find_overlaps, overlap_report
 
 SCHEMA = "pair_id long, query string, label int, split string, style string"
 
@@ -34,7 +35,7 @@ def table():
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize("options", [{}, {"shards": 1, "salt_rows": 2}, {"shards": 50}])
+@pytest.mark.parametrize("options", [{}, {"shards": 1, "part_rows": 3}, {"shards": 50}])
 def test_against_brute_force(spark, options):
     rows = table()
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"key": F.lit(1), "side": F.lit(2), "row_id": F.lit(3), "text": F.lit("t")})
@@ -52,3 +53,31 @@ def test_report_counts_rows_and_pairs(spark):
 def test_empty(spark):
     assert find_overlaps(spark.createDataFrame([], SCHEMA)).count() == 0
     assert find_overlaps(spark.createDataFrame([(1, "a", 1, "val", None)], SCHEMA)).count() == 0
+
+
+def test_coverage_on_a_circle():
+    assert covered([(0, 2), (1, 3)], 5) == 3 and covered([(4, 6), (0, 1)], 5) == 2 and covered([(2, 4), (0, 1)], 5) == 3 and covered([], 5) == 0
+
+
+def test_intervals_cover_what_the_bound_says():
+    """Links come from the merged intervals: the bound loses no pair of random sets, and without neighbours nothing is covered enough."""
+    rng = random.Random(1)
+    links = 0
+    for _ in range(3000):
+        n, share = rng.randint(1, 14), rng.choice([0.75, 0.8])
+        left = rng.sample(range(40), n)
+        right = set(rng.sample(left, rng.randint((n + 1) // 2, n))) | set(rng.sample(range(40), rng.randint(0, n // 2)))
+        text = lambda ws: " ".join(f"w{i:02}" for i in sorted(ws))
+        shard = Shard(share)
+        shard.add(b"e", "", text(left))
+        got = list(shard.matches("", text(right)))
+        longer = max(n, len(right))
+        want = len(right & set(left)) >= common_words(longer, share)
+        assert bool(got) == want
+        links += want
+    assert links > 300
+    shard = Shard(0.75)
+    shard.add(b"e", "", "a b c d e f")
+    assert list(shard.matches("", "a b c d e x")) == [(b"e", 5, 6)]
+    shard.pairs = [frozenset()]
+    assert list(shard.matches("", "a b c d e x")) == []
