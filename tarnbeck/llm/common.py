@@ -39,8 +39,8 @@ def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
 class Frequencies:
     """Counts of all tokens of a corpus, folded into ``2 ** bits`` counters of one byte.
 
-    The size does not depend on the data (16 MB by default), so the counters
-    may be sent to every worker. A counter stands for at least its tokens' own
+    The size is bounded whatever the data, so the counters
+    may be sent to every worker; with more tokens they only tell frequent from rare ones less finely. A counter stands for at least its tokens' own
     counts: exact up to 31, then in steps of a fourteenth of a power of two. Used to order
     tokens from rare to frequent, and to tell tokens that occur only once.
     """
@@ -52,7 +52,12 @@ class Frequencies:
         return self.counters[(tokens & self.mask).astype(np.int64)]
 
     @staticmethod
-    def count(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int = 24, slots: int = 16) -> Frequencies:
+    def bits_for(tokens: int) -> int:
+        """Counters for so many tokens, within bounds: about two a token, 1 to 64 MB."""
+        return int(min(26, max(20, np.ceil(np.log2(2 * tokens + 1)))))
+
+    @staticmethod
+    def count(df: DataFrame, tokens: Callable[[pa.RecordBatch], np.ndarray], bits: int = 24, slots: int = 64) -> Frequencies:
         """Counts every row of ``df``. Each task adds up locally and sends compressed counters; slots are added in parallel."""
         size, width = 1 << bits, (1 << bits) // slots
 

@@ -1,12 +1,18 @@
 """Near-duplicate texts by a parity-sketch join.
 
-A text is the set of its word shingles. A sketch has 2^20 blocks; a shingle's
-hash is XORed into its block, so the number of blocks in which two sketches
-differ never exceeds the symmetric difference of the sets. Two sets of enough
-similarity therefore agree on several of a known number of non-zero
-blocks (pigeonhole); of these the rarest are joined. A second sketch of 128
-single bits, whose Hamming distance also bounds the symmetric difference from
+A text is the set of its word shingles, and falls into a band of sizes. The
+sketch of a band is cut into pieces, a fixed number of them for a shingle of its largest set; a shingle's 64
+hash bits are XORed into one piece, so every bit of a piece is a parity, and the number of pieces in
+which two sketches differ never exceeds the symmetric difference of the sets. Two sets of enough
+similarity therefore agree on a known number of pieces (pigeonhole). A pair is looked for
+in the band of its larger set: sets are joined on band and piece, each with its
+rarest pieces only, as many as make sure that enough of those that agree are among them.
+A second sketch of 128 single parities, whose Hamming distance also bounds the symmetric difference from
 below, discards most candidates before the texts are compared.
+
+In a piece that holds several shingles of a set, a difference may hide what else agrees. How many shingles
+fall into a piece that is taken already is counted for each set; sets with more
+of them than is allowed for are joined once more on their shingles themselves.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from tarnbeck.lineage import Stages, spread
 from .common import Frequencies, hash_words, words
 from .components import components
 
-BLOCKS = np.uint64(1 << 20)
-MOST_BROADCAST = 1_000_000  # ids
-SHARED = 3  # blocks that two sets have to share among their rarest
-SKETCH = "row_id long, class binary, n int, s0 long, s1 long, blocks array<long>"
+RATIO = 16  # sizes of a band: from a power of this to the next
+PIECES = 4  # pieces of a band's sketch for each shingle of its largest set
+SHARED = 3  # pieces that two sets have to share among their rarest
+SKETCH = "row_id long, class binary, n int, s0 long, s1 long, spoiled boolean, pieces array<struct<band: int, piece: long>>"
 
 
 def shingles(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,20 +56,30 @@ def shingles(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray
     return rows[new], mixed[new]
 
 
-def blocks(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and values of the non-zero blocks; the block's number is mixed into its value."""
-    block = hashes % BLOCKS
-    order = np.lexsort((block, rows))
-    rows, block, hashes = rows[order], block[order], hashes[order]
+def band_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(RATIO) + 1e-9).astype(np.int64)
+
+
+def pieces(rows: np.ndarray, hashes: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of the non-zero pieces of sketches in the given ``band`` (of each shingle); a piece's number and band are mixed into its value."""
+    count = np.uint64(PIECES) * np.uint64(RATIO) ** (band + 1).astype(np.uint64)
+    piece = (hashes >> np.uint64(7)) % count
+    order = np.lexsort((piece, rows))
+    rows, piece, hashes, band = rows[order], piece[order], hashes[order], band[order]
     first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]) | (block[1:] != block[:-1])
+    first[1:] = (rows[1:] != rows[:-1]) | (piece[1:] != piece[:-1])
     at = np.flatnonzero(first)
     value = np.bitwise_xor.reduceat(hashes, at) if len(at) else hashes
     keep = value != 0
-    token = (value[keep] + block[at][keep]) * np.uint64(0xD6E8FEB86659FD93)
+    token = (value[keep] + piece[at][keep] * np.uint64(0x9E3779B97F4A7C15) + band[at][keep].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
     return rows[at][keep], token ^ (token >> np.uint64(32))
 
 
+def allowed(n: np.ndarray, band: np.ndarray, spare: float) -> np.ndarray:
+    """Shingles of a set of n that may fall into a piece taken already: with ``spare`` 1 four times their mean number, and one."""
+    return np.floor(spare * (1 + 2.0 * n * n / (PIECES * float(RATIO) ** (band + 1))))
+
+
 def bits(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     """Two 64-bit words a row, one bit flipped a shingle."""
     at = ((hashes >> np.uint64(40)) & np.uint64(127)).astype(np.int64)
@@ -71,44 +87,80 @@ def bits(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64).reshape(n, 2)
 
 
-def spoiled(n: np.ndarray, share: float) -> np.ndarray:
-    """Blocks allowed for collisions in a set of n shingles or its largest partner: eight times their mean number, and one."""
-    return 1 + np.floor(8 * (n / share) ** 2 / (2 * float(BLOCKS)))
+class Sketches:
+    """The sketches of a batch of texts, each in its own band and, if its partner may be of the next one, in that, too."""
+
+    def __init__(self, texts: list[str | None], size: int, share: float, spare: float) -> None:
+        self.share, self.spare = share, spare
+        self.rows, self.hashes = shingles(texts, size)
+        self.n = np.bincount(self.rows, minlength=len(texts))
+        own = band_of(self.n)
+        reaches = (self.n > 0) & (self.n >= share * float(RATIO) ** (own + 1) - 1e-9)
+        self.parts = []
+        for up, chosen in ((0, self.n > 0), (1, reaches)):
+            mine = chosen[self.rows]
+            band = own + up
+            rows, values = pieces(self.rows[mine], self.hashes[mine], band[self.rows[mine]])
+            self.parts.append((band, chosen, rows, values))
+
+    def values(self) -> np.ndarray:
+        return np.concatenate([values for *_, values in self.parts])
+
+    def joined(self, counts: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, bands and values of the pieces to join on, by row, and which sets are spoiled.
+
+        With |A - B| shingles that a partner B lacks, and at most ``allowed`` of B's own pieces spoiled, all
+        other pieces of A agree with B's. So the first |A - B| + allowed + SHARED of A's pieces, in
+        an order common to all sets, hold the first SHARED ones of those that agree, and B's hold
+        them likewise. In its own band A may be the larger set, in the next it is the smaller.
+        """
+        spoiled = np.zeros(len(self.n), bool)
+        kept = []
+        for (band, chosen, rows, values), lacking in zip(self.parts, (1 - self.share, (1 - self.share) / (1 + self.share))):
+            q = np.bincount(rows, minlength=len(self.n))
+            spoiled |= chosen & (self.n - q > allowed(self.n, band, self.spare))
+            seen = counts.of(values)
+            order = np.lexsort((values, seen, rows))
+            rows, values, seen = rows[order], values[order], seen[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            most = np.floor(lacking * self.n + 1e-9) + allowed(np.ceil(self.n / self.share), band, self.spare) + SHARED
+            few = (place < most[rows]) & (seen > 1)  # a piece counted once has no partner
+            kept.append((rows[few], band[rows[few]], values[few]))
+        rows, band, values = (np.concatenate(x) for x in zip(*kept))
+        order = np.argsort(rows, kind="stable")
+        return rows[order], band[order], values[order], spoiled
+
+
+def sketched(df: DataFrame, size: int, share: float, spare: float, frequencies: Frequencies) -> DataFrame:
+    """A row per text with shingles: class of equal shingle sets, size, single parities, whether it is spoiled, and the pieces to join on."""
+    shared = df.sparkSession.sparkContext.broadcast(frequencies.counters)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Frequencies(shared.value)
+        for b in batches:
+            s = Sketches(b.column(1).to_pylist(), size, share, spare)
+            has = np.flatnonzero(s.n)
+            ends = np.cumsum(s.n)
+            sets = [hashlib.md5(s.hashes[ends[i] - s.n[i] : ends[i]].tobytes(), usedforsecurity=False).digest() for i in has]
+            parities = bits(s.rows, s.hashes, len(s.n))
+            rows, band, values, spoiled = s.joined(counts)
+            m = np.bincount(rows, minlength=len(s.n))[has]
+            items = pa.StructArray.from_arrays([pa.array(band, pa.int32()), pa.array(values.view(np.int64))], names=["band", "piece"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(sets, pa.binary()), pa.array(s.n[has], pa.int32()), *(pa.array(parities[has, i]) for i in range(2)), pa.array(spoiled[has]), lists], names=["row_id", "class", "n", "s0", "s1", "spoiled", "pieces"])
 
-def sketches(df: DataFrame, size: int, share: float, frequencies: Frequencies) -> DataFrame:
-    """A row per text with shingles: class of equal shingle sets, size, bits and the blocks to join on.
+    return df.mapInArrow(run, SKETCH)
 
-    At most (1 - share) |A| of A's blocks hold a shingle that a partner B lacks;
-    ``spoiled`` more may differ because two of A's or B's shingles fell into one block.
-    So the first (1 - share) |A| + spoiled + SHARED of A's blocks, in an order
-    common to all texts, hold the first SHARED ones of those that agree with
-    B, and B's hold them likewise. Rare blocks come first in that order.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(frequencies.counters)
+
+def single_shingles(df: DataFrame, size: int) -> DataFrame:
+    """(row_id, shingle) of all texts (row_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Frequencies(shared.value)
         for b in batches:
-            ids = np.asarray(b.column(0))
             rows, hashes = shingles(b.column(1).to_pylist(), size)
-            n = np.bincount(rows, minlength=len(ids))
-            has = np.flatnonzero(n)
-            ends = np.cumsum(n)
-            sets = [hashlib.md5(hashes[ends[i] - n[i] : ends[i]].tobytes(), usedforsecurity=False).digest() for i in has]
-            sketch = bits(rows, hashes, len(ids))
-            brow, value = blocks(rows, hashes)
-            seen = counts.of(value)
-            order = np.lexsort((value, seen, brow))
-            brow, value, seen = brow[order], value[order], seen[order]
-            place = np.arange(len(brow)) - np.searchsorted(brow, brow)
-            size_of = n[brow]
-            joined = (place < np.floor((1 - share) * size_of + 1e-9) + spoiled(size_of, share) + SHARED) & (seen > 1)  # a block value counted once has no partner
-            m = np.bincount(brow[joined], minlength=len(ids))[has]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32()), pa.array(value[joined].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(sets, pa.binary()), pa.array(n[has], pa.int32()), *(pa.array(sketch[has, i]) for i in range(2)), lists], names=["row_id", "class", "n", "s0", "s1", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(hashes.view(np.int64))], names=["row_id", "shingle"])
 
-    return df.mapInArrow(run, SKETCH)
+    return df.select("row_id", "text").mapInArrow(run, "row_id long, shingle long")
 
 
 class Near:
@@ -133,38 +185,47 @@ class Near:
         return joined.select("row_id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, share: float = 0.8) -> Near:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, share: float = 0.8, spare: float = 1.0) -> Near:
     """Texts whose sets of ``size``-word shingles have at least ``share`` of their union in common.
 
     Other columns are ignored. Null, blank and shorter texts have no shingle and
     are in no result; texts with equal shingle sets are copies of one
     representative (the least id), whose links stand for all of them; an empty
-    table gives empty results. No candidate is capped: frequent blocks are joined
-    last and only where a set has no rarer ones.
+    table gives empty results. No candidate is capped and no pair lost: frequent pieces are
+    joined last and only where a set has no rarer ones; how pieces are ordered depends on counters of bounded size, the result doesn't.
     """
     stages = Stages(df.sparkSession, "neardup")
     texts = spread(df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text")))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
 
     def values(batch: pa.RecordBatch) -> np.ndarray:
-        return blocks(*shingles(batch.column("text").to_pylist(), size))[1]
+        return Sketches(batch.column("text").to_pylist(), size, share, spare).values()
 
-    frequencies = Frequencies.count(texts.select("text"), values)
-    rows = stages.keep(sketches(texts, size, share, frequencies))
+    frequencies = Frequencies.count(texts.select("text"), values, bits=Frequencies.bits_for(chars // 6))
+    rows = stages.keep(sketched(texts, size, share, spare, frequencies))
     least = rows.groupBy("class").agg(F.min("row_id").alias("rep"))
     members = stages.keep(rows.select("row_id", "class").join(least, "class").select("row_id", "rep"))
     reps = rows.join(members.where("row_id = rep").select("row_id"), "row_id", "left_semi")
-    keys = reps.select("row_id", "n", "s0", "s1", F.explode("blocks").alias("block"))
+    keys = reps.select("row_id", "n", "s0", "s1", F.explode("pieces").alias("p")).select("row_id", "n", "s0", "s1", "p.*")
     a, b = keys.alias("a"), keys.alias("b")
     hamming = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    fits = (F.least("a.n", "b.n") >= share * F.greatest("a.n", "b.n") - 1e-9) & (hamming <= (1 - share) / (1 + share) * (F.col("a.n") + F.col("b.n")) + 1e-9)
     larger = F.greatest("a.n", "b.n")
-    agreed = F.ceil(share * larger - 1e-9) - 1 - F.floor(8 * (larger / share) * (larger / share) / (2 * float(BLOCKS)))  # blocks that are sure to agree
-    need = F.greatest(F.lit(1), F.least(F.lit(SHARED), agreed)).cast("int")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.row_id") < F.col("b.row_id")) & fits).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"), need.alias("need"))
-    found = stages.keep(met.groupBy("a", "b", "need").agg(F.count("*").alias("c")).where("c >= need").select("a", "b"))
-    involved = stages.keep(found.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())
-    few = involved.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    needed = stages.keep(texts.join(F.broadcast(involved) if few else involved, "row_id", "left_semi"))
+    fits = (F.least("a.n", "b.n") >= share * larger - 1e-9) & (hamming <= (1 - share) / (1 + share) * (F.col("a.n") + F.col("b.n")) + 1e-9)
+    sure = F.ceil(share * larger - 1e-9) - 2 * F.floor(spare * (1 + 2.0 * larger * larger / (PIECES * F.pow(F.lit(float(RATIO)), F.col("a.band") + 1))))  # pieces that agree at least
+    need = F.greatest(F.lit(1), F.least(F.lit(SHARED), sure)).cast("int")
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.row_id") < F.col("b.row_id")) & fits).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"), F.col("a.band").alias("band"), need.alias("need"))
+    found = met.groupBy("a", "b", "band", "need").agg(F.count("*").alias("c")).where("c >= need").select("a", "b")
+    marked = reps.where("spoiled").select("row_id", "n")
+    if not marked.isEmpty():
+        sets = single_shingles(texts, size)
+        mine = stages.keep(sets.join(marked, "row_id"))
+        others = sets.join(mine.select("shingle").distinct(), "shingle", "left_semi").join(reps.select("row_id", F.col("n").alias("m")), "row_id").withColumnRenamed("row_id", "other")
+        shared = mine.join(others, "shingle").where((F.col("row_id") != F.col("other")) & (F.least("n", "m") >= share * F.greatest("n", "m") - 1e-9))
+        enough = F.ceil(share / (1 + share) * (F.col("n") + F.col("m")) - 1e-9)
+        again = shared.groupBy("row_id", "other", "n", "m").agg(F.count("*").alias("c")).where(F.col("c") >= enough)
+        found = found.union(again.select(F.least("row_id", "other").alias("a"), F.greatest("row_id", "other").alias("b")))
+    found = stages.keep(found.distinct())
+    needed = stages.keep(texts.join(found.select(F.explode(F.array("a", "b")).alias("row_id")).distinct(), "row_id", "left_semi"))
     compared = found.join(needed.select(F.col("row_id").alias("a"), F.col("text").alias("x")), "a").join(needed.select(F.col("row_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +243,6 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, sh
             keep = np.flatnonzero(both >= share * union - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(like[keep])], names=["a", "b", "similarity"])
 
-    return Near(members, stages.keep(compared.mapInArrow(verify, "a long, b long, similarity double")), stages)
+    links = stages.keep(compared.mapInArrow(verify, "a long, b long, similarity double"))
+    stages.drop(rows, found, needed)
+    return Near(members, links, stages)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import Frequencies, hash_words, words
-from tarnbeck.llm.neardup import bits, blocks, near_duplicates, shingles
+from tarnbeck.llm.neardup import Sketches, band_of, bits, near_duplicates, pieces, shingles
 
 SCHEMA = "chunk_id long, text string"
 
@@ -40,11 +40,13 @@ def table(seed=3, n=250):
     return rows + [(900, None), (901, " "), (902, "two words"), (903, "a b c"), (904, "A, b; C!"), (905, "long " * 30_000), (906, "long " * 30_001), (907, " ".join(f"u{i}" for i in range(20_000))), (908, " ".join(f"u{i}" for i in range(100, 20_100)))]
 
 
-@pytest.mark.parametrize(("size", "share"), [(3, 0.5), (5, 0.8), (1, 0.6)])
-def test_against_brute_force(spark, size, share):
+@pytest.mark.parametrize(("size", "share", "spare"), [(3, 0.5, 1.0), (5, 0.8, 1.0), (1, 0.6, 1.0), (3, 0.5, 0.0)])
+def test_against_brute_force(spark, size, share, spare):
+    """With ``spare`` 0 every set with two shingles in a piece goes the exact way."""
     rows = table()
+    assert spare or any(s.joined(Frequencies(np.zeros(2, np.uint8)))[3].sum() > 5 for s in [Sketches([t for _, t in rows], size, share, spare)])
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"row_id": F.lit(1), "n": F.lit(2), "class": F.lit("c"), "a": F.lit(0), "blocks": F.lit(None)})
-    near = near_duplicates(df, "chunk_id", "text", size, share)
+    near = near_duplicates(df, "chunk_id", "text", size, share, spare)
     s = sets(rows, size)
     ids = sorted(s)
     want = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(s[a] & s[b]) >= share * len(s[a] | s[b]) - 1e-9}
@@ -70,7 +72,7 @@ def test_sketches_bound_the_difference():
         v[rng.randrange(len(v))] = "new"
         rows, hashes = shingles([" ".join(w), " ".join(v)], 3)
         a, b = ({int(h) for h in hashes[rows == i]} for i in (0, 1))
-        brow, value = blocks(rows, hashes)
+        brow, value = pieces(rows, hashes, np.full(len(rows), band_of(np.array([60]))[0]))
         x, y = ({int(z) for z in value[brow == i]} for i in (0, 1))
         assert len(x - y) <= len(a ^ b) and len(y - x) <= len(a ^ b)
         sketch = bits(rows, hashes, 2)
@@ -84,3 +86,13 @@ def test_counts_cover_all_rows(spark):
     of = f.of(hash_words(["common", "w7", "never seen"]))
     assert of[0] > of[1] > 31 and of[2] in (0, of[1], of[0])
     assert np.array_equal(f.of(hash_words(["w7"])), f.of(hash_words(["w7"])))
+
+
+def test_bands_split_pairs_nowhere(spark):
+    """A pair whose sizes lie on both sides of a band's end is found in the band of the larger."""
+    w = [f"x{i}" for i in range(40)]
+    rows = [(n, " ".join(w[:n])) for n in range(3, 40)]
+    s = sets(rows, 3)
+    want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.5 * len(s[a] | s[b])}
+    assert any(band_of(np.array([len(s[a])])) != band_of(np.array([len(s[b])])) for a, b in want)
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", 3, 0.5).pairs().collect()} == want
