@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.lineage import spread
@@ -127,22 +127,65 @@ def repertoire(name: str) -> np.ndarray | None:
     return np.array(sorted({ord(c) for c in text + text.lower() + text.upper()}), np.int64)
 
 
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Character pairs of the texts (predecessor and character in one number), and how often each occurs."""
+    seen = [observed(text)[1:] for text in texts]
+    symbol, before = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in seen)]) for i in (0, 1))
+    return np.unique(before << 21 | symbol, return_counts=True)
+
+
+def viterbi(emissions: list[np.ndarray], enter: np.ndarray, most: int = 1 << 18) -> list[np.ndarray]:
+    """The likeliest states of each sequence (positions x states). Sequences of like length run side by side, ``most`` positions at a time."""
+    states = np.arange(len(enter), dtype=np.int16)
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(emissions)
+    order = sorted((i for i, e in enumerate(emissions) if len(e)), key=lambda i: -len(emissions[i]))
+    while order:
+        long = len(emissions[order[0]])
+        lanes, order = order[: max(1, most // long)], order[max(1, most // long) :]
+        size = np.array([len(emissions[i]) for i in lanes])
+        e = np.zeros((long, len(lanes), len(enter)), np.float32)
+        for k, i in enumerate(lanes):
+            e[: size[k], k] = emissions[i]
+        active = np.searchsorted(-size, -np.arange(1, long + 1), side="right")  # lanes with more than so many positions before
+        via = np.zeros(e.shape, np.int16)
+        v = enter + e[0]
+        for i in range(1, long):
+            n = active[i]
+            now, row = v[:n], np.arange(n)
+            best = np.argmax(now[:, 1:], axis=1) + 1
+            leave = now[row, best] + LEAVE
+            stay, begin = now + STAY, now[:, :1] + enter
+            via[i, :n] = np.where(stay >= begin, states, 0)
+            new = np.maximum(stay, begin)
+            out_ = leave > now[:, 0]
+            via[i, :n, 0] = np.where(out_, best, 0)
+            new[:, 0] = np.where(out_, leave, now[:, 0])
+            v[:n] = new + e[i, :n]
+        at = np.argmax(v, axis=1)
+        path = np.zeros((long, len(lanes)), np.int64)
+        for i in range(long - 1, 0, -1):
+            n = active[i]
+            path[i, :n] = at[:n]
+            at[:n] = via[i, np.arange(n), at[:n]]
+        path[0] = at
+        for k, i in enumerate(lanes):
+            out[i] = path[: size[k], k]
+    return out
+
+
 class Model:
     """Emission tables of all states; state 0 is clean."""
 
-    def __init__(self, texts: dict[int, list[str]]) -> None:
-        self.states = sorted(texts)
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        """``counts``: for each state what ``counted`` gives for its texts."""
+        self.states = sorted(counts)
         self.enter = ENTER[np.array(self.states[1:], np.int64) - 1]
-        found = []
-        for s in self.states:
-            seen = [observed(text)[1:] for text in texts[s]]
-            symbol, before = (np.concatenate([x[i] for x in seen]) if seen else np.empty(0, np.int64) for i in (0, 1))
-            found.append(np.unique(before << 21 | symbol, return_counts=True))
+        found = [counts[s] for s in self.states]
         self.keys = np.unique(np.concatenate([keys for keys, _ in found]))
         left, right = self.keys >> 21, self.keys & ((1 << 21) - 1)
         n = np.zeros((len(self.keys), len(found)))
-        for i, (keys, counts) in enumerate(found):
-            n[np.searchsorted(self.keys, keys), i] = counts
+        for i, (keys, many) in enumerate(found):
+            n[np.searchsorted(self.keys, keys), i] = many
         self.chars, self.lefts = np.unique(right), np.unique(left)
         one = np.zeros((len(self.chars) + 1, len(found)))
         np.add.at(one, np.searchsorted(self.chars, right), n)
@@ -170,38 +213,27 @@ class Model:
         fallback = self.one[np.where(has, c, -1)] + self.back[np.where(had, b, -1)]
         return np.where(known[:, None], self.pair[at], fallback) if len(self.keys) else fallback
 
-    def label(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and states of the characters that count; empty where all are clean."""
-        at, symbol, before = observed(text)
+    def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text positions and states of the characters that count; empty where all are clean."""
         none = np.empty(0, np.int64)
-        if not len(at) or len(self.states) == 1:
-            return none, none
-        e = self.emissions(symbol, before)
-        gain = e[:, 1:] - e[:, :1]
-        for enter in np.unique(self.enter):  # not even the best stretch outweighs entering another state
-            run = np.cumsum(gain[:, self.enter == enter].max(axis=1), dtype=np.float64)
-            if (run - np.minimum.accumulate(np.concatenate([[0.0], run[:-1]]))).max() + enter > 0:
-                break
-        else:
-            return none, none
-        enter_at = np.concatenate([[0.0], self.enter])
-        v = enter_at
-        v = v + e[0]
-        via = np.zeros(e.shape, np.int16)
-        states = np.arange(e.shape[1], dtype=np.int16)
-        for i in range(1, len(e)):
-            best = int(np.argmax(v[1:])) + 1
-            enter, stay = v[0] + enter_at, v + STAY
-            via[i] = np.where(stay >= enter, states, 0)
-            new = np.maximum(stay, enter)
-            out = v[best] + LEAVE
-            via[i, 0], new[0] = (best, out) if out > v[0] else (0, v[0])
-            v = new + e[i]
-        path = np.zeros(len(e), np.int64)
-        path[-1] = int(np.argmax(v))
-        for i in range(len(e) - 1, 0, -1):
-            path[i - 1] = via[i, path[i]]
-        return (at, path) if path.any() else (none, none)
+        out = [(none, none)] * len(texts)
+        open_, waiting = [], []
+        for i, text in enumerate(texts):
+            at, symbol, before = observed(text)
+            if not len(at) or len(self.states) == 1:
+                continue
+            e = self.emissions(symbol, before)
+            gain = e[:, 1:] - e[:, :1]
+            for enter in np.unique(self.enter):  # not even the best stretch outweighs entering another state
+                run = np.cumsum(gain[:, self.enter == enter].max(axis=1), dtype=np.float64)
+                if (run - np.minimum.accumulate(np.concatenate([[0.0], run[:-1]]))).max() + enter > 0:
+                    open_.append((i, at))
+                    waiting.append(e)
+                    break
+        for (i, at), path in zip(open_, viterbi(waiting, np.concatenate([[0.0], self.enter]))):
+            if path.any():
+                out[i] = (at, path)
+        return out
 
     def likely(self, text: str) -> float:
         """Log probability of a clean text."""
@@ -225,9 +257,11 @@ class Model:
         before, after = text[max(0, a - 2) : a], text[e : e + 2]
         return self.likely(before + back + after) > self.likely(before + span + after)
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """Start, end and state of each garbled span."""
-        at, path = self.label(text)
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """Start, end and state of each garbled span of each text."""
+        return [self.held(text, at, path) for text, (at, path) in zip(texts, self.label(texts))]
+
+    def held(self, text: str, at: np.ndarray, path: np.ndarray) -> list[tuple[int, int, int]]:
         out: list[tuple[int, int, int]] = []
         last = 0
         for p, s in zip(at.tolist(), path.tolist()):
@@ -276,25 +310,50 @@ def garbled_by(pair: tuple[str, ...], texts: list[str], most: int) -> list[tuple
     return out
 
 
-def fit(sample: list[str], rounds: int = 2, most: int = 250) -> Model:
-    """A model from unlabelled texts: what a round labels as garbled is left out of the next round's clean counts."""
+def training_texts(state: int, texts: list[str], kept: set[int], most: int) -> list[str]:
+    """What a state's counts come from: the kept texts, or those put through its pair, and what may have been done to them afterwards."""
+    clean = [texts[i] for i in sorted(kept)]
+    if state == 0:
+        return [*clean, *(t.upper() for t in clean[::4]), *(t.lower() for t in clean[::8])]
+    pair = PAIRS[state - 1]
+    source = [g for i, g in garbled_by(pair, texts, 2 * most) if i in kept][:most]
+    if pair in MARKED:
+        source += [garble("\ufeff" + t[:40], pair) for t in clean[: most // 3]]
+    return source + [g.lower() for g in source[::3]] + [g.replace("\xa0", " ").translate(_C1) for g in source[::4]]
+
+
+def fit(spark: SparkSession, sample: list[str], rounds: int = 2, most: int = 250) -> Model:
+    """A model from unlabelled texts: what a round labels as garbled is left out of the next round's counts.
+
+    A task counts for some of the states; the driver joins the counts into tables.
+    """
     texts = [t for t in sample if not suspicious(t)]
-    garbled = {i: garbled_by(pair, texts, 2 * most) for i, pair in enumerate(PAIRS, 1)}
+    shared = spark.sparkContext.broadcast(texts)
     kept = set(range(len(texts)))
-    model = Model({0: [""]})
-    for _ in range(rounds):
-        clean = [texts[i] for i in sorted(kept)]
-        train = {0: [*clean, *(t.upper() for t in clean[::4]), *(t.lower() for t in clean[::8])]}
-        for s, pair in enumerate(PAIRS, 1):
-            source = [g for i, g in garbled[s] if i in kept][:most]
-            if pair in MARKED:
-                source += [garble("\ufeff" + t[:40], pair) for t in clean[: most // 3]]
-            # what may have been done to it afterwards
-            source += [g.lower() for g in source[::3]] + [g.replace("\xa0", " ").translate(_C1) for g in source[::4]]
-            if source:
-                train[s] = source
-        model = Model(train)
-        kept = {i for i in kept if not model.spans(texts[i])}
+    states = spark.range(len(PAIRS) + 1, numPartitions=len(PAIRS) + 1)
+    for i in range(rounds):
+
+        def count(batches: Iterator[pa.RecordBatch], kept: set[int] = kept) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for state in b.column(0).to_pylist():
+                    keys, n = counted(training_texts(state, shared.value, kept, most))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), state)), pa.array(keys), pa.array(n)], names=["state", "pair", "n"])
+
+        rows = states.mapInArrow(count, "state long, pair long, n long").toArrow()
+        state, pair, n = (rows[c].combine_chunks().to_numpy() for c in ("state", "pair", "n"))
+        order = np.lexsort((pair, state))
+        state, pair, n = state[order], pair[order], n[order]
+        model = Model({0: (pair[:0], n[:0])} | {int(s): (pair[state == s], n[state == s]) for s in np.unique(state)})
+        if i < rounds - 1:
+            tables = spark.sparkContext.broadcast(model)
+
+            def label(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    ids = b.column(0).to_pylist()
+                    found = tables.value.spans([shared.value[i] for i in ids])
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, spans in zip(ids, found) if spans], pa.int64())], names=["i"])
+
+            kept -= {r.i for r in spark.range(len(texts)).mapInArrow(label, "i long").collect()}
     return model
 
 
@@ -309,24 +368,26 @@ def repair(docs: DataFrame, sample_docs: int = 2500, sample_chars: int = 1000) -
     garbled characters were escaped afterwards (character references, ``\\u``)
     is labelled, and restored, with the escapes resolved.
 
-    The model is fitted on at most ``sample_docs`` documents, ``sample_chars``
-    characters each (a hash picks them); all documents are labelled as a whole.
+    The model is fitted on at most ``sample_docs`` documents, a window of ``sample_chars``
+    characters of each (a hash picks both, so the model doesn't depend on how the table is stored); all documents are labelled as a whole.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     total = rows.count()
-    share = max(1, -(-total // sample_docs))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(F.substring("text", 1, sample_chars).alias("text")).limit(2 * sample_docs).collect()
-    model = docs.sparkSession.sparkContext.broadcast(fit([unescaped(r.text) for r in picked]))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 40))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.lit(1), F.length("text") - sample_chars + 1)).cast("int") + 1
+    part = min(1.0, 1.2 * sample_docs / max(total, 1) + 200 / max(total, 1))
+    picked = rows.where(drawn <= int(part * (1 << 40))).select(drawn.alias("h"), "doc_id", F.col("text").substr(start, F.lit(sample_chars)).alias("text"))
+    sample = [unescaped(r.text) for r in picked.orderBy("h", "doc_id", "text").limit(sample_docs).collect()]
+    model = spark.sparkContext.broadcast(fit(spark, sample))
     names = [" > ".join(p) for p in PAIRS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"doc_id": [], "encodings": [], "n_spans": [], "recovered": [], "text": []}
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                plain = text if "&" not in text and "\\u" not in text else unescaped(text)
-                if plain.isascii():
-                    continue
-                spans = model.value.spans(plain)
+            every = [(doc, text if "&" not in text and "\\u" not in text else unescaped(text)) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            every = [(doc, plain) for doc, plain in every if not plain.isascii()]
+            for (doc, plain), spans in zip(every, model.value.spans([plain for _, plain in every])):
                 if not spans:
                     continue
                 parts, at, whole = [], 0, True

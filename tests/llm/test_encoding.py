@@ -1,11 +1,13 @@
 """Held-out accuracy: texts garbled by known pairs, and clean ones that look odd."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.encoding import PAIRS, garble, repair, ungarble
+from tarnbeck.llm.encoding import LEAVE, PAIRS, STAY, garble, repair, ungarble, viterbi
 
 SENTENCES = {
     "fr": ["Où est passée la clé ? Peut-être chez {n}, côté cour.", "Il a été décidé que {n} règlera {d} € avant l’été.", "Le café de {n} s’améliore, ça l’a même étonné."],
@@ -84,3 +86,30 @@ def test_misread_as_utf16_and_odd_but_clean(spark, corpus):
     found = {r.doc_id for r in repair(spark.createDataFrame(rows + wide + odd, "doc_id long, text string")).collect()}
     assert {i for i, _ in wide} <= found
     assert not found & {i for i, _ in odd}
+
+
+def test_side_by_side_paths_are_the_likeliest():
+    rng = np.random.default_rng(3)
+    enter = np.array([0.0, -2.0, -3.0])
+    sequences = [rng.normal(size=(n, 3)).astype(np.float32) * 2 for n in (6, 1, 4, 0, 6, 3)]
+
+    def score(e, path):
+        total = enter[path[0]] + e[0, path[0]]
+        for i in range(1, len(path)):
+            a, b = path[i - 1], path[i]
+            step = (STAY if a else 0.0) if a == b else enter[b] if a == 0 else LEAVE if b == 0 else -np.inf
+            total += step + e[i, b]
+        return total
+
+    for most in (1 << 18, 7):
+        for e, path in zip(sequences, viterbi(sequences, enter, most)):
+            assert len(path) == len(e)
+            if len(e):
+                best = max(score(e, p) for p in itertools.product(range(3), repeat=len(e)))
+                assert score(e, path) == pytest.approx(best, abs=1e-4)
+
+
+def test_partitioning_changes_nothing(spark, corpus):
+    df = spark.createDataFrame(corpus[0], "doc_id long, text string")
+    once, again = (sorted(map(str, repair(d, sample_docs=600).collect())) for d in (df.coalesce(1), df.orderBy(F.rand(5)).repartition(7)))
+    assert once == again and once
