@@ -5,9 +5,10 @@ Every vector is stored in the list of its nearest centroid and, near a
 boundary, in a further list. A graph over the centroids (each knows its nearest
 ones) finds a query's nearest centroid by a greedy walk and the lists around
 it; lists much farther than the nearest are pruned by a distance ratio. Lists
-that lie together form a region; a vector is shipped once to every region
-in which some query may search a list of its, and is a query in its own.
-Vectors are shipped with 16 bits an element and scored by their distance, so
+that lie together form a region of a bounded number of vectors. Every vector is a query, too, and is sent to the regions that hold
+its lists; a task holds a region, or a slice of one with a long list, and queries stream past it. What a
+query's tasks found is joined.
+Vectors are sent with 16 bits an element and scored by their distance, so
 that the order among near copies is kept; what this rounding leaves open at the
 k-th place is ranked by the full vectors.
 """
@@ -36,8 +37,9 @@ FLOAT = 4.1e-6  # error of a 32-bit product of 66 terms, against the sum of thei
 @dataclass(frozen=True)
 class Settings:
     """list_size: vectors a list; hood_lists: lists around a centroid, of which a query searches its own nearest most_lists, and at least least_lists; ratio: distance up to which a list is searched,
-    against the nearest; closure: the same for storing in up to most_copies lists; region_lists: lists a region, and least_regions
-    of them for parallel work; sample: vectors the centroids are fitted on; most_centroids: bounds what every worker holds."""
+    against the nearest; closure: the same for storing in up to most_copies lists; most_regions: regions that a query visits, those with most of its lists;
+    region_rows and task_queries: stored vectors and queries of a task, about; sample: vectors the centroids are fitted on, or sample_each a centroid if that is more;
+    most_centroids: bounds what every worker holds (beyond it, lists get longer and regions hold fewer of them)."""
 
     list_size: int = 500
     most_lists: int = 88
@@ -46,10 +48,15 @@ class Settings:
     ratio: float = 1.6
     closure: float = 1.005
     most_copies: int = 2
-    region_lists: int = 200
-    least_regions: int = 8
+    most_regions: int = 8
+    region_rows: int = 100_000
+    task_queries: int = 500_000
     sample: int = 40_000
-    most_centroids: int = 16_384
+    sample_each: int = 8
+    most_centroids: int = 65_536
+
+    def lists(self, total: int) -> int:
+        return max(1, min(round(total / self.list_size), self.most_centroids))
 
 
 def packed(df: DataFrame, dim: int) -> DataFrame:
@@ -81,53 +88,109 @@ def unpack(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (q / np.maximum(norm, 1e-9)[:, None].astype(np.float32)).astype(np.float32), 0.51 * np.sqrt(dim) / np.maximum(norm, 1) + 5e-7
 
 
+def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means; a crowded centroid is made less attractive, which evens out list lengths."""
+    c = x[rng.choice(len(x), k, replace=False)].copy()
+    handicap = np.zeros(k, np.float32)
+    for _ in range(rounds if k < len(x) else 0):
+        a = np.concatenate([np.argmax(x[i : i + 4096] @ c.T - handicap, axis=1) for i in range(0, len(x), 4096)])
+        n = np.bincount(a, minlength=k)
+        order = np.argsort(a, kind="stable")
+        sums = np.zeros_like(c)
+        full = np.flatnonzero(n)
+        sums[full] = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(n)[:-1]])[full], axis=0)
+        empty = np.flatnonzero(n == 0)
+        sums[empty] = x[rng.choice(len(x), len(empty))]
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
+        handicap += 0.02 * np.clip(n * k / len(x) - 1, -1, 1).astype(np.float32)
+    return c
+
+
+def centroids_of(x: np.ndarray, k: int, rng: np.random.Generator, flat: int = 2048) -> np.ndarray:
+    """k centroids, beyond ``flat`` of them in two levels: those of a level's cells are fitted on the cells' own vectors."""
+    if k <= flat:
+        return kmeans(x, k, rng)
+    top = kmeans(x, int(np.sqrt(k)), rng)
+    cell = np.concatenate([np.argmax(x[i : i + 4096] @ top.T, axis=1) for i in range(0, len(x), 4096)])
+    order = np.argsort(cell, kind="stable")
+    groups = [g for g in np.split(order, np.cumsum(np.bincount(cell, minlength=len(top)))[:-1]) if len(g)]
+    upto = np.rint(np.cumsum([len(g) for g in groups]) * k / len(x)).astype(np.int64)
+    return np.concatenate([kmeans(x[g], n, rng) for g, n in zip(groups, np.diff(upto, prepend=0)) if n])
+
+
 class Index:
-    """Centroids, their graph and the regions. At most ``most_centroids`` rows, whatever the data."""
+    """Centroids, their graph, and the tasks of each region. Its size is that of ``Settings.most_centroids`` at most."""
 
-    def __init__(self, sample: np.ndarray, total: int, s: Settings) -> None:
+    def __init__(self, sample: np.ndarray, total: int, s: Settings, cores: int) -> None:
         rng = np.random.default_rng(7)
-        k = int(min(max(1, round(total / s.list_size)), s.most_centroids, max(1, len(sample) // 4)))
-        self.centroids = self.fit(sample, k, rng)
+        self.settings = s
+        self.centroids = centroids_of(sample, min(s.lists(total), max(1, len(sample) // 4)), rng)
+        k = len(self.centroids)
         degree = min(k, s.hood_lists)
         self.near = np.empty((k, degree), np.int32)
         for a in range(0, k, 1024):
             sims = self.centroids[a : a + 1024] @ self.centroids.T
-            self.near[a : a + 1024] = np.argsort(-sims, axis=1)[:, :degree]
+            top = np.argpartition(-sims, degree - 1, axis=1)[:, :degree]
+            self.near[a : a + 1024] = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
         self.pivots = rng.choice(k, min(k, 5 * int(np.sqrt(k)) + 1), replace=False)
-        regions = max(-(-k // s.region_lists), min(s.least_regions, k))
-        self.region = self.balanced(self.fit(self.centroids, regions, rng), -(-k // regions))
-        self.regions = regions
-        # the regions in which a list may be searched: those of the centroids that have it around them
-        pairs = np.unique(self.near.astype(np.int64) * regions + self.region[:, None])
-        self.asked_in, self.asked_at = pairs % regions, np.searchsorted(pairs // regions, np.arange(k + 1))
-
-    @staticmethod
-    def fit(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-        """Spherical k-means; a crowded centroid is made less attractive, which evens out list lengths."""
-        c = x[rng.choice(len(x), k, replace=False)].copy()
-        handicap = np.zeros(k, np.float32)
-        for _ in range(rounds if k < len(x) else 0):
-            a = np.concatenate([np.argmax(x[i : i + 4096] @ c.T - handicap, axis=1) for i in range(0, len(x), 4096)])
-            n = np.bincount(a, minlength=k)
-            order = np.argsort(a, kind="stable")
-            sums = np.zeros_like(c)
-            full = np.flatnonzero(n)
-            sums[full] = np.add.reduceat(x[order], np.concatenate([[0], np.cumsum(n)[:-1]])[full], axis=0)
-            empty = np.flatnonzero(n == 0)
-            sums[empty] = x[rng.choice(len(x), len(empty))]
-            c = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
-            handicap += 0.02 * np.clip(n * k / len(x) - 1, -1, 1).astype(np.float32)
-        return c
-
-    def balanced(self, seeds: np.ndarray, room: int) -> np.ndarray:
-        """A region for every centroid, none with more than ``room``."""
-        sims = self.centroids @ seeds.T
-        out, left = np.full(len(sims), -1, np.int32), np.full(len(seeds), room)
-        for flat in np.argsort(-sims, axis=None):
-            c, r = divmod(int(flat), len(seeds))
-            if out[c] < 0 and left[r] > 0:
-                out[c], left[r] = r, left[r] - 1
-        return out
+        # what the sample tells of list lengths, and of how many vectors and queries a region gets
+        scale = total / len(sample)
+        length = np.bincount(self.around(sample, 1)[1][:, 0], minlength=k) * scale + 1
+        room = min(s.region_rows, max(1.0, length.sum() / max(1, round(np.sqrt(cores)))))
+        self.region = np.empty(k, np.int32)
+        self.regions = 0
+        self.divide(np.arange(k), length, room)
+        _, _, _, region = self.stored(sample)
+        slices = np.ceil(np.bincount(region, minlength=self.regions) * scale * 1.1 / s.region_rows)
+        region = np.concatenate([r for _, r, *_ in self.visits(sample)])
+        parts = np.ceil(np.bincount(region, minlength=self.regions) * scale / s.task_queries)
+        self.slices = np.maximum(1, slices).astype(np.int64)
+        self.parts = np.maximum(-(-cores // self.regions), parts).astype(np.int64)
+        self.first_task = np.cumsum(self.slices * self.parts) - self.slices * self.parts
+        self.tasks = int((self.slices * self.parts).sum())
+
+    def divide(self, lists: np.ndarray, length: np.ndarray, room: float) -> None:
+        """Regions by halving along the direction in which centroids differ most, until one has at most ``room`` vectors or is a single list."""
+        if len(lists) == 1 or length[lists].sum() <= room:
+            self.region[lists] = self.regions
+            self.regions += 1
+            return
+        c = self.centroids[lists] - self.centroids[lists].mean(axis=0)
+        along = c @ np.linalg.eigh(c.T @ c)[1][:, -1]
+        order = np.argsort(along, kind="stable")
+        upto = np.cumsum(length[lists][order])
+        half = int(np.clip(np.searchsorted(upto, upto[-1] / 2) + 1, 1, len(lists) - 1))
+        self.divide(lists[order[:half]], length, room)
+        self.divide(lists[order[half:]], length, room)
+
+    def stored(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where vectors are stored, a row per vector and region: the lists there, as bounds into a flat array, the vector and the region."""
+        sims, lists = self.around(x, self.settings.most_copies)
+        far = np.sqrt(np.maximum(2 - 2 * sims, 1e-9))
+        rows, cols = np.nonzero(far <= self.settings.closure * far[:, :1])
+        held = lists[rows, cols]
+        key = rows.astype(np.int64) * self.regions + self.region[held]
+        order = np.argsort(key, kind="stable")
+        uniq, first = np.unique(key[order], return_index=True)
+        return np.append(first, len(order)), held[order], uniq // self.regions, uniq % self.regions
+
+    def visits(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """What queries ask for, home list by home list: rows and the regions they visit, the home, and the distance up to which each row searches lists."""
+        s = self.settings
+        at = self.walk(x)
+        order = np.argsort(at, kind="stable")
+        nodes, starts = np.unique(at[order], return_index=True)
+        for node, a, b in zip(nodes, starts, [*starts[1:], len(order)]):
+            hood = self.near[node]
+            far = np.sqrt(np.maximum(2 - 2 * (x[order[a:b]] @ self.centroids[hood].T), 1e-9))
+            last = lambda n: np.partition(far, min(n, len(hood)) - 1, axis=1)[:, min(n, len(hood)) - 1]
+            limit = np.maximum(np.minimum(last(s.most_lists), s.ratio * far.min(axis=1)), last(s.least_lists))
+            regions, which = np.unique(self.region[hood], return_inverse=True)
+            wanted = (far <= limit[:, None]).astype(np.float32) @ (which[:, None] == np.arange(len(regions))).astype(np.float32)
+            if len(regions) > s.most_regions:
+                wanted[wanted < np.partition(wanted, len(regions) - s.most_regions, axis=1)[:, [len(regions) - s.most_regions]]] = 0
+            row, col = np.nonzero(wanted)
+            yield order[a:b][row], regions[col], int(node), limit[row].astype(np.float32)
 
     def walk(self, x: np.ndarray) -> np.ndarray:
         """The nearest centroid of each row: from the best pivot along the graph as long as it gets nearer."""
@@ -160,134 +223,176 @@ class Index:
         return sims, lists
 
 
-ROUTED = "region int, rep long, ids array<long>, v binary, lists array<int>, home int"
+ROUTED = "task int, role int, home int, rep long, bound float, ids array<long>, v binary, lists array<int>"
 
 
-def route(classes: DataFrame, index, dim: int, s: Settings) -> DataFrame:
-    """A row per distinct vector and region that may ask for it: the lists that store it, and its own list if the region is its home, else -1."""
+def route(classes: DataFrame, index, dim: int) -> DataFrame:
+    """Vectors as what is stored (role 0, for each task of its regions' slice) and as queries (role 1, for each slice of the regions they visit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
+
+        def sent(b: pa.RecordBatch, row: np.ndarray, task: np.ndarray, role: int, home: np.ndarray, bound: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+            at = pa.array(row)
+            return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.full(len(row), role, np.int32)), pa.array(home, pa.int32()), b.column(0).take(at), pa.array(bound, pa.float32()), b.column(1).take(at), b.column(2).take(at), lists], names=["task", "role", "home", "rep", "bound", "ids", "v", "lists"])
+
+        def copies(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows repeated n times each, and the number of the copy."""
+            return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
         for b in batches:
             x, _ = unpack(b.column(2), dim)
             if not len(x):
                 continue
-            sims, lists = ix.around(x, s.most_copies)
-            far = np.sqrt(np.maximum(2 - 2 * sims, 1e-9))
-            rows, cols = np.nonzero(far <= s.closure * far[:, :1])
-            held = lists[rows, cols]
-            n = ix.asked_at[held + 1] - ix.asked_at[held]
-            every = np.repeat(ix.asked_at[held] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            key = np.repeat(rows.astype(np.int64), n) * ix.regions + ix.asked_in[every]
-            order = np.argsort(key, kind="stable")
-            uniq, first = np.unique(key[order], return_index=True)
-            stored = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(np.repeat(held, n)[order], pa.int32()))
-            row, region = uniq // ix.regions, uniq % ix.regions
-            home = np.where(ix.region[lists[row, 0]] == region, lists[row, 0], -1)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int32()), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), stored, pa.array(home, pa.int32())], names=["region", "rep", "ids", "v", "lists", "home"])
+            deal = (np.asarray(b.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+            first, held, row, region = ix.stored(x)
+            own, copy = copies(ix.parts[region])
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(held, pa.int32())).take(pa.array(own))
+            task = ix.first_task[region[own]] + deal[row[own]] % ix.slices[region[own]] * ix.parts[region[own]] + copy
+            yield sent(b, row[own], task, 0, np.full(len(own), -1), np.zeros(len(own)), lists)
+            found = list(ix.visits(x))
+            row, region, bound = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3))
+            home = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+            own, copy = copies(ix.slices[region])
+            task = ix.first_task[region[own]] + copy * ix.parts[region[own]] + deal[row[own]] % ix.parts[region[own]]
+            yield sent(b, row[own], task, 1, home[own], bound[own], pa.array([[]] * len(own), pa.list_(pa.int32())))
 
     return classes.select("rep", "ids", "v").mapInArrow(run, ROUTED)
 
 
-FOUND = "rep long, ids array<long>, found array<long>, score array<float>, open array<long>, places int"
+PARTIAL = "rep long, ids array<long>, found array<long>, score array<float>, doubt float"
+
+
+class Stored:
+    """The vectors of one task, by list. Queries stream past them."""
+
+    def __init__(self, rows: pa.Table, ix: Index, dim: int) -> None:
+        self.ix, self.dim = ix, dim
+        (x, self.error), self.reps = unpack(rows["v"].combine_chunks(), dim), np.asarray(rows["rep"])
+        lists, ids = rows["lists"].combine_chunks(), rows["ids"].combine_chunks()
+        owner = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
+        which = np.asarray(lists.flatten())
+        order = np.argsort(which, kind="stable")
+        self.member, self.bounds = owner[order], np.searchsorted(which[order], np.arange(len(ix.centroids) + 1))
+        self.x = np.ascontiguousarray(x[self.member])
+        self.flat, self.n_ids = np.asarray(ids.flatten()), np.asarray(ids.value_lengths())
+        self.id_at = np.cumsum(self.n_ids) - self.n_ids
+
+    def search(self, batch: pa.RecordBatch, k: int, start: int = 4, often: int = 40) -> Iterator[pa.RecordBatch]:
+        """For each query all ids that may be among its k best of this task, best first, and how far their scores may be off.
+
+        Queries of one home list are taken together. The k-th best of the ``start``
+        nearest lists is a first bound; of further lists only what may reach the bound is
+        looked at, and the bound is raised after every ``often`` lists. A score is minus
+        half the squared distance (cosine - 1), computed around the home centroid, so
+        that its error shrinks with the distance.
+        """
+        ix, dim, bounds, member, reps = self.ix, self.dim, self.bounds, self.member, self.reps
+        every, errors = unpack(batch.column("v"), dim)
+        asked, home, limits = (np.asarray(batch.column(c)) for c in ("rep", "home", "bound"))
+        worst = max(self.error.max(initial=0), errors.max(initial=0))
+        homes, starts = np.unique(home, return_index=True)  # rows come by home
+        for c, a, e in zip(homes, starts, [*starts[1:], len(home)]):
+            hood = ix.near[c]
+            hood = hood[bounds[hood + 1] > bounds[hood]]
+            if not len(hood):
+                continue
+            x, own, limit = every[a:e], errors[a:e], limits[a:e]
+            centre = ix.centroids[c]
+            mine = sided(x - centre, True)
+            wanted = np.sqrt(np.maximum(2 - 2 * (x @ ix.centroids[hood].T), 1e-9)) <= limit[:, None] * np.float32(1 + 1e-5)
+            wanted[:, :start] = True
+            width = -2.0 * mine[:, dim]  # squared distance of a query to the centre
+
+            def doubt(score: np.ndarray, row: np.ndarray, other: np.ndarray | float, own=own, width=width) -> np.ndarray:
+                """How far a score may be from that of the full vectors."""
+                off, away = own[row] + other, np.sqrt(np.maximum(-2.0 * score, 0))
+                return off * away + off * off + FLOAT * (width[row] + (np.sqrt(width[row]) + away + off) ** 2) + TIE
+
+            def below(score: np.ndarray, row: np.ndarray, doubt=doubt) -> np.ndarray:
+                """The least score that may still beat a candidate of ``score``."""
+                least = score - doubt(score, row, worst)
+                for _ in range(3):
+                    other = doubt(least, row, worst)
+                    least = score - doubt(score, row, worst) - other
+                return least - 0.1 * other
+
+            everyone = np.arange(e - a)
+            first = np.concatenate([np.arange(bounds[h], bounds[h + 1]) for h in hood[:start]])
+            dots = mine @ sided(self.x[first] - centre, False).T
+            m = ix.settings.most_copies * (k + 1)  # a vector may stand here twice, and one is the query
+            thr = below(np.partition(dots, len(first) - m, axis=1)[:, len(first) - m], everyone) if len(first) > m else np.full(e - a, -9.0)
+            kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+            at = np.flatnonzero(dots >= thr[:, None].astype(np.float32))
+            pile = [(at // len(first), first[at % len(first)], dots.ravel()[at])]
+            for i in range(start, max(start, len(hood)) + 1):
+                if i < len(hood):
+                    lo, hi = bounds[hood[i]], bounds[hood[i] + 1]
+                    q = np.flatnonzero(wanted[:, i])
+                    if len(q):
+                        dots = mine[q] @ sided(self.x[lo:hi] - centre, False).T
+                        at = np.flatnonzero(dots >= thr[q, None].astype(np.float32))
+                        pile.append((q[at // (hi - lo)], lo + at % (hi - lo), dots.ravel()[at]))
+                if (i % often == 0 or i == start or i >= len(hood)) and pile:
+                    row, j, score = (np.concatenate(p) for p in zip(*pile))
+                    j = member[j]
+                    other = reps[j] != asked[a:e][row]
+                    row, j, score = distinct(*(np.concatenate(z) for z in zip(kept, (row[other], j[other], score[other]))), reps)
+                    pile = []
+                    # of those that surely have a cosine of 1.000000, only the k smallest ids can be among the best
+                    top = score - doubt(score, row, self.error[j]) > -2 * TIE
+                    tops, head = np.cumsum(top), np.searchsorted(row, row)
+                    few = ~top | (tops - tops[head] + top[head] <= k)
+                    row, j, score = row[few], j[few], score[few]
+                    order = np.lexsort((-score, row))
+                    row, j, score = row[order], j[order], score[order]
+                    n = np.bincount(row, minlength=e - a)
+                    full = n >= k
+                    last = (np.cumsum(n) - n + k - 1)[full]
+                    thr[full] = np.maximum(thr[full], below(score[last].astype(np.float64), everyone[full]))
+                    few = score >= thr[row]
+                    kept = row[few], j[few], score[few]
+            row, j, score = kept
+            off = doubt(score, row, self.error[j])
+            n = self.n_ids[j]
+            ids = np.repeat(self.id_at[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row, found, score, off = np.repeat(row, n), self.flat[ids], np.repeat(score, n), np.repeat(off, n)
+            sure, maybe = settle(row, score - off, score + off, k, e - a)
+            may = sure | maybe
+            row, found, score, off = row[may], found[may], score[may], off[may]
+            largest = np.zeros(e - a, np.float32)
+            np.maximum.at(largest, row, np.nextafter(off.astype(np.float32), np.float32(9)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=e - a))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, e - a), batch.column("ids").slice(a, e - a), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(np.minimum(score, 0).astype(np.float32))), pa.array(largest)], names=["rep", "ids", "found", "score", "doubt"])
+
+
+def settled(partial: DataFrame, k: int) -> DataFrame:
+    """(rep, ids, found, score, open, places): from what the tasks of a query found, the ids that are sure, best first, and for the remaining places all that may have them."""
+    both = F.collect_list(F.struct("found", "score"))
+    joined = partial.groupBy("rep").agg(F.first("ids").alias("ids"), both.alias("b"), F.max("doubt").alias("doubt"))
+    joined = joined.select("rep", "ids", F.flatten("b.found").alias("found"), F.flatten("b.score").alias("score"), "doubt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, score = b.column("found"), b.column("score")
+            row = np.repeat(np.arange(b.num_rows), np.asarray(found.value_lengths()))
+            found, score, off = np.asarray(found.flatten()), np.asarray(score.flatten()).astype(np.float64), np.asarray(b.column("doubt"))
+            order = np.lexsort((-score, found, row))
+            row, found, score = row[order], found[order], score[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+            row, found, score = row[new], found[new], score[new]
+            order = np.lexsort((found, -score, row))
+            row, found, score = row[order], found[order], score[order]
+            sure, maybe = settle(row, score - off[row], score + off[row], k, b.num_rows)
 
+            def listed(chosen: np.ndarray, values: np.ndarray, row=row, n=b.num_rows) -> pa.ListArray:
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=n))]), pa.int32()), pa.array(values[chosen]))
 
-def search(rows: pa.Table, ix: Index, dim: int, k: int, s: Settings, start: int = 4, often: int = 40) -> Iterator[pa.RecordBatch]:
-    """The k best ids for each query of one region: those that are sure, best first, and for the remaining places all ids that may have them.
+            places = k - np.bincount(row[sure], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("ids"), listed(sure, found), listed(sure, score.astype(np.float32)), listed(maybe, found), pa.array(places, pa.int32())], names=["rep", "ids", "found", "score", "open", "places"])
 
-    Queries of one home list are taken together. The k-th best of the ``start``
-    nearest lists is a first bound; of further lists only what may reach the bound is
-    looked at, and the bound is raised after every ``often`` lists. A score is minus
-    half the squared distance (cosine - 1), computed around the home centroid, so
-    that its error shrinks with the distance.
-    """
-    (x, error), reps, home = unpack(rows["v"].combine_chunks(), dim), np.asarray(rows["rep"]), np.asarray(rows["home"])
-    lists, ids = rows["lists"].combine_chunks(), rows["ids"].combine_chunks()
-    owner = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
-    which = np.asarray(lists.flatten())
-    order = np.argsort(which, kind="stable")
-    member, bounds = owner[order], np.searchsorted(which[order], np.arange(len(ix.centroids) + 1))
-    stored = np.ascontiguousarray(x[member])
-    flat, n_ids = np.asarray(ids.flatten()), np.asarray(ids.value_lengths())
-    id_at = np.cumsum(n_ids) - n_ids
-    by_home = np.argsort(home, kind="stable")
-    homes, starts = np.unique(home[by_home], return_index=True)
-    for c, a, e in zip(homes, starts, [*starts[1:], len(by_home)]):
-        if c < 0:
-            continue
-        asks = by_home[a:e]
-        centre = ix.centroids[c]
-        mine = sided(x[asks] - centre, True)
-        hood = ix.near[c]
-        sims = x[asks] @ ix.centroids[hood].T
-        far = np.sqrt(np.maximum(2 - 2 * sims, 1e-9))
-        limit = np.minimum(np.partition(far, min(s.most_lists, len(hood)) - 1, axis=1)[:, min(s.most_lists, len(hood)) - 1], s.ratio * far.min(axis=1))
-        limit = np.maximum(limit, np.partition(far, min(s.least_lists, len(hood)) - 1, axis=1)[:, min(s.least_lists, len(hood)) - 1])
-        wanted = far <= limit[:, None]
-        wanted[:, :start] = True
-        own, worst, width = error[asks], error.max(), -2.0 * mine[:, dim]  # squared distance of a query to the centre
-
-        def doubt(score: np.ndarray, row: np.ndarray, other: np.ndarray | float) -> np.ndarray:
-            """How far a score may be from that of the full vectors."""
-            off, away = own[row] + other, np.sqrt(np.maximum(-2.0 * score, 0))
-            return off * away + off * off + FLOAT * (width[row] + (np.sqrt(width[row]) + away + off) ** 2) + TIE
-
-        def below(score: np.ndarray, row: np.ndarray) -> np.ndarray:
-            """The least score that may still beat a candidate of ``score``."""
-            least = score - doubt(score, row, worst)
-            for _ in range(3):
-                other = doubt(least, row, worst)
-                least = score - doubt(score, row, worst) - other
-            return least - 0.1 * other
-
-        everyone = np.arange(len(asks))
-        first = np.concatenate([np.arange(bounds[h], bounds[h + 1]) for h in hood[:start]])
-        dots = mine @ sided(stored[first] - centre, False).T
-        m = s.most_copies * (k + 1)  # a vector may stand here twice, and one is the query
-        thr = below(np.partition(dots, len(first) - m, axis=1)[:, len(first) - m], everyone) if len(first) > m else np.full(len(asks), -9.0)
-        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
-        at = np.flatnonzero(dots >= thr[:, None].astype(np.float32))
-        pile = [(at // len(first), first[at % len(first)], dots.ravel()[at])] if len(first) else []
-        for i in range(start, max(start, len(hood)) + 1):
-            if i < len(hood):
-                lo, hi = bounds[hood[i]], bounds[hood[i] + 1]
-                q = np.flatnonzero(wanted[:, i])
-                if len(q) and hi > lo:
-                    dots = mine[q] @ sided(stored[lo:hi] - centre, False).T
-                    at = np.flatnonzero(dots >= thr[q, None].astype(np.float32))
-                    pile.append((q[at // (hi - lo)], lo + at % (hi - lo), dots.ravel()[at]))
-            if (i % often == 0 or i == start or i >= len(hood)) and pile:
-                row, j, score = (np.concatenate(p) for p in zip(*pile))
-                j = member[j]
-                other = j != asks[row]
-                row, j, score = distinct(*(np.concatenate(z) for z in zip(kept, (row[other], j[other], score[other]))), reps)
-                pile = []
-                # of those that surely have a cosine of 1.000000, only the k smallest ids can be among the best
-                top = score - doubt(score, row, error[j]) > -2 * TIE
-                tops, head = np.cumsum(top), np.searchsorted(row, row)
-                few = ~top | (tops - tops[head] + top[head] <= k)
-                row, j, score = row[few], j[few], score[few]
-                order = np.lexsort((-score, row))
-                row, j, score = row[order], j[order], score[order]
-                n = np.bincount(row, minlength=len(asks))
-                full = n >= k
-                last = (np.cumsum(n) - n + k - 1)[full]
-                thr[full] = np.maximum(thr[full], below(score[last].astype(np.float64), everyone[full]))
-                few = score >= thr[row]
-                kept = row[few], j[few], score[few]
-        row, j, score = kept
-        n = n_ids[j]
-        every = np.repeat(id_at[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        off = doubt(score, row, error[j])
-        row, found, score, off = np.repeat(row, n), flat[every], np.repeat(score, n), np.repeat(off, n)
-        sure, maybe = settle(row, score - off, score + off, k, len(asks))
-        places = k - np.bincount(row[sure], minlength=len(asks))
-
-        def listed(chosen: np.ndarray, values: np.ndarray) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[chosen], minlength=len(asks)))]), pa.int32()), pa.array(values[chosen]))
-
-        yield pa.RecordBatch.from_arrays([pa.array(reps[asks]), ids.take(pa.array(asks)), listed(sure, found), listed(sure, np.minimum(score, 0).astype(np.float32)), listed(maybe, found), pa.array(places, pa.int32())], names=["rep", "ids", "found", "score", "open", "places"])
+    return joined.mapInArrow(run, "rep long, ids array<long>, found array<long>, score array<float>, open array<long>, places int")
 
 
 def sided(x: np.ndarray, left: bool) -> np.ndarray:
@@ -383,21 +488,27 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     total = classes.count()
     if not total:
         return spark.createDataFrame([], "id long, neighbour long, rank int, cosine double")
-    part = min(1.0, settings.sample / total)
-    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).select("v").limit(2 * settings.sample).collect()
+    most = max(settings.sample, settings.sample_each * settings.lists(total))
+    part = min(1.0, most / total)
+    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).orderBy(F.xxhash64("rep"), "rep").select("v").limit(2 * most).collect()
     if not drawn:
-        drawn = classes.select("v").limit(64).collect()
+        drawn = classes.orderBy("rep").select("v").limit(64).collect()
     sample, _ = unpack(pa.array([bytes(r.v) for r in drawn], pa.binary()), dim)
-    ix = Index(sample, total, settings)
+    ix = Index(sample, total, settings, spark.sparkContext.defaultParallelism)
     index = spark.sparkContext.broadcast(ix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]  # one region: its lists and those around them
-        if rows:
-            yield from search(pa.Table.from_batches(rows), index.value, dim, k, settings)
-
-    routed = route(spread(classes), index, dim, settings).repartitionById(ix.regions, "region")
-    results = stages.keep(routed.mapInArrow(run, FOUND))
+        rows, stored = [], None
+        for b in batches:
+            n = int(np.searchsorted(np.asarray(b.column("role")), 1))  # what is stored comes first
+            if n:
+                rows.append(b.slice(0, n))
+            if n < b.num_rows and rows:
+                stored = stored or Stored(pa.Table.from_batches(rows), index.value, dim)
+                yield from stored.search(b.slice(n), k)
+
+    routed = route(spread(classes), index, dim).repartitionById(ix.tasks, "task").sortWithinPartitions("role", "home")
+    results = stages.keep(settled(routed.mapInArrow(run, PARTIAL), k))
     late = ranked_open(results, df)
     found = F.concat("found", F.coalesce("late", F.array().cast("array<long>")))
     score = F.concat("score", F.coalesce("late_score", F.array().cast("array<float>")))

@@ -23,7 +23,7 @@ def test_recall_with_many_lists(spark):
     x = centres[rng.integers(0, 12, 6000)] * 0.7 + rng.normal(size=(6000, 64))
     ids = rng.permutation(6000) + 1
     got = {}
-    for r in nearest(frame(spark, zip(ids, x)), settings=Settings(list_size=50, most_lists=60, hood_lists=110, least_regions=3)).collect():
+    for r in nearest(frame(spark, zip(ids, x)), settings=Settings(list_size=50, most_lists=60, hood_lists=110, region_rows=1500)).collect():
         got.setdefault(r.id, []).append(r.neighbour)
     want = exact(ids, x, 10)
     assert all(len(got[i]) == 10 == len(set(got[i])) and i not in got[i] for i in want)
@@ -72,7 +72,7 @@ def test_order_among_near_copies(spark):
         ids = rng.permutation(2400) + 1
         got = {}
         # every list is searched, so that only the order is tested
-        for r in nearest(frame(spark, zip(ids, x)), settings=Settings(most_lists=256, least_lists=256, least_regions=2)).collect():
+        for r in nearest(frame(spark, zip(ids, x)), settings=Settings(most_lists=256, least_lists=256, region_rows=800)).collect():
             got.setdefault(r.id, set()).add(r.neighbour)
         want = exact(ids, x.astype(np.float64), 10)
         missed = sum(len(set(want[i]) - got[i]) for i in want)
