@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarnbeck.functions.text import terms
 
 # Fixed value: the instruction that models of this family were trained with.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
@@ -19,32 +23,41 @@ def query_input(text: Column, model: str) -> Column:
     return F.concat(F.lit(QUERY_PREFIX), text) if "bge" in model.lower() else text
 
 
-def hashed_vector(text: str, dim: int) -> list[float]:
-    """Stand-in embedding: words hashed to signed slots, at unit length; zero for no words."""
-    v = np.zeros(dim)
-    for w in text.lower().split():
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        v[h % dim] += 1 if h >> 63 else -1
-    n = np.linalg.norm(v)
-    return (v / n if n else v).astype(np.float32).tolist()
+def hashed_vector(words: list[str], dim: int) -> np.ndarray:
+    """Words hashed to signed slots: eight hexadecimal digits of a word's MD5 give the slot, the next one the sign (odd is plus)."""
+    v = np.zeros(dim, np.float32)
+    for w in words:
+        slot, sign = _place(w, dim)
+        v[slot] += sign
+    return v
+
+
+@lru_cache(maxsize=100_000)
+def _place(word: str, dim: int) -> tuple[int, int]:
+    h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+    return int(h[:8], 16) % dim, 1 if int(h[8], 16) % 2 else -1
 
 
 def embedder(load: Callable[[], Callable[[list[str]], list]] | None = None, dim: int = 64) -> Callable[[Column], Column]:
-    """A column function text -> array<float>. ``load`` runs once per worker and returns a batch encoder; without it the stand-in."""
+    """A column function text -> array<float>, the same for questions and chunks.
+
+    ``load`` runs once per worker and returns a batch encoder of texts. Without it the words of
+    a text are hashed: such vectors are similar if texts share words, and all zero without words.
+    """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load() if load else lambda texts: [hashed_vector(t, dim) for t in texts]
-        for texts in batches:
-            yield pd.Series(list(encode(texts.fillna("").tolist())))
+        encode = load() if load else lambda lists: [hashed_vector(words, dim) for words in lists]
+        for values in batches:
+            yield pd.Series(list(encode([[] if v is None else v for v in values] if load is None else values.fillna("").tolist())))
 
-    return embed
+    return embed if load else lambda text: embed(terms(F.coalesce(text, F.lit(""))))
 
 
 def reranker(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
     """A column function (query, passage) -> probability; null for all of a worker's rows once its model failed."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         try:
             model = load()

@@ -37,6 +37,25 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def first_of(n: np.ndarray, r: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query number, row id, score) the k best of each query, ties by row id."""
+    order = np.lexsort((r, -s, n))
+    n, r, s = n[order], r[order], s[order]
+    keep = np.arange(len(n)) - np.searchsorted(n, n) < k
+    return n[keep], r[keep], s[keep]
+
+
+def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row id, score) of the k rows of ``x`` with the greatest cosine for each row of ``q``; scores clipped at 0, to four digits."""
+    q, x = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None] for v in (q, x))
+    score = np.round(np.maximum(q @ x.T, 0) + 1e-12, 4)
+    m = min(k, score.shape[1])
+    if not m or not len(q):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    n, c = np.nonzero(score >= np.partition(score, score.shape[1] - m, axis=1)[:, [score.shape[1] - m]])
+    return first_of(n, ids[c], score[n, c], k)
+
+
 def top_cosines(queries: DataFrame, rows: DataFrame, k: int, dim: int, block: int = 1024, most_blocks: int = 64) -> DataFrame:
     """(query_id, row_id, score): the k rows of greatest cosine for each query, ties by row_id.
 
@@ -59,26 +78,13 @@ def cosines_of(packed: list[Row], rows: DataFrame, k: int, dim: int, block: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
-        kept: list[tuple] = []
-
-        def best(parts: list[tuple]) -> list[tuple]:
-            n, r, s = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.lexsort((r, -s, n))
-            n, r, s = n[order], r[order], s[order]
-            keep = np.arange(len(n)) - np.searchsorted(n, n) < k
-            return [(n[keep], r[keep], s[keep])]
-
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for b in batches:
-            x = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, dim)
-            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
-            rid = np.asarray(b.column(0))
+            x, rid = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, dim), np.asarray(b.column(0))
             for a in range(0, len(q), block):
-                score = np.round(np.maximum(q[a : a + block] @ x.T, 0) + 1e-12, 4)
-                m = min(k, score.shape[1])
-                floor = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
-                n, c = np.nonzero(score >= floor[:, None])
-                kept.append((n + a, rid[c], score[n, c]))
-            kept = best(kept)
+                n, r, s = best_rows(q[a : a + block], x, rid, k)
+                kept.append((n + a, r, s))
+            kept = [first_of(*(np.concatenate([p[i] for p in kept]) for i in range(3)), k)]
         for n, r, s in kept:
             yield pa.RecordBatch.from_arrays([pa.array(qids[n]), pa.array(r), pa.array(s)], names=["query_id", "row_id", "score"])
 

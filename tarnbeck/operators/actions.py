@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbeck.functions import text as tx
+from tarnbeck.lineage import Stages
 
 # The category of an extension; a first match wins, everything else is Other.
 CATEGORIES = {
@@ -22,24 +23,21 @@ CATEGORIES = {
 }
 
 
-def duplicates(files: DataFrame) -> DataFrame:
-    """(size, hash, keep, n_copies, wasted): groups of files with equal content.
+def digests(files: DataFrame) -> DataFrame:
+    """(size, hash, path, mtime) of files (path, mtime, size, content) that aren't empty. Hashed next to the scan: no content is shuffled."""
+    return files.where("size > 0").select("size", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), "path", "mtime")
 
-    ``files`` (path, mtime, size, content). Sizes that occur once, and empty
-    files, are dropped before anything is hashed. ``keep`` is the oldest file,
-    ties by path. Groups are aggregated, never collected.
-    """
-    sizes = files.where("size > 0").groupBy("size").agg(F.count("*").alias("c")).where("c > 1").select("size")
-    hashed = files.join(sizes, "size", "left_semi").select("size", "path", "mtime", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
-    groups = hashed.groupBy("size", "hash").agg(F.min_by("path", F.struct(F.coalesce("mtime", F.timestamp_micros(F.lit(1 << 60))), "path")).alias("keep"), F.count("*").alias("n_copies"))
+
+def duplicates(digests: DataFrame) -> DataFrame:
+    """(size, hash, keep, n_copies, wasted): groups of files with equal content. ``keep`` is the oldest file, ties by path."""
+    groups = digests.groupBy("size", "hash").agg(F.min_by("path", F.struct(F.coalesce("mtime", F.timestamp_micros(F.lit(1 << 60))), "path")).alias("keep"), F.count("*").alias("n_copies"))
     return groups.where("n_copies > 1").withColumn("wasted", F.col("size") * (F.col("n_copies") - 1))
 
 
 def trash_plan(files: DataFrame) -> DataFrame:
-    """(kind, src, reason): every copy but the kept one."""
-    groups = duplicates(files).select("size", "hash", "keep")
-    hashed = files.where("size > 0").join(groups.select("size").distinct(), "size", "left_semi").select("size", F.col("path").alias("src"), F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
-    extra = hashed.join(groups, ["size", "hash"]).where("src <> keep")
+    """(kind, src, reason): every copy but the kept one. Digests are written once and read for groups and for copies."""
+    hashed = Stages(files.sparkSession, "digests").keep(digests(files))
+    extra = hashed.select("size", "hash", F.col("path").alias("src")).join(duplicates(hashed).select("size", "hash", "keep"), ["size", "hash"]).where("src <> keep")
     return extra.select(F.lit("trash").alias("kind"), "src", F.concat(F.lit("exact duplicate of "), tx.base_name(F.col("keep")), F.lit(" (kept oldest copy)")).alias("reason"))
 
 
@@ -81,6 +79,22 @@ def outcome(results: DataFrame) -> DataFrame:
     return results.agg(F.count_if(F.col("problem").isNull()).alias("ok"), F.count("*").alias("total"))
 
 
+def selected(plan: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The operations of a plan whose source was ticked (``chosen``: src)."""
+    return plan.join(chosen.select("src").distinct(), "src", "left_semi")
+
+
+def rename_candidates(files: DataFrame, most: int = 50) -> DataFrame:
+    """The first files of each folder by path (folder, path), as many as one request for new names takes."""
+    rows = files.where("path is not null").select("path", F.regexp_extract("path", "^(.*/)[^/]*$", 1).alias("folder")).distinct()
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("folder").orderBy("path"))).where(F.col("r") <= most).drop("r")
+
+
+def shown_turns(history: DataFrame) -> DataFrame:
+    """Turns of a conversation that count as history: finished, without error, not blank (streaming, error, content)."""
+    return history.where(~F.coalesce("streaming", F.lit(False)) & F.col("error").isNull() & (tx.strip(F.col("content")) != ""))
+
+
 def answers_at(history: DataFrame, turns: int = 8, longest: int = 2000) -> DataFrame:
     """The last turns of each conversation: (conv_id, turn, role, content) of users and assistants, blank ones dropped, in order."""
     kept = history.where(F.col("role").isin("user", "assistant") & (tx.strip(F.col("content")) != ""))

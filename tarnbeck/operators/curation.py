@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbeck.functions import text as tx
+from tarnbeck.lineage import Stages
 
 
 def drop_known_queries(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -15,20 +18,25 @@ def drop_known_queries(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.withColumn("nq", tx.normal_query(F.col("query"))).join(queries, "nq", "left_anti").drop("nq")
 
 
-def split_by_path(pairs: DataFrame, share: float = 0.15, seed: int = 17) -> DataFrame:
-    """Adds ``part``: val for all rows of max(1, share * n) paths drawn by a hash, else train. Null paths are train.
+def drawn(df: DataFrame, column: str, share: float, seed: int) -> DataFrame:
+    """max(1, share * n) of the n distinct values of a column, by a hash.
 
-    The draw is exact: paths are counted in 4,096 hash ranges, and only the
+    The draw is exact: values are counted in 4,096 hash ranges, and only the
     range in which the quota ends is ordered.
     """
-    hashed = pairs.where("path is not null").select("path").distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), "path"))).withColumn("cell", F.substring("h", 1, 3))
+    hashed = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), column))).withColumn("cell", F.substring("h", 1, 3))
     cells = hashed.groupBy("cell").agg(F.count("*").alias("c"))
     upto = cells.withColumns({"upto": F.sum("c").over(Window.orderBy("cell")), "quota": F.greatest(F.lit(1), F.floor(share * F.sum("c").over(Window.partitionBy())))})  # 4,096 rows at most
     at = F.col("upto") - F.col("c")
     near = hashed.join(F.broadcast(upto.where(at < F.col("quota"))), "cell")
-    whole = near.where("upto <= quota").select("path")
-    rest = near.where("upto > quota").withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("h", "path"))).where(F.col("r") + at <= F.col("quota")).select("path")
-    val = whole.unionByName(rest).withColumn("part", F.lit("val"))
+    whole = near.where("upto <= quota").select(column)
+    rest = near.where("upto > quota").withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("h", column))).where(F.col("r") + at <= F.col("quota")).select(column)
+    return whole.unionByName(rest)
+
+
+def split_by_path(pairs: DataFrame, share: float = 0.15, seed: int = 17) -> DataFrame:
+    """Adds ``part``: val for all rows of max(1, share * n) paths drawn by a hash, else train. Null paths are train."""
+    val = drawn(pairs, "path", share, seed).withColumn("part", F.lit("val"))
     return pairs.join(val, "path", "left").withColumn("part", F.coalesce("part", F.lit("train")))
 
 
@@ -52,14 +60,30 @@ def with_typo(q: Column, seed: Column) -> Column:
     return F.when(i.isNull(), q).otherwise(F.array_join(F.transform(words, lambda x, k: F.when(k + 1 == i, changed).otherwise(x)), " "))
 
 
-def typo_rows(train: DataFrame, percent: int = 30, seed: int = 18) -> DataFrame:
-    """Copies of the rows of about ``percent`` percent of the queries with a typo in the query and ``+typo`` after the style; unchanged ones are left out."""
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "query")), 1, 7), 16, 10).cast("long") % 100 < percent
-    rows = train.where(F.col("query").isNotNull() & drawn).withColumn("old", F.col("query"))
+def typo_rows(train: DataFrame, share: float = 0.3, seed: int = 18) -> DataFrame:
+    """Copies of all rows of ``share`` of the distinct queries with a typo in the query and ``+typo`` after the style; unchanged ones are left out."""
+    rows = train.join(drawn(train, "query", share, seed), "query", "left_semi").withColumn("old", F.col("query"))
     rows = rows.withColumns({"query": with_typo(F.col("old"), F.lit(str(seed))), "style": F.concat("style", F.lit("+typo"))})
     return rows.where("query <> old").drop("old")
 
 
+def augmented(train: DataFrame, *others: DataFrame) -> DataFrame:
+    """Training rows, their typo variants, and rows of other sources."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, train.unionByName(typo_rows(train)))
+
+
+def nested_pairs(rows: DataFrame, negatives: int = 2) -> DataFrame:
+    """(query, doc, label) of rows (query, passages: struct of arrays passage_text and is_selected): the first selected passage and the first others.
+
+    Rows without a selected passage are left out.
+    """
+    both = F.arrays_zip(F.col("passages.passage_text").alias("doc"), F.col("passages.is_selected").alias("chosen"))
+    rows = rows.select("query", F.filter(both, lambda p: p["chosen"] == 1).alias("yes"), F.filter(both, lambda p: p["chosen"] == 0).alias("no")).where("size(yes) > 0")
+    one = lambda p, label: F.struct(p["doc"].alias("doc"), F.lit(label).alias("label"))
+    kept = F.concat(F.transform(F.slice("yes", 1, 1), lambda p: one(p, 1)), F.transform(F.slice("no", 1, negatives), lambda p: one(p, 0)))
+    return rows.select("query", F.explode(kept).alias("k")).select("query", "k.*")
+
+
 def cap_negatives(pairs: DataFrame, n: int = 4) -> DataFrame:
     """All positives, and the first n negatives of each query in the order of pair_id.
 
@@ -87,6 +111,11 @@ def last_examples(pairs: DataFrame) -> DataFrame:
     return g.where("positive is not null and negative is not null")
 
 
+def sampled_examples(examples: DataFrame, n: int = 6, seed: int = 19) -> DataFrame:
+    """n of the examples, picked by a hash of the query."""
+    return examples.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "query")), "query").limit(n)
+
+
 def mined(pool: DataFrame, gold: DataFrame, chunks: DataFrame, negatives: int = 4) -> DataFrame:
     """(query_id, label, chunk_id, doc): the gold file's best chunk and the hardest others.
 
@@ -112,17 +141,56 @@ def same_text(train: DataFrame, held_out: DataFrame) -> DataFrame:
     return a.join(b, "n").select("row_id", "item_id")
 
 
-def contained(train: DataFrame, held_out: DataFrame, longer: int = 40, most: int = 10_000) -> DataFrame:
-    """(row_id, item_id): one normalised text inside the other, for held-out texts of more than ``longer`` characters.
+def inner_words(c: Column) -> Column:
+    """Words of a normalised text between its first and its last: a text that has it inside has these words whole."""
+    words = F.split(c, " ")
+    return F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+
+
+def longest(words: Column) -> Column:
+    """The longest word, of several the first; null for none."""
+    return F.try_element_at(F.filter(words, lambda w: F.length(w) == F.array_max(F.transform(words, lambda x: F.length(x)))), F.lit(1))
+
+
+def grams(c: Column, n: Column) -> Column:
+    """Distinct stretches of n characters."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(train: DataFrame, held_out: DataFrame, longer: int = 40) -> DataFrame:
+    """(row_id, item_id): one normalised text inside the other, for held-out texts of more than ``longer`` characters once normalised.
 
-    A containment has no key to join on, so every pair is compared; the held-out
-    side is broadcast and must have at most ``most`` rows.
+    Candidates share a key, then the texts are compared. A held-out text of three or more words is looked up by its rarest
+    inner word, which a training text around it has whole; a shorter one by characters in the middle of its longest word,
+    among the long words of training texts. A training text is looked up inside held-out texts by its
+    first 8 characters, or all if it is shorter, among theirs.
     """
-    if held_out.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} held-out texts; find_leaks scans for them in one pass")
+    size = 8
     a = train.where("text is not null").select("row_id", tx.normal_text(F.col("text")).alias("t")).where("t <> ''")
-    b = held_out.where(F.length("text") > longer).select("item_id", tx.normal_text(F.col("text")).alias("b"))
-    return a.join(F.broadcast(b), F.contains("t", "b") | F.contains("b", "t")).select("row_id", "item_id")
+    b = held_out.where("text is not null").select("item_id", tx.normal_text(F.col("text")).alias("b")).where(F.length("b") > longer)
+    b = Stages(train.sparkSession, "held_out").keep(b)
+    has = a.select("row_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
+    inner = b.select("item_id", F.explode(F.array_distinct(inner_words(F.col("b")))).alias("key"))
+    seen = has.join(inner.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = inner.join(seen, "key").groupBy("item_id").agg(F.count("*").alias("known"), F.min_by("key", F.struct("n", "key")).alias("key"))
+    needed = inner.groupBy("item_id").agg(F.count("*").alias("needed"))
+    keyed = b.join(rarest, "item_id").join(needed, "item_id").where("known = needed")  # a word that no training text has rules all out
+    around = has.join(keyed.select("item_id", "b", "key"), "key").where(F.contains("t", "b")).select("row_id", "item_id")
+    word = longest(F.split("b", " "))
+    middle = F.substr(word, (F.greatest(F.length(word) - size, F.lit(0)) / 2).cast("int") + 1, F.lit(size))
+    few = b.where(F.size(F.split("b", " ")) < 3).select("item_id", "b", middle.alias("key"))
+    long_words = has.where(F.length("key") >= min(size, longer // 2)).select("row_id", "t", F.explode(grams(F.col("key"), F.lit(size))).alias("key")).distinct()
+    around_few = long_words.join(few, "key").where(F.contains("t", "b")).select("row_id", "item_id")
+    n = F.least(F.length("t"), F.lit(size))
+    parts = b.select("item_id", "b", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("n")).select("item_id", "b", F.explode(grams(F.col("b"), F.col("n"))).alias("key"))
+    within = a.select("row_id", "t", F.substr("t", F.lit(1), n).alias("key")).join(parts, "key").where(F.contains("b", "t")).select("row_id", "item_id")
+    return around.union(around_few).union(within).distinct()
+
+
+def shared_paths(train: DataFrame, held_out: DataFrame) -> DataFrame:
+    """(path, n_rows, n_items): files that training rows (path) and held-out items (accept: their files) share."""
+    items = held_out.select(F.explode(F.array_distinct("accept")).alias("path")).where("path is not null").groupBy("path").agg(F.count("*").alias("n_items"))
+    return train.where("path is not null").groupBy("path").agg(F.count("*").alias("n_rows")).join(items, "path").select("path", "n_rows", "n_items")
 
 
 def shared_identifiers(train: DataFrame, held_out: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,16 +46,37 @@ def both_found(probes: DataFrame, hits: DataFrame) -> DataFrame:
     return probes.join(got, "query_id", "left").select("query_id", F.coalesce("n_found", F.lit(0)).alias("n_found"), (F.coalesce("n_found", F.lit(0)) == F.size(F.array_distinct("accept"))).alias("found"))
 
 
-def percentile(df: DataFrame, by: list[str], value: str, points: list[float]) -> DataFrame:
+def mean_found(found: DataFrame) -> DataFrame:
+    """Two-hop recall: the share of queries whose files were all found, and of files found."""
+    return found.agg(F.count("*").alias("n"), F.round(F.avg(F.col("found").cast("double")), 6).alias("recall"), F.round(F.avg(F.col("n_found") / 2), 6).alias("file_recall"))
+
+
+def percentile(df: DataFrame, by: list[str], value: str, points: list[float], cells: int = 256) -> DataFrame:
     """Nearest-rank percentiles with half-even rounding of the rank: the value at place round(p / 100 * (n - 1)).
 
-    Works on counts per distinct value, never on a list of all values. Nulls don't count.
+    Exact, over counts per distinct value. Values are first dealt to ``cells`` ranges of about as many
+    distinct values each (approximate quantiles do for that); ranges are summed up, and only those in which a
+    wanted place falls are ordered. Nulls don't count.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by).orderBy("value")
-    upto = counts.withColumns({"upto": F.sum("c").over(order), "n": F.sum("c").over(Window.partitionBy(*by))})
-    wanted = upto.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in points)))).withColumn("place", F.greatest(F.lit(0), F.bround(F.col("p") / 100 * (F.col("n") - 1))))
-    return wanted.where("upto > place").groupBy(*by, "p").agg(F.min("value").alias("value"), F.max("n").alias("n"))
+    same = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by))
+    ranges = counts.groupBy(*by).agg(F.percentile_approx("value", [i / cells for i in range(1, cells)], 4 * cells).alias("ends"), F.sum("c").alias("n"))
+    wanted = ranges.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in points)))).withColumn("place", F.greatest(F.lit(0), F.bround(F.col("p") / 100 * (F.col("n") - 1))))
+    placed = counts.alias("c").join(ranges.alias("r"), same("c", "r")).select("c.*", F.size(F.filter("r.ends", lambda e: e < F.col("c.value"))).alias("cell"))
+    upto = Window.partitionBy(*by).orderBy("cell")
+    sums = placed.groupBy(*by, "cell").agg(F.sum("c").alias("here")).withColumn("before", F.sum("here").over(upto) - F.col("here"))  # a row a range
+    hit = sums.alias("s").join(wanted.alias("w"), same("s", "w") & (F.col("w.place") >= F.col("s.before")) & (F.col("w.place") < F.col("s.before") + F.col("s.here")))
+    hit = hit.select(*(F.col(f"w.{k}").alias(k) for k in by), "s.cell", "s.before", "w.p", "w.place", "w.n")
+    near = placed.alias("v").join(hit.alias("h"), same("v", "h") & (F.col("v.cell") == F.col("h.cell"))).select(*(F.col(f"h.{k}").alias(k) for k in by), "h.p", "h.place", "h.before", "h.n", "v.value", "v.c")
+    inside = near.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by, "p").orderBy("value")))
+    return inside.where("upto > place").groupBy(*by, "p").agg(F.min("value").alias("value"), F.max("n").alias("n"))
+
+
+def latency(df: DataFrame, by: list[str], millis: str) -> DataFrame:
+    """Mean, p50, p95 and p99 of durations in milliseconds, and how many such calls one after the other end in a second."""
+    tail = percentile(df, by, millis, [50, 95, 99]).groupBy(*by).agg(*(F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in (50, 95, 99)))
+    whole = df.where(F.col(millis).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(millis), 6).alias("mean"), F.round(F.try_divide(1000 * F.count("*"), F.sum(millis)), 6).alias("per_second"))
+    return whole.join(tail, by)
 
 
 def sweep(scored: DataFrame, floors: list[float], least_top1: float = 0.87) -> DataFrame:

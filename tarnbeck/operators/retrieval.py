@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnbeck.functions import text as tx
-from tarnbeck.functions.vector import sigmoid, top_cosines, usable
-from tarnbeck.lineage import in_blocks, spread
+from tarnbeck.functions.vector import cosine, first_of, sigmoid, top_cosines, usable
+from tarnbeck.lineage import in_blocks
+
+from .index import SearchIndex
 
 
 @dataclass(frozen=True)
@@ -51,67 +52,74 @@ def postings(rows: DataFrame, column: str) -> DataFrame:
     return words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25_top(queries: DataFrame, rows: DataFrame, column: str, limits: Limits = LIMITS, most_queries: int = 65_536) -> DataFrame:
-    """(query_id, chunk_id, bm25): for each query (query_id, query) the best ``per_list`` chunks that share a term with it, ties by chunk_id.
+def bm25_top(queries: DataFrame, index: SearchIndex, limits: Limits = LIMITS, most_queries: int = 65_536) -> DataFrame:
+    """(query_id, chunk_id, bm25): for each query (query_id, query) the best ``per_list`` chunks of each shard that share a term with it, ties by chunk_id.
 
-    Document frequency and mean length are taken over all of ``rows``; terms of a
-    query count once. At most ``most_queries`` queries go to
-    every task at once, more are answered in several passes; a task scores its chunks batch by batch and hands on no more
-    than ``per_list`` of them a query, so that frequent words cost no shuffle.
+    A chunk's score is the greater of those on its text and on its name; terms of a query
+    count once. At most ``most_queries`` queries are scored at once, more in several passes.
+    A task scores one shard of chunks and hands on no more than ``per_list`` of them a query, so
+    that frequent words cost no shuffle beyond their postings.
     """
     asked = queries.where("query is not null").select("query_id", F.array_distinct(tx.terms(tx.search_text(F.col("query")))).alias("w"))
-    terms = spread(rows).select("chunk_id", tx.terms(F.coalesce(F.col(column), F.lit(""))).alias("w"))
-    n, avgdl = terms.agg(F.count("*"), F.avg(F.size("w"))).first()
-    return in_blocks(asked, most_queries, lambda asked: bm25_of(asked, terms, n, avgdl, limits))
-
-
-def bm25_of(asked: list[Row], terms: DataFrame, n: int, avgdl: float | None, limits: Limits) -> tuple[DataFrame, Broadcast]:
-    """``bm25_top`` of collected queries over the chunks' terms, and the broadcast that holds them."""
-    by_term: dict[str, list[int]] = {}
-    for i, r in enumerate(asked):
-        for w in r.w:
-            by_term.setdefault(w, []).append(i)
-    vocabulary = sorted(by_term)
-    spark = terms.sparkSession
-    known = spark.createDataFrame([(w,) for w in vocabulary], "term string")
-    seen = terms.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(known), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    df = {r.term: r.df for r in seen.collect()}
-    idf = np.array([np.log(1 + (n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in vocabulary])
-    ids = np.array([r.query_id for r in asked], np.int64)
+    totals = {r.field: (r.n, r.avgdl or 1.0) for r in index.totals().collect()}
+    return in_blocks(asked, most_queries, lambda rows: bm25_of(rows, index, totals, limits))
+
+
+def bm25_of(asked: list[Row], index: SearchIndex, totals: dict[str, tuple[int, float]], limits: Limits, most_in_filter: int = 1000) -> tuple[DataFrame, Broadcast]:
+    """``bm25_top`` of collected queries over the index's postings, and the broadcast that holds them."""
+    spark, k = index.spark, limits.per_list
+    vocabulary = sorted({w for r in asked for w in r.w})
     place = {w: i for i, w in enumerate(vocabulary)}
+    ids = np.array([r.query_id for r in asked], np.int64)
     wanted = [np.array(sorted(place[w] for w in r.w), np.int64) for r in asked]
-    shared = spark.sparkContext.broadcast((vocabulary, idf, ids, wanted))
-    k = limits.per_list
+    shared = spark.sparkContext.broadcast((place, ids, wanted, totals))
+    if len(vocabulary) <= most_in_filter:  # reaches the scan, which skips all other terms
+        postings = index.postings().where(F.col("term").isin(vocabulary))
+    else:
+        postings = index.postings().join(F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "term string")), "term", "left_semi")
+
+    def score(shard: dict[str, dict[int, tuple]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best chunks of one shard: {field: {term: (df, chunk ids, tf, dl)}}."""
+        _, ids, wanted, totals = shared.value
+        chunk = np.unique(np.concatenate([p[1] for terms in shard.values() for p in terms.values()]))
+        weights = {}
+        for field, terms in shard.items():
+            n, avgdl = totals[field]
+            for t, (df, at, tf, dl) in terms.items():
+                idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+                weights[field, t] = np.searchsorted(chunk, at), idf * (tf * (limits.k1 + 1) / (tf + limits.k1 * (1 - limits.b + limits.b * dl / avgdl)))
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for q, terms in enumerate(wanted):
+            best = np.zeros(len(chunk))
+            for field in shard:
+                found = [weights[field, t] for t in terms.tolist() if (field, t) in weights]
+                if found:
+                    best = np.maximum(best, np.round(np.bincount(np.concatenate([at for at, _ in found]), np.concatenate([w for _, w in found]), len(chunk)), 6))
+            least = max(np.partition(best, len(best) - k)[len(best) - k], 1e-9) if len(best) > k else 1e-9
+            top = np.flatnonzero(best >= least)
+            kept.append(first_of(np.full(len(top), q), chunk[top], best[top], k))
+        return tuple(np.concatenate(x) for x in zip(*kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, idf, ids, wanted = shared.value
-        value_set = pa.array(vocabulary, pa.string())
-        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        place, ids, _, _ = shared.value
+        at, shard = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if shard:
+                q, c, s = score(shard)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "bm25"])
+
         for b in batches:
-            chunk, lists = np.asarray(b.column(0)), b.column(1)
-            dl = np.asarray(lists.value_lengths())
-            term = np.asarray(pc.index_in(lists.flatten(), value_set=value_set).fill_null(-1))
-            row = np.repeat(np.arange(len(chunk)), dl)[term >= 0]
-            key, tf = np.unique(term[term >= 0].astype(np.int64) * len(chunk) + row, return_counts=True)
-            term, row = key // max(1, len(chunk)), key % max(1, len(chunk))
-            weight = idf[term] * (tf * (limits.k1 + 1) / (tf + limits.k1 * (1 - limits.b + limits.b * dl[row] / (avgdl or 1))))
-            at = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-            for q, ts in enumerate(wanted):
-                parts = [slice(at[t], at[t + 1]) for t in ts if at[t + 1] > at[t]]
-                if not parts:
-                    continue
-                score = np.round(np.bincount(np.concatenate([row[p] for p in parts]), np.concatenate([weight[p] for p in parts]), len(chunk)), 6)
-                top = np.flatnonzero(score >= (max(np.partition(score, len(score) - k)[len(score) - k], 1e-9) if len(score) > k else 1e-9))
-                kept.append((np.full(len(top), q), chunk[top], score[top]))
-            q, c, s = (np.concatenate(p) for p in zip(*kept))
-            order = np.lexsort((c, -s, q))
-            q, c, s = q[order], c[order], s[order]
-            few = np.arange(len(q)) - np.searchsorted(q, q) < k
-            kept = [(q[few], c[few], s[few])]
-        q, c, s = kept[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "bm25"])
-
-    return terms.mapInArrow(run, "query_id long, chunk_id long, bm25 double"), shared
+            lists = [(c, np.asarray(c.flatten()), np.concatenate([[0], np.cumsum(np.asarray(c.value_lengths()))])) for c in (b.column(i) for i in (4, 5, 6))]
+            for i, (n, field, term, df) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)))):
+                if n != at:
+                    yield from done()
+                    at, shard = n, {}
+                shard.setdefault(field, {})[place[term]] = (df, *(flat[ends[i] : ends[i + 1]] for _, flat, ends in lists))
+        yield from done()
+
+    parts = postings.select("shard", "field", "term", "df", "ids", "tf", "dl").repartition("shard").sortWithinPartitions("shard")
+    return parts.mapInArrow(run, "query_id long, chunk_id long, bm25 double"), shared
 
 
 def ranked(df: DataFrame, score: Column, k: int, name: str, ties: str = "chunk_id") -> DataFrame:
@@ -120,19 +128,19 @@ def ranked(df: DataFrame, score: Column, k: int, name: str, ties: str = "chunk_i
     return df.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
-def vector_list(queries: DataFrame, rows: DataFrame, dim: int, limits: Limits = LIMITS) -> DataFrame:
-    """(query_id, chunk_id, score, vec_rank)."""
-    q = queries.where(usable(F.col("vector"), dim))
-    x = rows.where(usable(F.col("vector"), dim)).select(F.col("chunk_id").alias("row_id"), "vector")
-    hits = top_cosines(q, x, limits.per_list, dim).withColumnRenamed("row_id", "chunk_id")
+def vector_list(queries: DataFrame, index: SearchIndex, limits: Limits = LIMITS, probes: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, vec_rank): by all vectors, or with ``probes`` by those of the cells nearest to a query."""
+    q = queries.where(usable(F.col("vector"), index.dim))
+    if probes:
+        hits = index.probed(q, limits.per_list, probes)
+    else:
+        hits = top_cosines(q, index.vectors().select(F.col("chunk_id").alias("row_id"), "vector"), limits.per_list, index.dim).withColumnRenamed("row_id", "chunk_id")
     return ranked(hits, F.col("score"), limits.per_list, "vec_rank")
 
 
-def text_list(queries: DataFrame, rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def text_list(queries: DataFrame, index: SearchIndex, limits: Limits = LIMITS) -> DataFrame:
     """(query_id, chunk_id, bm25, fts_rank): the better of the scores on text and on name."""
-    both = bm25_top(queries, rows, "text", limits).unionByName(bm25_top(queries, rows, "name", limits))  # who is among the best by the greater score is so by one of them
-    best = both.groupBy("query_id", "chunk_id").agg(F.max("bm25").alias("bm25"))
-    return ranked(best, F.col("bm25"), limits.per_list, "fts_rank")
+    return ranked(bm25_top(queries, index, limits), F.col("bm25"), limits.per_list, "fts_rank")
 
 
 def fuse(vectors: DataFrame, texts: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -144,13 +152,12 @@ def fuse(vectors: DataFrame, texts: DataFrame, limits: Limits = LIMITS) -> DataF
     return joined.agg(F.round(F.sum(1.0 / (limits.rrf + F.col("rank"))), 8).alias("rrf"), F.max("score").alias("score"), F.min("fts_rank").alias("fts_rank"))
 
 
-def with_scores(fused: DataFrame, queries: DataFrame, rows: DataFrame, dim: int) -> DataFrame:
+def with_scores(fused: DataFrame, queries: DataFrame, index: SearchIndex) -> DataFrame:
     """Fills the cosine of chunks that only the text list found; 0 where a vector is unusable."""
-    from tarnbeck.functions.vector import cosine
-
-    ok = usable(F.col("qv"), dim) & usable(F.col("v"), dim)
-    joined = fused.join(rows.select("chunk_id", "path", "chunk_index", "name", "text", F.col("vector").alias("v")), "chunk_id").join(queries.select("query_id", "query", F.col("vector").alias("qv")), "query_id")
-    missing = F.when(ok, F.round(F.greatest(cosine(F.col("qv"), F.col("v")), F.lit(0.0)), 4)).otherwise(0.0)
+    ok = usable(F.col("qv"), index.dim) & usable(F.col("v"), index.dim)
+    rows = index.rows().select("chunk_id", "path", "chunk_index", "name", "text", F.col("vector").alias("v"))
+    joined = rows.join(fused, "chunk_id").join(queries.select("query_id", "query", F.col("vector").alias("qv")), "query_id")
+    missing = F.when(ok, F.round(F.greatest(cosine(F.col("qv"), F.col("v")), F.lit(0.0)) + 1e-12, 4)).otherwise(0.0)
     return joined.withColumn("score", F.coalesce("score", missing)).drop("v", "qv")
 
 
@@ -186,8 +193,8 @@ def capped(hits: DataFrame, k: int | None = None, limits: Limits = LIMITS) -> Da
     return few.withColumn("ref", F.row_number().over(order)).where(F.col("ref") <= (k or limits.top)).drop("nth", "place")
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int | None = None, dim: int = 64, rerank: bool = True, limits: Limits = LIMITS) -> DataFrame:
-    """Hybrid search for ``queries`` (query_id, query, vector) over ``chunks``.
+def search(queries: DataFrame, index: SearchIndex, k: int | None = None, rerank: bool = True, limits: Limits = LIMITS, probes: int | None = None) -> DataFrame:
+    """Hybrid search for ``queries`` (query_id, query, vector) over an index.
 
     (query_id, ref, chunk_id, path, name, chunk_index, text, score, rrf, fts_rank, rerank).
     A query without usable vector is answered from the text list, one without
@@ -195,18 +202,21 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = None, dim: int
     """
     if k is not None and not 1 <= k <= MOST_HITS:
         raise ValueError(f"k must be from 1 to {MOST_HITS}")
-    rows = chunk_rows(chunks)
-    fused = with_scores(fuse(vector_list(queries, rows, dim, limits), text_list(queries, rows, limits), limits), queries, rows, dim)
+    fused = with_scores(fuse(vector_list(queries, index, limits, probes), text_list(queries, index, limits), limits), queries, index)
     pool = pooled(confident(fused, limits), limits)
     out = capped(reranked(pool, overlap_score(F.col("query"), F.col("text")) if rerank else None, limits), k, limits)
     return out.select("query_id", "ref", "chunk_id", "path", tx.shown_name(F.col("name"), F.col("path")).alias("name"), "chunk_index", "text", "score", "rrf", "fts_rank", "rerank")
 
 
-def mining_pool(queries: DataFrame, chunks: DataFrame, size: int = 30, dim: int = 64, limits: Limits = LIMITS) -> DataFrame:
+def mining_pool(queries: DataFrame, index: SearchIndex, size: int = 30, limits: Limits = LIMITS) -> DataFrame:
     """Fused hits before any floor or cap."""
-    rows = chunk_rows(chunks)
-    fused = fuse(vector_list(queries, rows, dim, limits), text_list(queries, rows, limits), limits)
-    return ranked(fused, F.col("rrf"), size, "pool_rank").join(rows.select("chunk_id", "path", "chunk_index", "text"), "chunk_id")
+    fused = fuse(vector_list(queries, index, limits), text_list(queries, index, limits), limits)
+    return ranked(fused, F.col("rrf"), size, "pool_rank").join(index.rows().select("chunk_id", "path", "chunk_index", "text"), "chunk_id")
+
+
+def for_client(hits: DataFrame) -> DataFrame:
+    """Hits as a client gets them."""
+    return hits.select("query_id", "path", "name", F.col("chunk_index").alias("chunkIndex"), "text", "score")
 
 
 def citations(hits: DataFrame) -> DataFrame:

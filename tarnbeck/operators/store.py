@@ -1,16 +1,14 @@
-"""Ledger and chunk tables: what changed, what is stale, upserts and removals as whole snapshots."""
+"""Ledger and chunk tables: what changed, what is stale, upserts and removals that touch only the buckets of their paths."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnbeck.functions import text as tx
 
-CHUNK_COLUMNS = {"path", "name", "chunk_index", "text", "vector"}
+from .index import exists
 
 
 def latest(ledger: DataFrame) -> DataFrame:
@@ -46,39 +44,60 @@ def removed(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("path").distinct(), "path", "left_anti")
 
 
-class Snapshots:
-    """A table as numbered snapshot folders, partitioned by a hash of the path, and a pointer to the current one.
+class Buckets:
+    """A table in ``root`` partitioned by a hash of the path; a change rewrites the buckets of its paths only.
 
-    A writer reads the current snapshot and writes the next one, so no path is
-    overwritten while it is read; the pointer moves last. One writer at a time.
+    The number of buckets is fixed when the table is first written, from the rows it then has. Files of
+    other buckets stay as they are (dynamic partition overwrite; the new files of a bucket appear when the job commits). A
+    bucket that loses its last row keeps a row without path, which readers don't see.
+    One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def _pointer(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def current(self) -> str | None:
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])["snapshot"]
-
-    def read(self) -> DataFrame | None:
-        name = self.current()
-        return self.spark.read.parquet(f"{self.root}/{name}").drop("bucket") if name else None
-
-    def write(self, df: DataFrame) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        df.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(self.buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
-        path, fs = self._pointer()
-        out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"snapshot": name}).encode()))
-        out.close()
-
-    def matches(self, columns: set[str]) -> bool:
-        """Whether the stored columns are the expected ones; if not, the table is to be rebuilt."""
-        table = self.read()
-        return table is None or set(table.columns) == columns
+    def __init__(self, spark: SparkSession, root: str, schema: str | StructType, bucket_rows: int = 1_000_000, least: int = 16) -> None:
+        self.spark, self.root, self.bucket_rows, self.least = spark, root.rstrip("/"), bucket_rows, least
+        self.schema = spark.createDataFrame([], schema).schema
+
+    def stored(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.root) if exists(self.spark, self.root) else None
+
+    def read(self) -> DataFrame:
+        """All rows; columns as declared, those a stored table lacks are null."""
+        table = self.stored()
+        if table is None:
+            return self.spark.createDataFrame([], self.schema)
+        return table.where("path is not null").select(*(F.col(f.name) if f.name in table.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
+
+    def matches(self) -> bool:
+        """Whether what is stored has the declared columns and types. If not, ``rebuild`` it."""
+        table = self.stored()
+        return table is None or {f.name: f.dataType for f in table.drop("of", "bucket").schema} == {f.name: f.dataType for f in self.schema}
+
+    def count_of(self, rows: int) -> int:
+        return max(self.least, -(-rows // self.bucket_rows))
+
+    def rebuild(self, df: DataFrame) -> None:
+        """The whole table anew, e.g. after its columns changed. ``df`` must not read the table."""
+        self._write(df, self.count_of(df.count()), "static")
+
+    def replace(self, incoming: DataFrame, files: DataFrame) -> None:
+        """All rows of ``files`` (path) go, those of ``incoming`` come. ``incoming`` is read twice when the table is new, else once."""
+        table = self.stored()
+        if table is None:
+            self.rebuild(incoming)
+            return
+        of = table.select("of").first()[0]
+        paths = files.where("path is not null").select("path").distinct()
+        touched = [r.bucket for r in paths.select(bucket_of(of).alias("bucket")).distinct().collect()]  # at most ``of`` numbers
+        kept = table.where(F.col("bucket").isin(touched) & F.col("path").isNotNull()).join(paths, "path", "left_anti").select(*self.schema.names)
+        self._write(kept.unionByName(incoming.select(*self.schema.names)), of, "dynamic", touched)
+
+    def _write(self, df: DataFrame, of: int, mode: str, touched: list[int] | None = None) -> None:
+        df = df.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).withColumn("bucket", bucket_of(of))
+        marks = self.spark.createDataFrame([(b,) for b in (range(of) if touched is None else touched)], "bucket int")
+        df = df.unionByName(marks, allowMissingColumns=True).withColumn("of", F.lit(of))
+        salt = F.pmod(F.xxhash64(*self.schema.names), F.lit(8))  # a path may have a third of all rows
+        df.repartition("bucket", salt).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("of", "bucket").parquet(self.root)
+
+
+def bucket_of(of: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(of)).cast("int")

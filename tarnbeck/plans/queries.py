@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnbeck.functions import models
 from tarnbeck.functions import text as tx
 from tarnbeck.functions import vector as vx
 from tarnbeck.lineage import shared_folder
 from tarnbeck.operators import actions, curation, evaluation, retrieval, store
-from tarnbeck.sources import extract, files
+from tarnbeck.operators.index import SearchIndex, exists
+from tarnbeck.sources import extract, files, jsonl
 from tarnbeck.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 DIM = 64
+EMBED = models.embedder(dim=DIM)
 REMIND = "can you remind me "  # fixed value: how a paraphrase starts
 FLOORS = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.34, 0.5, 0.75, 0.9]
 
@@ -44,11 +47,35 @@ def listing(t: Tables) -> DataFrame:
     return t.files.select(F.lit(0).alias("root_no"), "path", "mtime_ns", "size")
 
 
-def asked(t: Tables) -> DataFrame:
-    """A query per anchor: its fact, and as stand-in for its embedding the vector of its file's first chunk."""
+def questions(t: Tables) -> DataFrame:
+    """A question per anchor: its fact."""
     a = t.anchors.where("id is not null and fact is not null").groupBy("id").agg(F.min("fact").alias("query"), F.min("path").alias("path"), F.min("topic").alias("topic"))
+    return a.select(F.substring("id", 2, 20).cast("long").alias("query_id"), "query", "path", F.coalesce("topic", F.lit("none")).alias("category"))
+
+
+def asked(t: Tables) -> DataFrame:
+    """Questions with the vectors of their own words, by the embedder that embeds the chunks."""
+    return questions(t).withColumn("vector", EMBED(F.col("query")))
+
+
+def by_vector(t: Tables) -> DataFrame:
+    """For each anchor the stored vector of its file's first chunk: searches by example."""
     first = retrieval.chunk_rows(t.chunks).where(vx.usable(F.col("vector"), DIM)).groupBy("path").agg(F.min_by("vector", F.struct("chunk_index", "chunk_id")).alias("vector"))
-    return a.join(first, "path", "left").select(F.substring("id", 2, 20).cast("long").alias("query_id"), "query", "path", F.coalesce("topic", F.lit("none")).alias("category"), "vector")
+    return questions(t).join(first, "path").select("query_id", "vector")
+
+
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def index(t: Tables) -> SearchIndex:
+    """The stored index over all chunks of a folder's tables, built once an application; chunks are embedded by their text."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    found = _INDEXES.get(key)
+    if found is None or not exists(t.spark, f"{found.folder}/vectors"):
+        rows = retrieval.chunk_rows(t.chunks)
+        rows = rows.repartition(max(t.chunks.rdd.getNumPartitions(), t.spark.sparkContext.defaultParallelism)).withColumn("vector", EMBED(F.col("text")))
+        found = _INDEXES[key] = SearchIndex.build(rows, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}", DIM)
+    return found
 
 
 def scored_pairs(t: Tables) -> DataFrame:
@@ -100,8 +127,9 @@ def ledger_current(t):
 
 @query
 def ledger_changed(t):
-    """Newest state against the ledger as it was half way through the table's time."""
-    half = t.files.where("seen_at < timestamp '2026-01-15 00:00:00'")
+    """Newest state against the ledger as it was at the mean time of its rows."""
+    middle = t.files.agg(F.avg(F.unix_micros("seen_at")).alias("middle"))
+    half = t.files.crossJoin(F.broadcast(middle)).where(F.unix_micros("seen_at") < F.col("middle")).drop("middle")  # one number
     return store.changed(store.latest(t.files).drop("chunk_count"), store.latest(half)).select("path", "mtime_ns", "size")
 
 
@@ -125,9 +153,12 @@ def chunk_count_drift(t):
 
 @query
 def upsert_result(t):
-    """Chunks after all documents were stored as files."""
+    """Chunks after all documents were stored as files, in a table of which only the documents' buckets are written again."""
     incoming = store.chunked(t.documents.groupBy("path").agg(F.max_by("text", F.struct("modified_at", "doc_id")).alias("text")))
-    return store.replaced(t.chunks.select("path", "chunk_index", "text"), incoming, t.documents.where("path is not null")).select("path", "chunk_index", "text")
+    table = store.Buckets(t.spark, f"{shared_folder(t.spark)}/upsert-{uuid.uuid4().hex}", "path string, chunk_index int, text string", least=8)
+    table.rebuild(t.chunks.where("path is not null"))
+    table.replace(incoming, t.documents)
+    return table.read()
 
 
 @query
@@ -147,18 +178,35 @@ def corpus_union(t):
 
 @query
 def extracted_text(t):
-    """Documents written out as bytes and read back by the extraction function."""
-    rows = t.documents.where("text is not null").select("doc_id", extract.extract_text(F.lit("x.txt"), F.encode("text", "UTF-8")).alias("text"))
+    """Documents written out as bytes and read back by the extraction function: as plain UTF-8, with a byte order mark, and under the name of a word file, which they aren't."""
+    kind = F.pmod("doc_id", F.lit(3))
+    data = F.when(kind == 1, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    names = F.when(kind == 0, "a.txt").when(kind == 1, "b.MD").otherwise("c.docx")
+    rows = t.documents.where("text is not null").select("doc_id", extract.extract_text(names, data).alias("text"))
     return rows.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("md5"))
 
 
+PAIR_LINE = "pair_id bigint, path string, query string, doc string, label int"
+
+
 @query
 def json_rows(t):
-    """Pairs as JSON lines and back with a declared schema."""
-    schema = "anchor_id string, path string, topic string, style string, query string, doc string, label int"
-    cols = [c.split()[0] for c in schema.split(", ")]
-    lines = t.pairs.select("pair_id", F.to_json(F.struct(*cols)).alias("line"))
-    return lines.select("pair_id", F.from_json("line", schema).alias("r")).select("pair_id", "r.path", "r.query", "r.label", F.md5("r.doc").alias("doc_md5"))
+    """Pairs written as JSON lines, blank lines among them, and read with a declared schema."""
+    folder = f"{shared_folder(t.spark)}/lines-{uuid.uuid4().hex}"
+    lines = t.pairs.select(F.to_json(F.struct("pair_id", "path", "query", "doc", "label")).alias("value"))
+    lines.unionByName(t.pairs.where("label is null").select(F.lit("").alias("value"))).write.text(folder)
+    return jsonl.read_lines(t.spark, folder, PAIR_LINE).select("pair_id", "path", "query", "label", F.md5("doc").alias("doc_md5"))
+
+
+@query
+def resumed_lines(t):
+    """Validation pairs appended to a file that a run which was cut off left behind."""
+    folder = f"{shared_folder(t.spark)}/lines-{uuid.uuid4().hex}"
+    rows = t.pairs.where("split = 'val'").select("pair_id", "query", "label")
+    rows.where("label = 1").write.json(folder)
+    jsonl.append_new(rows, folder, ["pair_id"])
+    jsonl.append_new(rows, folder, ["pair_id"])
+    return jsonl.read_lines(t.spark, folder, "pair_id bigint, query string, label int")
 
 
 # -- text --------------------------------------------------------------------
@@ -248,18 +296,32 @@ def token_stats(t):
 
 @query
 def bm25_topk(t):
-    hits = retrieval.text_list(asked(t), retrieval.chunk_rows(t.chunks))
-    return hits.select("query_id", "chunk_id", "bm25", "fts_rank")
+    return retrieval.text_list(asked(t), index(t)).select("query_id", "chunk_id", "bm25", "fts_rank")
 
 
 @query
 def cosine_topk(t):
-    return retrieval.vector_list(asked(t), retrieval.chunk_rows(t.chunks), DIM).select("query_id", "chunk_id", "score", "vec_rank")
+    """By stored vectors, each against all usable ones."""
+    rows = retrieval.chunk_rows(t.chunks).where(vx.usable(F.col("vector"), DIM)).select(F.col("chunk_id").alias("row_id"), "vector")
+    hits = vx.top_cosines(by_vector(t), rows, retrieval.LIMITS.per_list, DIM).withColumnRenamed("row_id", "chunk_id")
+    return retrieval.ranked(hits, F.col("score"), retrieval.LIMITS.per_list, "vec_rank").select("query_id", "chunk_id", "score", "vec_rank")
+
+
+@query
+def embedded_topk(t):
+    return retrieval.vector_list(asked(t), index(t)).select("query_id", "chunk_id", "score", "vec_rank")
+
+
+@query
+def index_totals(t):
+    """What the stored index knows of each field."""
+    terms = index(t).postings().groupBy("field", "term", "df").agg(F.sum(F.aggregate("tf", F.lit(0), lambda a, x: a + x)).alias("cf"))
+    return terms.groupBy("field").agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"), F.sum("cf").alias("n_words"))
 
 
 def fused(t):
-    q, rows = asked(t), retrieval.chunk_rows(t.chunks)
-    return retrieval.with_scores(retrieval.fuse(retrieval.vector_list(q, rows, DIM), retrieval.text_list(q, rows)), q, rows, DIM)
+    q, ix = asked(t), index(t)
+    return retrieval.with_scores(retrieval.fuse(retrieval.vector_list(q, ix), retrieval.text_list(q, ix)), q, ix)
 
 
 @query
@@ -285,7 +347,7 @@ def per_file_cap(t):
 
 
 def hits(t, k=None):
-    return retrieval.search(asked(t), t.chunks, k, DIM)
+    return retrieval.search(asked(t), index(t), k)
 
 
 @query
@@ -293,6 +355,17 @@ def hybrid_search(t):
     return hits(t).select("query_id", "ref", "chunk_id", "path", "name", "score", "rrf", "fts_rank", "rerank")
 
 
+@query
+def hits_for_client(t):
+    return retrieval.for_client(hits(t)).select("query_id", "path", "name", "chunkIndex", F.md5("text").alias("md5"), "score")
+
+
+@query
+def first_citations(t):
+    """What is shown of the citations when there is no model: the first four."""
+    return retrieval.citations(hits(t)).where("ref <= 4").select("query_id", "ref", "path", F.format_string("%.0f%%", 100 * F.col("score")).alias("shown"))
+
+
 @query
 def hit_citations(t):
     return retrieval.citations(hits(t))
@@ -334,15 +407,30 @@ def probe_rejection(t):
     return evaluation.rejection(q.select("query_id", "category"), got.join(need, "query_id").where("got >= need"))
 
 
-@query
-def two_hop(t):
+def two_hops(t):
     """Two anchors of a topic as one question: are the files of both found?"""
-    q = asked(t).where("path is not null")
+    q = questions(t).where("path is not null")
     after = F.lead("path").over(Window.partitionBy("category").orderBy("query_id"))
     probes = q.withColumn("second", after).where("second is not null and second <> path").select("query_id", F.array("path", "second").alias("accept"))
     return evaluation.both_found(probes, hits(t))
 
 
+@query
+def two_hop(t):
+    return two_hops(t)
+
+
+@query
+def two_hop_recall(t):
+    return evaluation.mean_found(two_hops(t))
+
+
+@query
+def latency_by_type(t):
+    """Values of events read as milliseconds."""
+    return evaluation.latency(t.events, ["event_type"], "value")
+
+
 @query
 def percentile_nearest(t):
     style = F.coalesce(F.lower(F.trim("style")), F.lit("none"))
@@ -382,8 +470,8 @@ def stale_counts(t):
 @query
 def mine_pairs(t):
     q = asked(t).where("path is not null")
-    pool = retrieval.mining_pool(q, t.chunks, dim=DIM)
-    return curation.mined(pool, q.select("query_id", "path"), retrieval.chunk_rows(t.chunks)).select("query_id", "label", "chunk_id")
+    pool = retrieval.mining_pool(q, index(t))
+    return curation.mined(pool, q.select("query_id", "path"), index(t).rows()).select("query_id", "label", "chunk_id")
 
 
 @query
@@ -422,6 +510,14 @@ def typo_variants(t):
     return curation.typo_rows(t.pairs.where("split = 'train'")).select("pair_id", "query", "style")
 
 
+@query
+def augmented_train(t):
+    """Training rows with their typo variants and held-out passages as general pairs, less the questions that are held out."""
+    general = t.probes.where("passage is not null").select((-F.col("probe_id")).alias("pair_id"), F.col("query"), F.lit("general").alias("style"))
+    rows = curation.augmented(t.pairs.where("split = 'train'").select("pair_id", "query", "style"), general)
+    return rows.groupBy("style").agg(F.count("*").alias("n"), F.countDistinct("query").alias("n_queries"))
+
+
 @query
 def capped_negatives(t):
     return curation.cap_negatives(t.pairs).select("pair_id", "label")
@@ -439,12 +535,32 @@ def example_triples(t):
     return e.select("query", F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
 
 
+@query
+def shown_examples(t):
+    e = curation.sampled_examples(curation.last_examples(t.pairs))
+    return e.select("query", F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
+
+
 @query
 def first_passages(t):
-    """Nested passages of each file: its first positive and first two negatives; files without a positive are skipped."""
-    first = curation.cap_negatives(t.pairs.withColumn("query", F.col("path")).where("path is not null"), 2)
-    g = first.groupBy("path").agg(F.min(F.when(F.col("label") == 1, F.col("pair_id"))).alias("positive"), F.array_sort(F.collect_list(F.when(F.col("label") == 0, F.col("pair_id")))).alias("neg"))
-    return g.where("positive is not null").select("path", "positive", F.explode_outer(F.slice("neg", 1, 2)).alias("negative"))
+    """From nested rows, each query with all its passages: the first positive and the first two negatives."""
+    listed = F.array_sort(F.collect_list(F.struct("pair_id", "doc", "label")))
+    rows = t.pairs.where("query is not null and doc is not null and label is not null").groupBy("query").agg(listed.alias("l"))
+    nested = rows.select("query", F.struct(F.col("l.doc").alias("passage_text"), F.col("l.label").alias("is_selected")).alias("passages"))
+    return curation.nested_pairs(nested).select("query", F.md5("doc").alias("doc"), "label")
+
+
+@query
+def leak_paths(t):
+    """Chunks of the files that validation questions ask for."""
+    asked_for = t.pairs.where("split = 'val' and label = 1 and query is not null").groupBy("query").agg(F.collect_set("path").alias("accept"))
+    return curation.shared_paths(t.chunks.select("path"), asked_for)
+
+
+@query
+def shared_paths(t):
+    """Files that both the ledger and the chunks have."""
+    return t.files.where("path is not null").select("path").intersect(t.chunks.select("path"))
 
 
 @query
@@ -467,7 +583,7 @@ def leak_tokens(t):
 
 @query
 def dedupe_groups(t):
-    return actions.duplicates(stored(t))
+    return actions.duplicates(actions.digests(stored(t)))
 
 
 @query
@@ -485,6 +601,27 @@ def organise_by_date(t):
     return actions.move_plan(t.documents.where("path is not null").select("path", F.col("modified_at").alias("mtime")).distinct(), "by-date")
 
 
+@query
+def rename_batches(t):
+    """The first 50 files of each folder."""
+    return actions.rename_candidates(t.files)
+
+
+@query
+def shown_history(t):
+    """Turns that count as history: mined queries, those without a label as still being written, those without an anchor as failed."""
+    rows = t.pairs.select("pair_id", F.col("label").isNull().alias("streaming"), F.when(F.col("anchor_id").isNull(), "no anchor").alias("error"), F.col("query").alias("content"))
+    return actions.shown_turns(rows).select("pair_id")
+
+
+@query
+def selected_moves(t):
+    """Moves by type of those files that are ticked: the ones of at least a kilobyte."""
+    current = store.latest(t.files)
+    plan = actions.move_plan(current.select("path", F.lit(None).cast("timestamp").alias("mtime")), "by-type")
+    return actions.selected(plan, current.where("size >= 1024").select(F.col("path").alias("src")))
+
+
 def flat_plan(t):
     """Moving every file's newest state into one folder, which makes names collide."""
     current = store.latest(t.files)
@@ -514,12 +651,5 @@ def change_debounce(t):
 @query
 def stream_debounce(t):
     """The same over a stream of the table's file, all of it, as one available-now run."""
-    source = t.events
-    folder = f"{shared_folder(t.spark)}/debounce-{uuid.uuid4().hex}"
-    stream = t.spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
-    result = changes.debounced(stream, "user_id", "ts", 2)
-    t.spark.createDataFrame([], result.schema).write.parquet(f"{folder}/result")  # a stream of no files has no batch
-    # each batch of complete mode has all groups so far
-    run = result.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/result")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.read.schema(result.schema).parquet(f"{folder}/result")
+    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events.parquet*")
+    return changes.written(changes.debounced(stream, "user_id", "ts", 2), ["start", "user_id"], f"{shared_folder(t.spark)}/debounce-{uuid.uuid4().hex}", {"availableNow": True})

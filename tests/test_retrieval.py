@@ -1,16 +1,67 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from tarnbeck.functions import models
 from tarnbeck.functions.vector import top_cosines
-from tarnbeck.operators.retrieval import bm25_top
+from tarnbeck.operators import retrieval
+from tarnbeck.operators.index import SearchIndex, refreshed
 
 
-def test_any_number_of_queries_is_answered(spark):
+def chunks(spark, n=60):
+    rows = spark.createDataFrame([(i, f"f{i % 9}.md", i, f"name{i % 5}", f"word{i % 7} word{i % 11} common") for i in range(n)], "chunk_id long, path string, chunk_index int, name string, text string")
+    return rows.withColumn("vector", models.embedder()(F.col("text")))
+
+
+def test_any_number_of_queries_is_answered(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = spark.createDataFrame([(i, [float(z) for z in rng.normal(size=8)]) for i in range(60)], "row_id long, vector array<double>")
     asked = spark.createDataFrame([(i, [float(z) for z in rng.normal(size=8)]) for i in range(30)], "query_id long, vector array<double>")
     one = top_cosines(asked, rows, 5, 8).collect()
     assert len({r.query_id for r in one}) == 30 and sorted(top_cosines(asked, rows, 5, 8, block=4, most_blocks=2).collect()) == sorted(one)
-    chunks = spark.createDataFrame([(i, f"word{i % 7} word{i % 11} common") for i in range(60)], "chunk_id long, text string")
-    asked = spark.createDataFrame([(i, f"common word{i % 11}") for i in range(30)], "query_id long, query string")
-    one = bm25_top(asked, chunks, "text").collect()
-    assert len({r.query_id for r in one}) == 30 and sorted(bm25_top(asked, chunks, "text", most_queries=8).collect()) == sorted(one)
+    index = SearchIndex.build(chunks(spark), str(tmp_path / "index"), shard_rows=20)
+    asked = spark.createDataFrame([(i, f"common word{i % 11} name{i}") for i in range(30)], "query_id long, query string")
+    one = retrieval.bm25_top(asked, index).collect()
+    assert len({r.query_id for r in one}) == 30 and sorted(retrieval.bm25_top(asked, index, most_queries=8).collect()) == sorted(one)
+
+
+def test_shards_and_filters_change_no_score(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "word3 common nowhere"), (2, "name2"), (3, None), (4, "?!"), (5, "nothing known")], "query_id long, query string")
+    found = [sorted(retrieval.text_list(asked, SearchIndex.build(chunks(spark), str(tmp_path / f"i{n}"), shard_rows=n)).collect()) for n in (7, 1000)]
+    assert found[0] == found[1] and {r.query_id for r in found[0]} == {1, 2}
+    index = SearchIndex(spark, str(tmp_path / "i7"))
+    rows = asked.where("query_id = 1").select("query_id", F.array(F.lit("word3"), F.lit("common")).alias("w")).collect()
+    totals = {r.field: (r.n, r.avgdl) for r in index.totals().collect()}
+    few, many = (sorted(retrieval.bm25_of(rows, index, totals, retrieval.LIMITS, most_in_filter=m)[0].collect()) for m in (10, 0))
+    assert few == many
+    assert "PushedFilters: [In(term" in index.postings().where(F.col("term").isin("a", "b"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_cells(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 64))
+    x = centres[rng.integers(0, 20, 3000)] + 0.5 * rng.normal(size=(3000, 64))
+    rows = spark.createDataFrame([(i, "p", i, "n", "t", [float(z) for z in v]) for i, v in enumerate(x)] + [(5000, "p", 1, "n", "t", None), (5001, "p", 1, "n", "t", [0.0] * 64)], "chunk_id long, path string, chunk_index int, name string, text string, vector array<float>")
+    index = SearchIndex.build(rows, str(tmp_path / "index"), least_cells=1000, part_rows=30)
+    assert index.centroids().count() > 10 and index.vectors().count() == 3000
+    asked = spark.createDataFrame([(i, [float(z) for z in x[i] + 0.1]) for i in range(0, 3000, 20)], "query_id long, vector array<float>")
+    exact = {(r.query_id, r.chunk_id) for r in retrieval.vector_list(asked, index).collect()}
+    some = {(r.query_id, r.chunk_id) for r in retrieval.vector_list(asked, index, probes=8).collect()}
+    every = {(r.query_id, r.chunk_id) for r in retrieval.vector_list(asked, index, probes=4096).collect()}
+    assert every == exact and len(some & exact) >= 0.9 * len(exact)
+
+
+def test_refresh_policy(spark, tmp_path):
+    index = refreshed(None, chunks(spark), str(tmp_path / "a"))
+    assert index.rows().count() == 60
+    assert refreshed(index, chunks(spark, 80), str(tmp_path / "b"), upto=70) is index
+    assert refreshed(index, chunks(spark, 70), str(tmp_path / "c"), upto=70).rows().count() == 70
+
+
+def test_search_of_odd_queries(spark, tmp_path):
+    index = SearchIndex.build(chunks(spark), str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "word3 common"), (2, ""), (3, None)], "query_id long, query string").withColumn("vector", models.embedder()(F.col("query")))
+    hits = retrieval.search(asked, index).collect()
+    assert {r.query_id for r in hits} == {1} and [r.ref for r in sorted(hits, key=lambda r: r.ref)] == list(range(1, 9))
+    assert retrieval.search(asked.where("false"), index).count() == 0
+    empty = SearchIndex.build(chunks(spark).where("false"), str(tmp_path / "none"))
+    assert retrieval.search(asked, empty).count() == 0

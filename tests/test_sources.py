@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import models
 from tarnbeck.operators import actions, answer, retrieval, store
-from tarnbeck.sources import extract, files
+from tarnbeck.sources import extract, files, jsonl
 from tarnbeck.streaming import changes
 
 
@@ -41,31 +41,54 @@ def test_extraction(spark, tmp_path):
     assert got[10] == "\x81\x8d\x8f"
 
 
-def test_snapshots_and_stream(spark, tmp_path):
-    chunks, ledger = store.Snapshots(spark, str(tmp_path / "chunks"), 4), store.Snapshots(spark, str(tmp_path / "ledger"), 4)
+def stored_files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_buckets_and_stream(spark, tmp_path):
+    chunks = store.Buckets(spark, str(tmp_path / "chunks"), "path string, chunk_index int, text string", least=4)
+    ledger = store.Buckets(spark, str(tmp_path / "ledger"), "path string, size long, chunk_count int", least=4)
+    assert chunks.read().count() == 0 and chunks.matches()
     long = "A sentence that is long enough to be kept. " * 3
     feed = tmp_path / "feed"
     schema = "path string, seq long, text string, size long, gone boolean"
     write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(feed))
+    refreshes = []
 
     def run():
         stream = spark.readStream.schema(schema).parquet(str(feed))
-        changes.follow(stream, chunks, ledger, str(tmp_path / "check"), {"availableNow": True}).awaitTermination()
+        changes.follow(stream, chunks, ledger, str(tmp_path / "check"), {"availableNow": True}, lambda table: refreshes.append(table.read().count())).awaitTermination()
 
     write([("a.md", 1, long, 10, False), ("a.md", 2, long + "B", 11, False), ("b.md", 1, long, 9, False), ("c.exe", 1, long, 9, False), ("empty.md", 1, "", 1, False)])
     run()
     assert sorted((r.path, r.size, r.chunk_count) for r in ledger.read().collect()) == [("a.md", 11, 1), ("b.md", 9, 1), ("empty.md", 1, 0)]
     write([("b.md", 3, None, 0, True), ("a.md", 3, long * 20, 12, False)])
     run()
-    assert sorted(r.path for r in ledger.read().collect()) == ["a.md", "empty.md"]
+    assert sorted(r.path for r in ledger.read().collect()) == ["a.md", "empty.md"] and len(refreshes) == 2
     stored = chunks.read()
-    assert stored.where("path = 'a.md'").count() > 1
-    assert chunks.matches({"path", "chunk_index", "text"}) and not chunks.matches({"path"})
+    assert stored.where("path = 'a.md'").count() > 1 and stored.count() == refreshes[-1]
     before = sorted(map(tuple, stored.collect()))
     changes.apply_batch(spark.createDataFrame([("a.md", 3, long * 20, 12, False)], schema), chunks, ledger)
     assert sorted(map(tuple, chunks.read().collect())) == before
 
 
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    table = store.Buckets(spark, str(tmp_path / "t"), "path string, n int", bucket_rows=10)
+    table.rebuild(spark.range(300).selectExpr("concat('p', id) as path", "cast(id as int) as n"))
+    before = stored_files(tmp_path / "t")
+    assert len({f.split("/")[1] for f in before}) == 30
+    table.replace(spark.createDataFrame([("p7", 1), ("p7", 2)], "path string, n int"), spark.createDataFrame([("p7",), (None,)], "path string"))
+    after = stored_files(tmp_path / "t")
+    touched = {f.split("/")[1] for f in before.items() - after.items() for f in [f[0]]}
+    assert len(touched) == 1 and all(after[f] == t for f, t in before.items() if f.split("/")[1] not in touched)
+    assert sorted(r.n for r in table.read().where("path = 'p7'").collect()) == [1, 2] and table.read().count() == 301
+    every = table.read().select("path")
+    table.replace(spark.createDataFrame([], "path string, n int"), every)
+    assert table.read().count() == 0
+    wider = store.Buckets(spark, str(tmp_path / "t"), "path string, n long")
+    assert table.matches() and not wider.matches()
+
+
 def test_second_scan_finds_nothing_to_do(spark):
     scan = spark.createDataFrame([("a", 1, 2), ("b", 2, 3)], "path string, mtime_ns long, size long")
     assert store.changed(scan, scan).count() == 0
@@ -84,7 +107,7 @@ def test_answer_events(spark):
 def test_models(spark):
     df = spark.createDataFrame([("some words",), ("",), (None,)], "t string")
     vectors = [r[0] for r in df.select(models.embedder()(F.col("t"))).collect()]
-    assert abs(sum(x * x for x in vectors[0]) - 1) < 1e-6 and set(vectors[1]) == {0.0}
+    assert sum(map(abs, vectors[0])) == 2 and set(vectors[1]) == set(vectors[2]) == {0.0}
 
     def broken():
         raise OSError("no model")
@@ -105,3 +128,26 @@ def test_without_reranker_the_order_of_fusion_stays(spark):
 def test_categories(spark):
     df = spark.createDataFrame([("d/a.PDF",), ("d/b.py",), ("d/Code/c.py",), ("d/.x.py",), ("d/none",)], "path string").selectExpr("path", "cast(null as timestamp) as mtime")
     assert sorted(r.dest for r in actions.move_plan(df, "by-type").collect()) == ["d/Code/b.py", "d/Documents/a.PDF", "d/Other/none"]
+
+
+def test_lines(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    schema = "id long, text string"
+    assert jsonl.read_lines(spark, path, schema).count() == 0
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "x")], schema)
+    jsonl.append_new(rows.where("id = 1"), path, ["id"])
+    jsonl.append_new(rows, path, ["id"])
+    (tmp_path / "rows" / "more.json").write_text('\n  \n{"id": 9, "text": "é", "other": 1}\n\n')
+    got = sorted(jsonl.read_lines(spark, path, schema).collect(), key=str)
+    assert [tuple(r) for r in got] == sorted([(1, "a"), (2, None), (None, "x"), (9, "é")], key=lambda t: str(jsonl_row(t)))
+
+
+def jsonl_row(t):
+    from pyspark.sql import Row
+
+    return Row(id=t[0], text=t[1])
+
+
+def test_long_texts_are_cut(monkeypatch):
+    monkeypatch.setattr(extract, "MOST_CHARS", 10)
+    assert extract.plain(b"x" * 50) == "x" * 10 and extract.clipped("  " + "y" * 50) == "y" * 10 and extract.clipped(" \n ") is None
