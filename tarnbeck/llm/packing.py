@@ -37,7 +37,7 @@ def pack(docs: DataFrame, capacities: DataFrame, vocabulary: str = VOCABULARY, b
     sized = stages.keep(with_tokens(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"], "text", vocabulary).where("n_tokens > 0"))
     blocks = max(1, -(-sized.count() // block_docs))
     cap = capacities.where("container is not null and capacity_tokens > 0").groupBy("container").agg(F.max("capacity_tokens").cast("int").alias("cap"))
-    rows = sized.crossJoin(F.broadcast(cap))  # capacities are a handful of container kinds, each packs all documents
+    rows = sized.crossJoin(cap)  # each kind of container packs all documents; the kinds are broadcast if Spark finds them small
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     full = F.floor(F.try_divide("n_tokens", "cap")).cast("int")
     cut = rows.where("n_tokens > cap").select("container", "cap", "block", "doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"), F.col("cap").alias("tokens"))

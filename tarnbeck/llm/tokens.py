@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,14 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 def with_tokens(df: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``keep`` columns and n_tokens of the whole text; null text has 0. The vocabulary file must be readable on every worker."""
+    """``keep`` columns and n_tokens of the whole text; null text has 0. The vocabulary file is read on the driver's machine and sent to the workers."""
     schema = df.select(*keep).schema.add("n_tokens", "integer")
 
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int32())], names=[*keep, "n_tokens"])

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -57,3 +58,11 @@ def test_random_sizes(spark, sizes, cap):
 def test_empty(spark):
     assert pack(docs(spark, []), caps(spark, [("s", 10)])).count() == 0
     assert pack(docs(spark, [(1, "x")]), caps(spark, [])).count() == 0
+
+
+def test_little_space_is_left(spark):
+    """Documents of up to half the container, as in most corpora: bins are nearly full, and hardly more than the tokens need."""
+    rng = random.Random(9)
+    rows = [(i, "word " * int(min(250, rng.lognormvariate(3.6, 0.9)))) for i in range(4000)]
+    report = fill_report(pack(docs(spark, rows), caps(spark, [("c", 512)]))).first()
+    assert report.mean_fill >= 0.95 and report.n_bins <= 1.06 * report.tokens / 512 + 2
