@@ -38,7 +38,7 @@ FLOAT = 4.1e-6  # error of a 32-bit product of 66 terms, against the sum of thei
 class Settings:
     """list_size: vectors a list; hood_lists: lists around a centroid, of which a query searches its own nearest most_lists, and at least least_lists; ratio: distance up to which a list is searched,
     against the nearest; closure: the same for storing in up to most_copies lists; most_regions: regions that a query visits, those with most of its lists;
-    region_rows and task_queries: stored vectors and queries of a task, about; sample: vectors the centroids are fitted on, or sample_each a centroid if that is more;
+    region_rows and task_queries: stored vectors and queries of a task, about; group: queries of a home list that go to the same task, about; sample: vectors the centroids are fitted on, or sample_each a centroid if that is more;
     most_centroids: bounds what every worker holds (beyond it, lists get longer and regions hold fewer of them)."""
 
     list_size: int = 500
@@ -51,6 +51,7 @@ class Settings:
     most_regions: int = 8
     region_rows: int = 100_000
     task_queries: int = 500_000
+    group: int = 2000
     sample: int = 40_000
     sample_each: int = 8
     most_centroids: int = 65_536
@@ -118,10 +119,22 @@ def centroids_of(x: np.ndarray, k: int, rng: np.random.Generator, flat: int = 20
     return np.concatenate([kmeans(x[g], n, rng) for g, n in zip(groups, np.diff(upto, prepend=0)) if n])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many rows, but for the last."""
+    waiting: list[pa.RecordBatch] = []
+    for b in batches:
+        waiting += [b] * bool(b.num_rows)
+        if sum(w.num_rows for w in waiting) >= rows:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting = []
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+
 class Index:
     """Centroids, their graph, and the tasks of each region. Its size is that of ``Settings.most_centroids`` at most."""
 
-    def __init__(self, sample: np.ndarray, total: int, s: Settings, cores: int) -> None:
+    def __init__(self, sample: np.ndarray, total: int, s: Settings, cores: int, places: int) -> None:
         rng = np.random.default_rng(7)
         self.settings = s
         self.centroids = centroids_of(sample, min(s.lists(total), max(1, len(sample) // 4)), rng)
@@ -135,11 +148,15 @@ class Index:
         self.pivots = rng.choice(k, min(k, 5 * int(np.sqrt(k)) + 1), replace=False)
         # what the sample tells of list lengths, and of how many vectors and queries a region gets
         scale = total / len(sample)
-        length = np.bincount(self.around(sample, 1)[1][:, 0], minlength=k) * scale + 1
-        room = min(s.region_rows, max(1.0, length.sum() / max(1, round(np.sqrt(cores)))))
+        list_of = self.around(sample, 1)[1][:, 0]
+        length = np.bincount(list_of, minlength=k) * scale + 1
+        self.places = places
+        self.sample = sample[np.argsort(list_of, kind="stable")]
+        self.sample_at = np.concatenate([[0], np.cumsum(np.bincount(list_of, minlength=k))])
+        self.shares_of_home = np.ceil(length / s.group).astype(np.int64)
         self.region = np.empty(k, np.int32)
         self.regions = 0
-        self.divide(np.arange(k), length, room)
+        self.divide(np.arange(k), length, max(int(np.ceil(length.sum() / s.region_rows)), min(round(np.sqrt(cores)), k)))
         _, _, _, region = self.stored(sample)
         slices = np.ceil(np.bincount(region, minlength=self.regions) * scale * 1.1 / s.region_rows)
         region = np.concatenate([r for _, r, *_ in self.visits(sample)])
@@ -149,9 +166,9 @@ class Index:
         self.first_task = np.cumsum(self.slices * self.parts) - self.slices * self.parts
         self.tasks = int((self.slices * self.parts).sum())
 
-    def divide(self, lists: np.ndarray, length: np.ndarray, room: float) -> None:
-        """Regions by halving along the direction in which centroids differ most, until one has at most ``room`` vectors or is a single list."""
-        if len(lists) == 1 or length[lists].sum() <= room:
+    def divide(self, lists: np.ndarray, length: np.ndarray, regions: int) -> None:
+        """``regions`` of about as many vectors each, by cutting along the direction in which centroids differ most. A region is a single list at least."""
+        if len(lists) == 1 or regions == 1:
             self.region[lists] = self.regions
             self.regions += 1
             return
@@ -159,9 +176,10 @@ class Index:
         along = c @ np.linalg.eigh(c.T @ c)[1][:, -1]
         order = np.argsort(along, kind="stable")
         upto = np.cumsum(length[lists][order])
-        half = int(np.clip(np.searchsorted(upto, upto[-1] / 2) + 1, 1, len(lists) - 1))
-        self.divide(lists[order[:half]], length, room)
-        self.divide(lists[order[half:]], length, room)
+        left = regions // 2
+        cut = int(np.clip(np.searchsorted(upto, upto[-1] * left / regions) + 1, 1, len(lists) - 1))
+        self.divide(lists[order[:cut]], length, min(left, cut))
+        self.divide(lists[order[cut:]], length, min(regions - left, len(lists) - cut))
 
     def stored(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Where vectors are stored, a row per vector and region: the lists there, as bounds into a flat array, the vector and the region."""
@@ -174,8 +192,12 @@ class Index:
         uniq, first = np.unique(key[order], return_index=True)
         return np.append(first, len(order)), held[order], uniq // self.regions, uniq % self.regions
 
-    def visits(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
-        """What queries ask for, home list by home list: rows and the regions they visit, the home, and the distance up to which each row searches lists."""
+    def visits(self, x: np.ndarray, near_lists: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """What queries ask for, home list by home list: rows and the regions they visit, the home, the distance up to which each row searches lists, and a score.
+
+        That score is one that as many sampled vectors as there are places reach in lists that the row searches, so lower ones needn't
+        be looked at. (One more is counted, as the row may be in the sample; -9 if there are too few.)
+        """
         s = self.settings
         at = self.walk(x)
         order = np.argsort(at, kind="stable")
@@ -189,8 +211,15 @@ class Index:
             wanted = (far <= limit[:, None]).astype(np.float32) @ (which[:, None] == np.arange(len(regions))).astype(np.float32)
             if len(regions) > s.most_regions:
                 wanted[wanted < np.partition(wanted, len(regions) - s.most_regions, axis=1)[:, [len(regions) - s.most_regions]]] = 0
+            least = np.full(b - a, -9.0, np.float32)
+            some = np.concatenate([np.arange(self.sample_at[h], self.sample_at[h + 1]) for h in hood[:near_lists]])
+            if len(some) > self.places and len(regions) <= s.most_regions:
+                dots = x[order[a:b]] @ self.sample[some].T
+                sizes = self.sample_at[hood[:near_lists] + 1] - self.sample_at[hood[:near_lists]]
+                dots[np.repeat(far[:, :near_lists] > limit[:, None], sizes, axis=1)] = -9.0
+                least = np.partition(dots, len(some) - self.places - 1, axis=1)[:, len(some) - self.places - 1]
             row, col = np.nonzero(wanted)
-            yield order[a:b][row], regions[col], int(node), limit[row].astype(np.float32)
+            yield order[a:b][row], regions[col], int(node), limit[row].astype(np.float32), np.where(least > -2, least - 1, -9.0)[row].astype(np.float32)
 
     def walk(self, x: np.ndarray) -> np.ndarray:
         """The nearest centroid of each row: from the best pivot along the graph as long as it gets nearer."""
@@ -223,39 +252,45 @@ class Index:
         return sims, lists
 
 
-ROUTED = "task int, role int, home int, rep long, bound float, ids array<long>, v binary, lists array<int>"
+ROUTED = "task int, role int, home int, rep long, bound float, least float, ids array<long>, v binary, lists array<int>"
 
 
 def route(classes: DataFrame, index, dim: int) -> DataFrame:
-    """Vectors as what is stored (role 0, for each task of its regions' slice) and as queries (role 1, for each slice of the regions they visit)."""
+    """Vectors as what is stored (role 0, for each task of its regions' slice; a query, too, if it has a home) and as queries alone (role 1, for each slice of the regions they visit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
 
-        def sent(b: pa.RecordBatch, row: np.ndarray, task: np.ndarray, role: int, home: np.ndarray, bound: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+        def sent(b: pa.RecordBatch, row: np.ndarray, ids: pa.Array, task: np.ndarray, role: int, home: np.ndarray, bound: np.ndarray, least: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
             at = pa.array(row)
-            return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.full(len(row), role, np.int32)), pa.array(home, pa.int32()), b.column(0).take(at), pa.array(bound, pa.float32()), b.column(1).take(at), b.column(2).take(at), lists], names=["task", "role", "home", "rep", "bound", "ids", "v", "lists"])
+            return pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(np.full(len(row), role, np.int32)), pa.array(home, pa.int32()), b.column(0).take(at), pa.array(bound, pa.float32()), pa.array(least, pa.float32()), b.column(1).take(ids), b.column(2).take(at), lists], names=["task", "role", "home", "rep", "bound", "least", "ids", "v", "lists"])
 
         def copies(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Rows repeated n times each, and the number of the copy."""
             return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-        for b in batches:
+        for b in gathered(batches, 1 << 16):  # homes are handled one by one, so that few rows each would be slow
             x, _ = unpack(b.column(2), dim)
-            if not len(x):
-                continue
             deal = (np.asarray(b.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
-            first, held, row, region = ix.stored(x)
-            own, copy = copies(ix.parts[region])
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(held, pa.int32())).take(pa.array(own))
-            task = ix.first_task[region[own]] + deal[row[own]] % ix.slices[region[own]] * ix.parts[region[own]] + copy
-            yield sent(b, row[own], task, 0, np.full(len(own), -1), np.zeros(len(own)), lists)
             found = list(ix.visits(x))
-            row, region, bound = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3))
+            row, region, bound, least = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3, 4))
             home = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
             own, copy = copies(ix.slices[region])
-            task = ix.first_task[region[own]] + copy * ix.parts[region[own]] + deal[row[own]] % ix.parts[region[own]]
-            yield sent(b, row[own], task, 1, home[own], bound[own], pa.array([[]] * len(own), pa.list_(pa.int32())))
+            row, region, bound, least, home = row[own], region[own], bound[own], least[own], home[own]
+            part = (home + deal[row] % ix.shares_of_home[home] * 7) % ix.parts[region]
+            asked = row * ix.tasks + ix.first_task[region] + copy * ix.parts[region] + part
+            first, held, kept, region = ix.stored(x)
+            own, copy = copies(ix.parts[region])
+            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(held, pa.int32())).take(pa.array(own))
+            there = kept[own] * ix.tasks + ix.first_task[region[own]] + deal[kept[own]] % ix.slices[region[own]] * ix.parts[region[own]] + copy
+            # a query to a task that has the vector anyway is sent with it
+            order = np.argsort(asked, kind="stable")
+            at = np.minimum(np.searchsorted(asked[order], there), len(order) - 1)
+            both = asked[order][at] == there
+            yield sent(b, kept[own], pa.array(kept[own]), there % ix.tasks, 0, np.where(both, home[order][at], -1), np.where(both, bound[order][at], 0), np.where(both, least[order][at], -9), lists)
+            alone = ~np.isin(asked, there)
+            known = np.isin(row[alone], kept[own][both])  # the ids of a query need to come from one task only
+            yield sent(b, row[alone], pa.array(row[alone], mask=known), asked[alone] % ix.tasks, 1, home[alone], bound[alone], least[alone], pa.nulls(int(alone.sum()), pa.list_(pa.int32())))
 
     return classes.select("rep", "ids", "v").mapInArrow(run, ROUTED)
 
@@ -268,6 +303,7 @@ class Stored:
 
     def __init__(self, rows: pa.Table, ix: Index, dim: int) -> None:
         self.ix, self.dim = ix, dim
+        rows = rows.combine_chunks()
         (x, self.error), self.reps = unpack(rows["v"].combine_chunks(), dim), np.asarray(rows["rep"])
         lists, ids = rows["lists"].combine_chunks(), rows["ids"].combine_chunks()
         owner = np.repeat(np.arange(len(x)), np.asarray(lists.value_lengths()))
@@ -278,98 +314,154 @@ class Stored:
         self.flat, self.n_ids = np.asarray(ids.flatten()), np.asarray(ids.value_lengths())
         self.id_at = np.cumsum(self.n_ids) - self.n_ids
 
-    def search(self, batch: pa.RecordBatch, k: int, start: int = 4, often: int = 40) -> Iterator[pa.RecordBatch]:
-        """For each query all ids that may be among its k best of this task, best first, and how far their scores may be off.
-
-        Queries of one home list are taken together. The k-th best of the ``start``
-        nearest lists is a first bound; of further lists only what may reach the bound is
-        looked at, and the bound is raised after every ``often`` lists. A score is minus
-        half the squared distance (cosine - 1), computed around the home centroid, so
-        that its error shrinks with the distance.
-        """
-        ix, dim, bounds, member, reps = self.ix, self.dim, self.bounds, self.member, self.reps
-        every, errors = unpack(batch.column("v"), dim)
-        asked, home, limits = (np.asarray(batch.column(c)) for c in ("rep", "home", "bound"))
-        worst = max(self.error.max(initial=0), errors.max(initial=0))
+        self.lists = np.flatnonzero(np.diff(self.bounds))
+        self.centre = self.x.mean(axis=0) if len(self.x) else np.zeros(dim, np.float32)
+        self.side = sided(self.x - self.centre, False)
+        home = np.asarray(rows["home"])
+        asks = np.flatnonzero(home >= 0)
+        self.asks = asks[np.argsort(home[asks], kind="stable")]
+        self.own = x[self.asks], self.error[self.asks], rows.take(pa.array(self.asks)).combine_chunks()
+
+    def own_answers(self, k: int) -> Iterator[pa.RecordBatch]:
+        """For the queries among the stored vectors, home by home."""
+        if len(self.asks):
+            x, errors, rows = self.own
+            yield from self.by_home(x, errors, rows.to_batches()[0], k)
+
+    def answers(self, batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+        """For a batch of queries from elsewhere, in the order of their homes: list by list; those without a first bound home by home."""
+        x, errors = unpack(batch.column("v"), self.dim)
+        bounded = np.asarray(batch.column("least")) > -8
+        for rows, way in ((np.flatnonzero(bounded), self.by_list), (np.flatnonzero(~bounded), self.by_home)):
+            if len(rows):
+                yield from way(x[rows], errors[rows], batch.take(pa.array(rows)), k)
+
+    def by_list(self, x: np.ndarray, errors: np.ndarray, batch: pa.RecordBatch, k: int, often: int = 32) -> Iterator[pa.RecordBatch]:
+        """All queries against one list after the other; scores around the centre of all that is stored."""
+        mine = sided(x - self.centre, True)
+        wanted = np.sqrt(np.maximum(2 - 2 * (x @ self.ix.centroids[self.lists].T), 1e-9)) <= np.asarray(batch.column("bound"))[:, None] * np.float32(1 + 1e-5)
+        best = Best(self, np.asarray(batch.column("rep")), errors, -2.0 * mine[:, self.dim], np.asarray(batch.column("least")), k)
+        for i, h in enumerate(self.lists):
+            q = np.flatnonzero(wanted[:, i])
+            if len(q):
+                best.look(q, mine[q] @ self.side[self.bounds[h] : self.bounds[h + 1]].T, self.bounds[h])
+            if i % often == often - 1:
+                best.merge()
+        yield best.result(batch)
+
+    def by_home(self, every: np.ndarray, errors: np.ndarray, batch: pa.RecordBatch, k: int, start: int = 4, often: int = 40) -> Iterator[pa.RecordBatch]:
+        """Queries of one home list are taken together, and search its nearest lists first; scores around the home centroid, so that their error shrinks with the distance."""
+        ix, bounds = self.ix, self.bounds
+        home, limits, scores, asked = (np.asarray(batch.column(c)) for c in ("home", "bound", "least", "rep"))
         homes, starts = np.unique(home, return_index=True)  # rows come by home
         for c, a, e in zip(homes, starts, [*starts[1:], len(home)]):
             hood = ix.near[c]
             hood = hood[bounds[hood + 1] > bounds[hood]]
             if not len(hood):
                 continue
-            x, own, limit = every[a:e], errors[a:e], limits[a:e]
-            centre = ix.centroids[c]
+            x, centre = every[a:e], ix.centroids[c]
             mine = sided(x - centre, True)
-            wanted = np.sqrt(np.maximum(2 - 2 * (x @ ix.centroids[hood].T), 1e-9)) <= limit[:, None] * np.float32(1 + 1e-5)
+            wanted = np.sqrt(np.maximum(2 - 2 * (x @ ix.centroids[hood].T), 1e-9)) <= limits[a:e, None] * np.float32(1 + 1e-5)
             wanted[:, :start] = True
-            width = -2.0 * mine[:, dim]  # squared distance of a query to the centre
-
-            def doubt(score: np.ndarray, row: np.ndarray, other: np.ndarray | float, own=own, width=width) -> np.ndarray:
-                """How far a score may be from that of the full vectors."""
-                off, away = own[row] + other, np.sqrt(np.maximum(-2.0 * score, 0))
-                return off * away + off * off + FLOAT * (width[row] + (np.sqrt(width[row]) + away + off) ** 2) + TIE
-
-            def below(score: np.ndarray, row: np.ndarray, doubt=doubt) -> np.ndarray:
-                """The least score that may still beat a candidate of ``score``."""
-                least = score - doubt(score, row, worst)
-                for _ in range(3):
-                    other = doubt(least, row, worst)
-                    least = score - doubt(score, row, worst) - other
-                return least - 0.1 * other
-
-            everyone = np.arange(e - a)
-            first = np.concatenate([np.arange(bounds[h], bounds[h + 1]) for h in hood[:start]])
-            dots = mine @ sided(self.x[first] - centre, False).T
-            m = ix.settings.most_copies * (k + 1)  # a vector may stand here twice, and one is the query
-            thr = below(np.partition(dots, len(first) - m, axis=1)[:, len(first) - m], everyone) if len(first) > m else np.full(e - a, -9.0)
-            kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
-            at = np.flatnonzero(dots >= thr[:, None].astype(np.float32))
-            pile = [(at // len(first), first[at % len(first)], dots.ravel()[at])]
-            for i in range(start, max(start, len(hood)) + 1):
-                if i < len(hood):
-                    lo, hi = bounds[hood[i]], bounds[hood[i] + 1]
-                    q = np.flatnonzero(wanted[:, i])
-                    if len(q):
-                        dots = mine[q] @ sided(self.x[lo:hi] - centre, False).T
-                        at = np.flatnonzero(dots >= thr[q, None].astype(np.float32))
-                        pile.append((q[at // (hi - lo)], lo + at % (hi - lo), dots.ravel()[at]))
-                if (i % often == 0 or i == start or i >= len(hood)) and pile:
-                    row, j, score = (np.concatenate(p) for p in zip(*pile))
-                    j = member[j]
-                    other = reps[j] != asked[a:e][row]
-                    row, j, score = distinct(*(np.concatenate(z) for z in zip(kept, (row[other], j[other], score[other]))), reps)
-                    pile = []
-                    # of those that surely have a cosine of 1.000000, only the k smallest ids can be among the best
-                    top = score - doubt(score, row, self.error[j]) > -2 * TIE
-                    tops, head = np.cumsum(top), np.searchsorted(row, row)
-                    few = ~top | (tops - tops[head] + top[head] <= k)
-                    row, j, score = row[few], j[few], score[few]
-                    order = np.lexsort((-score, row))
-                    row, j, score = row[order], j[order], score[order]
-                    n = np.bincount(row, minlength=e - a)
-                    full = n >= k
-                    last = (np.cumsum(n) - n + k - 1)[full]
-                    thr[full] = np.maximum(thr[full], below(score[last].astype(np.float64), everyone[full]))
-                    few = score >= thr[row]
-                    kept = row[few], j[few], score[few]
-            row, j, score = kept
-            off = doubt(score, row, self.error[j])
-            n = self.n_ids[j]
-            ids = np.repeat(self.id_at[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            row, found, score, off = np.repeat(row, n), self.flat[ids], np.repeat(score, n), np.repeat(off, n)
-            sure, maybe = settle(row, score - off, score + off, k, e - a)
-            may = sure | maybe
-            row, found, score, off = row[may], found[may], score[may], off[may]
-            largest = np.zeros(e - a, np.float32)
-            np.maximum.at(largest, row, np.nextafter(off.astype(np.float32), np.float32(9)))
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=e - a))]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(a, e - a), batch.column("ids").slice(a, e - a), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(np.minimum(score, 0).astype(np.float32))), pa.array(largest)], names=["rep", "ids", "found", "score", "doubt"])
+            best = Best(self, asked[a:e], errors[a:e], -2.0 * mine[:, self.dim], scores[a:e], k)
+            open_ = np.flatnonzero(scores[a:e] < -8)
+            if len(open_):  # the k-th best of the nearest lists is a first bound
+                some = np.concatenate([np.arange(bounds[h], bounds[h + 1]) for h in hood[:start]])
+                m = ix.settings.most_copies * (k + 1)  # a vector may stand here twice, and one is the query
+                if len(some) > m:
+                    dots = mine[open_] @ sided(self.x[some] - centre, False).T
+                    best.thr[open_] = best.below(np.partition(dots, len(some) - m, axis=1)[:, len(some) - m], open_)
+            for i, h in enumerate(hood):
+                q = np.flatnonzero(wanted[:, i])
+                if len(q):
+                    best.look(q, mine[q] @ sided(self.x[bounds[h] : bounds[h + 1]] - centre, False).T, bounds[h])
+                if i == start or i % often == often - 1:
+                    best.merge()
+            yield best.result(batch.slice(a, e - a))
+
+
+class Best:
+    """What a group of queries has found in a task. A score is minus half the squared distance (cosine - 1).
+
+    Only what may still be among a query's k best is kept; ``thr`` starts at a score that sampled vectors reach.
+    """
+
+    def __init__(self, stored: Stored, asked: np.ndarray, own: np.ndarray, width: np.ndarray, scores: np.ndarray, k: int) -> None:
+        self.stored, self.asked, self.own, self.k = stored, asked, own, k
+        self.width = width  # squared distance of a query to the point that scores are computed around
+        self.worst = max(stored.error.max(initial=0), own.max(initial=0))
+        self.everyone = np.arange(len(asked))
+        self.thr = self.below(scores.astype(np.float64) - 3e-6, self.everyone)
+        self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        self.pile: list[tuple] = []
+
+    def doubt(self, score: np.ndarray, row: np.ndarray, other: np.ndarray | float) -> np.ndarray:
+        """How far a score may be from that of the full vectors."""
+        off, away = self.own[row] + other, np.sqrt(np.maximum(-2.0 * score, 0))
+        return off * away + off * off + FLOAT * (self.width[row] + (np.sqrt(self.width[row]) + away + off) ** 2) + TIE
+
+    def below(self, score: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The least score that may still beat a candidate of ``score``."""
+        least = score - self.doubt(score, row, self.worst)
+        for _ in range(3):
+            other = self.doubt(least, row, self.worst)
+            least = score - self.doubt(score, row, self.worst) - other
+        return least - 0.1 * other
+
+    def look(self, q: np.ndarray, dots: np.ndarray, first: int) -> None:
+        """Scores of the queries ``q`` against the stored vectors from ``first`` on."""
+        thr = self.thr[q].astype(np.float32)
+        hot = np.flatnonzero(dots.max(axis=1) >= thr)
+        if len(hot):
+            dots = dots[hot]
+            at = np.flatnonzero(dots >= thr[hot, None])
+            self.pile.append((q[hot[at // dots.shape[1]]], first + at % dots.shape[1], dots.ravel()[at]))
+
+    def merge(self) -> None:
+        if not self.pile:
+            return
+        stored, k, n_rows = self.stored, self.k, len(self.asked)
+        row, j, score = (np.concatenate(p) for p in zip(*self.pile))
+        self.pile = []
+        j = stored.member[j]
+        other = stored.reps[j] != self.asked[row]
+        row, j, score = distinct(*(np.concatenate(z) for z in zip(self.kept, (row[other], j[other], score[other]))), stored.reps)
+        # of those that surely have a cosine of 1.000000, only the k smallest ids can be among the best
+        top = score - self.doubt(score, row, stored.error[j]) > -2 * TIE
+        tops, head = np.cumsum(top), np.searchsorted(row, row)
+        few = ~top | (tops - tops[head] + top[head] <= k)
+        row, j, score = row[few], j[few], score[few]
+        order = np.lexsort((-score, row))
+        row, j, score = row[order], j[order], score[order]
+        n = np.bincount(row, minlength=n_rows)
+        full = n >= k
+        last = (np.cumsum(n) - n + k - 1)[full]
+        self.thr[full] = np.maximum(self.thr[full], self.below(score[last].astype(np.float64), self.everyone[full]))
+        few = score >= self.thr[row]
+        self.kept = row[few], j[few], score[few]
+
+    def result(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """For each query all ids that may be among its k best of this task, best first, and how far their scores may be off."""
+        self.merge()
+        stored, n_rows = self.stored, len(self.asked)
+        row, j, score = self.kept
+        off = self.doubt(score, row, stored.error[j])
+        n = stored.n_ids[j]
+        ids = np.repeat(stored.id_at[j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        row, found, score, off = np.repeat(row, n), stored.flat[ids], np.repeat(score, n), np.repeat(off, n)
+        sure, maybe = settle(row, score - off, score + off, self.k, n_rows)
+        may = sure | maybe
+        row, found, score, off = row[may], found[may], score[may], off[may]
+        largest = np.zeros(n_rows, np.float32)
+        np.maximum.at(largest, row, np.nextafter(off.astype(np.float32), np.float32(9)))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n_rows))]), pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), pa.ListArray.from_arrays(ends, pa.array(found)), pa.ListArray.from_arrays(ends, pa.array(np.minimum(score, 0).astype(np.float32))), pa.array(largest)], names=["rep", "ids", "found", "score", "doubt"])
 
 
 def settled(partial: DataFrame, k: int) -> DataFrame:
     """(rep, ids, found, score, open, places): from what the tasks of a query found, the ids that are sure, best first, and for the remaining places all that may have them."""
     both = F.collect_list(F.struct("found", "score"))
-    joined = partial.groupBy("rep").agg(F.first("ids").alias("ids"), both.alias("b"), F.max("doubt").alias("doubt"))
+    joined = partial.groupBy("rep").agg(F.first("ids", ignorenulls=True).alias("ids"), both.alias("b"), F.max("doubt").alias("doubt"))
     joined = joined.select("rep", "ids", F.flatten("b.found").alias("found"), F.flatten("b.score").alias("score"), "doubt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,10 +574,16 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     """
     spark = df.sparkSession
     stages = Stages(spark, "neighbours")
-    vectors = packed(spread(df.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<float>"))), dim)
-    first = vectors.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("id"))).where(F.col("r") <= k + 1)  # cut before the shuffle, too
-    classes = stages.keep(first.groupBy("h").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min("v").alias("v")))
-    total = classes.count()
+    vectors = stages.keep(packed(spread(df.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<float>"))), dim))
+    hashes = vectors.select("id", "h")
+    repeated = hashes.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h", "rep")
+    same = stages.keep(hashes.join(repeated, "h").select("id", "rep"))  # equal vectors; only their ids move
+    few = same.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)  # cut before the shuffle, too
+    lists = stages.keep(few.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    copies = same.where("id <> rep")
+    single = vectors.join(copies.select("id"), "id", "left_anti").withColumnRenamed("id", "rep")
+    classes = single.join(lists, "rep", "left").select("rep", F.coalesce("ids", F.array("rep")).alias("ids"), "v")
+    total = vectors.count() - copies.count()
     if not total:
         return spark.createDataFrame([], "id long, neighbour long, rank int, cosine double")
     most = max(settings.sample, settings.sample_each * settings.lists(total))
@@ -494,7 +592,7 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     if not drawn:
         drawn = classes.orderBy("rep").select("v").limit(64).collect()
     sample, _ = unpack(pa.array([bytes(r.v) for r in drawn], pa.binary()), dim)
-    ix = Index(sample, total, settings, spark.sparkContext.defaultParallelism)
+    ix = Index(sample, total, settings, max(2, spark.sparkContext.defaultParallelism // 2), k)
     index = spark.sparkContext.broadcast(ix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,8 +602,12 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
             if n:
                 rows.append(b.slice(0, n))
             if n < b.num_rows and rows:
-                stored = stored or Stored(pa.Table.from_batches(rows), index.value, dim)
-                yield from stored.search(b.slice(n), k)
+                if stored is None:
+                    stored = Stored(pa.Table.from_batches(rows), index.value, dim)
+                    yield from stored.own_answers(k)
+                yield from stored.answers(b.slice(n), k)
+        if rows and stored is None:
+            yield from Stored(pa.Table.from_batches(rows), index.value, dim).own_answers(k)
 
     routed = route(spread(classes), index, dim).repartitionById(ix.tasks, "task").sortWithinPartitions("role", "home")
     results = stages.keep(settled(routed.mapInArrow(run, PARTIAL), k))
@@ -513,7 +615,6 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     found = F.concat("found", F.coalesce("late", F.array().cast("array<long>")))
     score = F.concat("score", F.coalesce("late_score", F.array().cast("array<float>")))
     results = results.join(late, "rep", "left").select("rep", "ids", found.alias("found"), score.alias("score"))
-    copies = vectors.select("id", "h").join(classes.where(F.size("ids") > 1).select("h", "rep"), "h").where("id <> rep").select("id", "rep")
     members = classes.select(F.col("rep").alias("id"), "rep").unionByName(copies)
     return expanded(members.join(results, "rep").select("id", "ids", "found", "score"), k)
 

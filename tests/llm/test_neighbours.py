@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.neighbours import Settings, close_pairs, nearest
+from tarnbeck.llm.neighbours import Index, Settings, centroids_of, close_pairs, kmeans, nearest, packed, route
 
 SCHEMA = "chunk_id long, vector array<float>"
 
@@ -77,3 +77,31 @@ def test_order_among_near_copies(spark):
         want = exact(ids, x.astype(np.float64), 10)
         missed = sum(len(set(want[i]) - got[i]) for i in want)
         assert missed == 0, (near, missed)
+
+
+def test_tasks_grow_with_the_data_and_stay_bounded(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 64))
+    x = (centres[rng.integers(0, 30, 12_000)] + rng.normal(size=(12_000, 64))).astype(np.float32)
+    x[:4000] = centres[0] + 0.3 * rng.normal(size=(4000, 64))  # a third lies together
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    settings = Settings(list_size=50, region_rows=800, task_queries=2000, most_lists=20, hood_lists=60)
+    tasks = []
+    for n in (3000, 12_000):
+        part = x[rng.permutation(12_000)[:n]]
+        ix = Index(part[::2], n, settings, 4, 10)
+        classes = packed(frame(spark, enumerate(part)).select("chunk_id", "vector"), 64).selectExpr("id as rep", "array(id) as ids", "v")
+        rows = route(classes, spark.sparkContext.broadcast(ix), 64).groupBy("task").agg(F.count_if(F.col("role") == 0).alias("stored"), F.count_if(F.col("home") >= 0).alias("queries")).collect()
+        tasks.append(len(rows))
+        assert max(r.stored for r in rows) <= 1.6 * settings.region_rows and max(r.queries for r in rows) <= 2 * settings.task_queries
+        asked = route(classes, spark.sparkContext.broadcast(ix), 64).where("home >= 0").select("rep").distinct().count()
+        assert asked == n
+    assert tasks[1] >= 3 * tasks[0]
+
+
+def test_two_levels_of_centroids_are_about_as_near():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 64))[rng.integers(0, 40, 8000)] + 0.7 * rng.normal(size=(8000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    near = [(x @ c.T).max(axis=1).mean() for c in (kmeans(x, 300, rng), centroids_of(x, 300, rng, flat=50))]
+    assert len(centroids_of(x, 300, rng, flat=50)) == 300 and near[1] >= 0.97 * near[0]
