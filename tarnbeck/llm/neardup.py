@@ -34,7 +34,7 @@ RATIO = 16  # sizes of a band: from a power of this to the next
 PIECES = 65_536  # pieces of a band's sketch for each shingle of its largest set: so many that two of a set seldom share one
 MOST_AMONG = 500_000  # shingles of spoiled sets that are sent to tasks
 SHARED = 3  # pieces that two sets have to share among their rarest
-SKETCH = "row_id long, class binary, n int, crowd int, s0 long, s1 long, spoiled boolean, pieces array<struct<band: int, piece: long>>"
+SKETCH = "row_id long, class binary, n int, crowd int, s0 long, s1 long, spoiled boolean, pieces array<struct<band: int, early: boolean, piece: long>>"
 
 
 def shingles(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +107,14 @@ class Sketches:
     def values(self) -> np.ndarray:
         return np.concatenate([values for *_, values in self.parts])
 
-    def joined(self, counts: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, bands and values of the pieces to join on, by row, how crowded each set's pieces are, and which sets are spoiled.
+    def joined(self, counts: Frequencies) -> tuple[np.ndarray, ...]:
+        """Rows, bands and values of the pieces to join on, by row, whether they count for the smaller set of a pair, how crowded each set's pieces are, and which sets are spoiled.
 
         With |A - B| shingles that a partner B lacks, and at most ``allowed`` of B's own pieces spoiled, all
         other pieces of A agree with B's. So the first |A - B| + allowed + SHARED of A's pieces, in
         an order common to all sets, hold the first SHARED ones of those that agree, and B's hold
-        them likewise. In its own band A may be the larger set, in the next it is the smaller.
+        them likewise. In its own band A may be the larger set, in the next it is the smaller. The smaller set of
+        a pair (or both, if they are equal) lacks no more than a part (1 - share) / (1 + share), so fewer of its pieces count.
         """
         spoiled, crowd = np.zeros(len(self.n), bool), np.zeros(len(self.n), np.int64)
         kept = []
@@ -128,10 +129,11 @@ class Sketches:
             place = np.arange(len(rows)) - np.searchsorted(rows, rows)
             most = np.floor(lacking * self.n + 1e-9) + allowed(np.ceil(self.n / self.share), band, self.spare, self.per) + SHARED
             few = (place < most[rows]) & (seen > 1)  # a piece counted once has no partner
-            kept.append((rows[few], band[rows[few]], values[few]))
-        rows, band, values = (np.concatenate(x) for x in zip(*kept))
+            least = np.floor((1 - self.share) / (1 + self.share) * self.n + 1e-9) - np.floor(lacking * self.n + 1e-9)
+            kept.append((rows[few], band[rows[few]], values[few], (place < (most + least)[rows])[few]))
+        rows, band, values, early = (np.concatenate(x) for x in zip(*kept))
         order = np.argsort(rows, kind="stable")
-        return rows[order], band[order], values[order], crowd, spoiled
+        return rows[order], band[order], values[order], early[order], crowd, spoiled
 
 
 def sketched(df: DataFrame, size: int, share: float, spare: float, per: int, frequencies: Frequencies) -> DataFrame:
@@ -146,9 +148,9 @@ def sketched(df: DataFrame, size: int, share: float, spare: float, per: int, fre
             ends = np.cumsum(s.n)
             sets = [hashlib.md5(s.hashes[ends[i] - s.n[i] : ends[i]].tobytes(), usedforsecurity=False).digest() for i in has]
             parities = bits(s.rows, s.hashes, len(s.n))
-            rows, band, values, crowd, spoiled = s.joined(counts)
+            rows, band, values, early, crowd, spoiled = s.joined(counts)
             m = np.bincount(rows, minlength=len(s.n))[has]
-            items = pa.StructArray.from_arrays([pa.array(band, pa.int32()), pa.array(values.view(np.int64))], names=["band", "piece"])
+            items = pa.StructArray.from_arrays([pa.array(band, pa.int32()), pa.array(early), pa.array(values.view(np.int64))], names=["band", "early", "piece"])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m)]), pa.int32()), items)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(has)), pa.array(sets, pa.binary()), pa.array(s.n[has], pa.int32()), pa.array(crowd[has], pa.int32()), *(pa.array(parities[has, i]) for i in range(2)), pa.array(spoiled[has]), lists], names=["row_id", "class", "n", "crowd", "s0", "s1", "spoiled", "pieces"])
 
@@ -240,12 +242,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, sh
     fits = (F.least("a.n", "b.n") >= share * larger - 1e-9) & (hamming <= (1 - share) / (1 + share) * (F.col("a.n") + F.col("b.n")) + 1e-9)
     sure = F.ceil(share * larger - 1e-9) - F.col("a.crowd") - F.col("b.crowd")  # pieces that agree at least
     need = F.greatest(F.lit(1), F.least(F.lit(SHARED), sure)).cast("int")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.row_id") < F.col("b.row_id")) & fits).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"), F.col("a.band").alias("band"), need.alias("need"))
-    found = met.groupBy("a", "b", "band", "need").agg(F.count("*").alias("c")).where("c >= need").select("a", "b")
+    early = (F.col("a.early") | (F.col("a.n") > F.col("b.n"))) & (F.col("b.early") | (F.col("b.n") > F.col("a.n")))
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.row_id") < F.col("b.row_id")) & early & fits).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"), need.alias("need"))
+    found = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
     again = spoiled_pairs(texts, reps, size, share, stages)
-    if again is not None:
-        found = found.union(again)
-    found = stages.keep(found.distinct())
+    found = stages.keep(found if again is None else found.union(again).distinct())
     stages.drop(rows)
     involved = stages.keep(found.select(F.explode(F.array("a", "b")).alias("row_id")).distinct())  # written, so that Spark knows its size
     needed = texts.join(involved, "row_id", "left_semi")

@@ -44,7 +44,7 @@ def table(seed=3, n=250):
 def test_against_brute_force(spark, size, share, spare, per):
     """With ``spare`` 0 every set with two shingles in a piece goes the exact way."""
     rows = table()
-    assert spare or any(s.joined(Frequencies(np.zeros(2, np.uint8)))[4].sum() > 20 for s in [Sketches([t for _, t in rows], size, share, spare, per)])
+    assert spare or any(s.joined(Frequencies(np.zeros(2, np.uint8)))[5].sum() > 20 for s in [Sketches([t for _, t in rows], size, share, spare, per)])
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"row_id": F.lit(1), "n": F.lit(2), "class": F.lit("c"), "a": F.lit(0), "blocks": F.lit(None)})
     near = near_duplicates(df, "chunk_id", "text", size, share, spare, per)
     s = sets(rows, size)
@@ -62,7 +62,7 @@ def test_against_brute_force(spark, size, share, spare, per):
 def test_few_sets_are_spoiled():
     rng = random.Random(8)
     texts = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.choice([4, 20, 60, 200, 900]))) for _ in range(3000)]
-    assert Sketches(texts, 3, 0.5, 1.0).joined(Frequencies(np.zeros(2, np.uint8)))[4].sum() <= 2
+    assert Sketches(texts, 3, 0.5, 1.0).joined(Frequencies(np.zeros(2, np.uint8)))[5].sum() <= 2
 
 
 def test_empty(spark):
