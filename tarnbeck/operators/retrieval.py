@@ -223,6 +223,11 @@ def citations(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "ref", "path", "name", "score", F.substring("text", 1, 240).alias("preview"))
 
 
+def percent(score: Column) -> Column:
+    """A score as whole percent, halves to the even number: a format string alone would round them up."""
+    return F.format_string("%.0f%%", F.rint(100 * score))
+
+
 def block() -> Column:
     """A hit as a numbered block of a model's context."""
     return F.concat(F.lit("["), F.col("ref"), F.lit("] "), F.col("path"), F.lit("\n"), F.coalesce("text", F.lit("")))

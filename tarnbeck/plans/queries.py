@@ -363,7 +363,7 @@ def hits_for_client(t):
 @query
 def first_citations(t):
     """What is shown of the citations when there is no model: the first four."""
-    return retrieval.citations(hits(t)).where("ref <= 4").select("query_id", "ref", "path", F.format_string("%.0f%%", 100 * F.col("score")).alias("shown"))
+    return retrieval.citations(hits(t)).where("ref <= 4").select("query_id", "ref", "path", retrieval.percent(F.col("score")).alias("shown"))
 
 
 @query

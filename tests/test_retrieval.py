@@ -65,3 +65,8 @@ def test_search_of_odd_queries(spark, tmp_path):
     assert retrieval.search(asked.where("false"), index).count() == 0
     empty = SearchIndex.build(chunks(spark).where("false"), str(tmp_path / "none"))
     assert retrieval.search(asked, empty).count() == 0
+
+
+def test_percents_round_halves_to_even(spark):
+    shown = spark.range(10_001).select((F.col("id") / 10_000).alias("s")).select("s", retrieval.percent(F.col("s")).alias("p")).collect()
+    assert [r.p for r in shown] == [f"{100 * r.s:.0f}%" for r in shown]
