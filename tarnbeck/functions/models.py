@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +24,14 @@ def query_input(text: Column, model: str) -> Column:
     return F.concat(F.lit(QUERY_PREFIX), text) if "bge" in model.lower() else text
 
 
-def hashed_vector(words: list[str], dim: int) -> np.ndarray:
+def hashed_vectors(lists: pa.ListArray, dim: int) -> pa.ListArray:
     """Words hashed to signed slots: eight hexadecimal digits of a word's MD5 give the slot, the next one the sign (odd is plus)."""
-    v = np.zeros(dim, np.float32)
-    for w in words:
-        slot, sign = _place(w, dim)
-        v[slot] += sign
-    return v
+    lengths = np.asarray(lists.value_lengths().fill_null(0))
+    words = lists.flatten().dictionary_encode()
+    places = np.array([_place(w, dim) for w in words.dictionary.to_pylist()], np.int64).reshape(-1, 2)[np.asarray(words.indices)]
+    at = np.repeat(np.arange(len(lists)), lengths) * dim + places[:, 0]
+    values = np.bincount(at, places[:, 1], len(lists) * dim).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dim, pa.int32()), pa.array(values))
 
 
 @lru_cache(maxsize=100_000)
@@ -45,13 +47,22 @@ def embedder(load: Callable[[], Callable[[list[str]], list]] | None = None, dim:
     a text are hashed: such vectors are similar if texts share words, and all zero without words.
     """
 
+    if load is None:
+
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for lists in batches:
+                yield hashed_vectors(lists, dim)
+
+        return lambda text: hashed(terms(F.coalesce(text, F.lit(""))))
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = load() if load else lambda lists: [hashed_vector(words, dim) for words in lists]
+        encode = load()
         for values in batches:
-            yield pd.Series(list(encode([[] if v is None else v for v in values] if load is None else values.fillna("").tolist())))
+            yield pd.Series(list(encode(values.fillna("").tolist())))
 
-    return embed if load else lambda text: embed(terms(F.coalesce(text, F.lit(""))))
+    return embed
 
 
 def reranker(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:

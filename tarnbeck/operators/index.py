@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as tx
 from tarnbeck.functions.vector import best_rows, usable
-from tarnbeck.lineage import spread
+from tarnbeck.lineage import Stages
 
 FIELDS = ("text", "name")
 ROWS = "chunk_id long, path string, chunk_index int, name string, text string, vector array<float>"
 POSTINGS = "field string, term string, shard int, df long, ids array<long>, tf array<int>, dl array<int>"
+BLOCKS = "field string, term string, shard int, ids array<long>, tf array<int>, dl array<int>"
 TOTALS = "field string, n long, avgdl double"
 VECTORS = "cell int, part int, chunk_id long, vector array<float>"
 CENTROIDS = "cell int, centroid array<double>"
@@ -30,6 +32,37 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], terms_a_batch: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Postings (``BLOCKS``) of one shard, all of whose chunks (shard, chunk_id, a list of words a field) come in one task."""
+    codes: dict[str, dict[str, int]] = {f: {} for f in FIELDS}
+    found: dict[str, list[tuple]] = {f: [] for f in FIELDS}
+    at = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at, ids = b.column(0)[0].as_py(), np.asarray(b.column(1))
+        for f, lists in zip(FIELDS, b.columns[2:]):
+            dl = np.asarray(lists.value_lengths())
+            words = lists.flatten().dictionary_encode()
+            known = codes[f]
+            code = np.array([known.setdefault(w, len(known)) for w in words.dictionary.to_pylist()], np.int64)[np.asarray(words.indices)]
+            key, tf = np.unique(np.repeat(np.arange(len(ids)), dl) << 32 | code, return_counts=True)
+            row = key >> 32
+            found[f].append((key & 0xFFFFFFFF, ids[row], tf.astype(np.int32), dl[row].astype(np.int32)))
+    for f in FIELDS:
+        if codes[f]:
+            code, ids, tf, dl = (np.concatenate(z) for z in zip(*found[f]))
+            order = np.lexsort((ids, code))
+            ids, tf, dl = ids[order], tf[order], dl[order]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(codes[f])))])
+            names = list(codes[f])  # in the order of their codes
+            for a in range(0, len(names), terms_a_batch):
+                some = ends[a : a + terms_a_batch + 1]
+                lists = [pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(z[some[0] : some[-1]])) for z in (ids, tf, dl)]
+                n = len(some) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([f] * n), pa.array(names[a : a + n]), pa.array(np.full(n, at, np.int32)), *lists], names=["field", "term", "shard", "ids", "tf", "dl"])
+
+
 class SearchIndex:
     """Tables in ``folder``. ``build`` writes them whole; readers of an older folder aren't disturbed.
 
@@ -69,16 +102,16 @@ class SearchIndex:
         stored = index.rows()
         n = stored.count()
         shards = max(1, min(cores, -(-n // 256)), -(-n // shard_rows))
-        words = stored.select("chunk_id", F.explode(F.create_map(*(x for f in FIELDS for x in (F.lit(f), F.coalesce(f, F.lit("")))))).alias("field", "value"))
-        words = spread(words)
-        words = words.select("field", "chunk_id", tx.terms(F.col("value")).alias("w")).withColumn("dl", F.size("w"))
-        words.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{index.folder}/totals")
-        counts = words.select("field", "chunk_id", "dl", F.explode("w").alias("term")).groupBy("field", "term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
         shard = F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")
-        blocks = counts.groupBy("field", "term", shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"))  # a shard bounds it
-        df = blocks.groupBy("field", "term").agg(F.sum(F.size("p")).alias("df"))
-        blocks = blocks.join(df, ["field", "term"]).select("field", "term", "shard", "df", F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
-        blocks.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "shard").write.mode("overwrite").parquet(f"{index.folder}/postings")
+        dealt = stored.select(shard.alias("shard"), "chunk_id", *FIELDS).repartitionById(shards, "shard")
+        stages = Stages(index.spark, "postings")
+        blocks = stages.keep(dealt.select("shard", "chunk_id", *(tx.terms(F.coalesce(f, F.lit(""))).alias(f) for f in FIELDS)).mapInArrow(blocks_of, BLOCKS))
+        words = {r.field: r.n for r in blocks.groupBy("field").agg(F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()}
+        totals = [(f, n, words.get(f, 0) / n) for f in FIELDS if n]
+        index.spark.createDataFrame(totals, TOTALS).coalesce(1).write.mode("overwrite").parquet(f"{index.folder}/totals")
+        df = blocks.groupBy("field", "term").agg(F.sum(F.size("ids")).alias("df"))
+        blocks.join(df, ["field", "term"]).select("field", "term", "shard", "df", "ids", "tf", "dl").repartitionByRange("field", "term").sortWithinPartitions("field", "term", "shard").write.mode("overwrite").parquet(f"{index.folder}/postings")
+        stages.drop(blocks)
         index.write_vectors(stored.where(usable(F.col("vector"), dim)).select("chunk_id", "vector"), n >= least_cells, part_rows, sample)
         return index
 

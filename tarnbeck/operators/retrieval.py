@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tarnbeck.functions import text as tx
 from tarnbeck.functions.vector import cosine, first_of, sigmoid, top_cosines, usable
-from tarnbeck.lineage import in_blocks
+from tarnbeck.lineage import in_blocks, spread
 
 from .index import SearchIndex
 
@@ -82,23 +82,26 @@ def bm25_of(asked: list[Row], index: SearchIndex, totals: dict[str, tuple[int, f
         """Best chunks of one shard: {field: {term: (df, chunk ids, tf, dl)}}."""
         _, ids, wanted, totals = shared.value
         chunk = np.unique(np.concatenate([p[1] for terms in shard.values() for p in terms.values()]))
-        weights = {}
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for field, terms in shard.items():
             n, avgdl = totals[field]
+            weights = {}
             for t, (df, at, tf, dl) in terms.items():
                 idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-                weights[field, t] = np.searchsorted(chunk, at), idf * (tf * (limits.k1 + 1) / (tf + limits.k1 * (1 - limits.b + limits.b * dl / avgdl)))
-        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        for q, terms in enumerate(wanted):
-            best = np.zeros(len(chunk))
-            for field in shard:
-                found = [weights[field, t] for t in terms.tolist() if (field, t) in weights]
+                w = idf * (tf * (limits.k1 + 1) / (tf + limits.k1 * (1 - limits.b + limits.b * dl / avgdl)))
+                weights[t] = np.searchsorted(chunk, at), w, w.max()
+            for q, asked in enumerate(wanted):
+                found = [weights[t] for t in asked.tolist() if t in weights]
                 if found:
-                    best = np.maximum(best, np.round(np.bincount(np.concatenate([at for at, _ in found]), np.concatenate([w for _, w in found]), len(chunk)), 6))
-            least = max(np.partition(best, len(best) - k)[len(best) - k], 1e-9) if len(best) > k else 1e-9
-            top = np.flatnonzero(best >= least)
-            kept.append(first_of(np.full(len(top), q), chunk[top], best[top], k))
-        return tuple(np.concatenate(x) for x in zip(*kept))
+                    at, s = best_sums(found, k, len(chunk))
+                    kept.append((np.full(len(at), q), at, s))
+        q, at, s = (np.concatenate(x) for x in zip(*kept))
+        # a chunk among a query's k best is among the k best of the field that scores it higher
+        order = np.lexsort((-s, at, q))
+        q, at, s = q[order], at[order], s[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (at[1:] != at[:-1])
+        return first_of(q[new], chunk[at[new]], s[new], k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, _, _ = shared.value
@@ -122,6 +125,40 @@ def bm25_of(asked: list[Row], index: SearchIndex, totals: dict[str, tuple[int, f
     return parts.mapInArrow(run, "query_id long, chunk_id long, bm25 double"), shared
 
 
+def best_sums(found: list[tuple[np.ndarray, np.ndarray, float]], k: int, n: int, few: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sums (to six digits) of the k of ``n`` places with the greatest sums over (sorted places, weights, greatest weight), ties by place.
+
+    Places that have none of the weightiest terms are not looked at once the other terms can't lift them to the k-th sum.
+    """
+    def top(at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(at) > k:
+            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+            at, s = at[keep], s[keep]
+        order = np.lexsort((at, -s))[:k]
+        return at[order], s[order]
+
+    sizes = [len(at) for at, _, _ in found]
+    if sum(sizes) > few:
+        order = sorted(range(len(found)), key=lambda i: -found[i][2])
+        upto = np.cumsum([sizes[i] for i in order])
+        for e in range(1, len(order)):
+            if upto[e - 1] < k:
+                continue
+            if 8 * upto[e - 1] > n:
+                break
+            at = np.unique(np.concatenate([found[i][0] for i in order[:e]])) if e > 1 else found[order[0]][0]
+            s = np.zeros(len(at))
+            for there, w, _ in found:
+                near = np.minimum(np.searchsorted(there, at), len(there) - 1)
+                s += np.where(there[near] == at, w[near], 0)
+            s = np.round(s, 6)
+            if len(at) >= k and sum(found[i][2] for i in order[e:]) + 2e-6 < np.partition(s, len(s) - k)[len(s) - k]:
+                return top(at, s)
+    s = np.bincount(np.concatenate([at for at, _, _ in found]), np.concatenate([w for _, w, _ in found]), n)
+    at = np.flatnonzero(s)
+    return top(at, np.round(s[at], 6))
+
+
 def ranked(df: DataFrame, score: Column, k: int, name: str, ties: str = "chunk_id") -> DataFrame:
     """The k rows of greatest score per query with their rank from 1, ties by id."""
     order = Window.partitionBy("query_id").orderBy(score.desc(), ties)
@@ -134,7 +171,7 @@ def vector_list(queries: DataFrame, index: SearchIndex, limits: Limits = LIMITS,
     if probes:
         hits = index.probed(q, limits.per_list, probes)
     else:
-        hits = top_cosines(q, index.vectors().select(F.col("chunk_id").alias("row_id"), "vector"), limits.per_list, index.dim).withColumnRenamed("row_id", "chunk_id")
+        hits = top_cosines(q, spread(index.vectors().select(F.col("chunk_id").alias("row_id"), "vector")), limits.per_list, index.dim).withColumnRenamed("row_id", "chunk_id")
     return ranked(hits, F.col("score"), limits.per_list, "vec_rank")
 
 
@@ -155,12 +192,17 @@ def fuse(vectors: DataFrame, texts: DataFrame, limits: Limits = LIMITS) -> DataF
 def with_scores(fused: DataFrame, queries: DataFrame, index: SearchIndex) -> DataFrame:
     """Fills the cosine of chunks that only the text list found; 0 where a vector is unusable."""
     ok = usable(F.col("qv"), index.dim) & usable(F.col("v"), index.dim)
-    rows = index.rows().select("chunk_id", "path", "chunk_index", "name", "text", F.col("vector").alias("v"))
-    joined = rows.join(fused, "chunk_id").join(queries.select("query_id", "query", F.col("vector").alias("qv")), "query_id")
+    joined = index.rows().select("chunk_id", F.col("vector").alias("v")).join(fused, "chunk_id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
     missing = F.when(ok, F.round(F.greatest(cosine(F.col("qv"), F.col("v")), F.lit(0.0)) + 1e-12, 4)).otherwise(0.0)
     return joined.withColumn("score", F.coalesce("score", missing)).drop("v", "qv")
 
 
+def with_rows(hits: DataFrame, queries: DataFrame, index: SearchIndex) -> DataFrame:
+    """Hits with their query and the rows of their chunks; asked for late, so that texts aren't shuffled for hits that drop out."""
+    rows = index.rows().select("chunk_id", "path", "chunk_index", "name", "text")
+    return rows.join(hits, "chunk_id").join(queries.select("query_id", "query"), "query_id")
+
+
 def confident(fused: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Hits with enough cosine or among the first of the text list."""
     return fused.where((F.col("score") >= limits.least_cosine) | (F.col("fts_rank") <= limits.trusted_ranks))
@@ -203,7 +245,7 @@ def search(queries: DataFrame, index: SearchIndex, k: int | None = None, rerank:
     if k is not None and not 1 <= k <= MOST_HITS:
         raise ValueError(f"k must be from 1 to {MOST_HITS}")
     fused = with_scores(fuse(vector_list(queries, index, limits, probes), text_list(queries, index, limits), limits), queries, index)
-    pool = pooled(confident(fused, limits), limits)
+    pool = with_rows(pooled(confident(fused, limits), limits), queries, index)
     out = capped(reranked(pool, overlap_score(F.col("query"), F.col("text")) if rerank else None, limits), k, limits)
     return out.select("query_id", "ref", "chunk_id", "path", tx.shown_name(F.col("name"), F.col("path")).alias("name"), "chunk_index", "text", "score", "rrf", "fts_rank", "rerank")
 

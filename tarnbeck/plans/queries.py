@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
 
@@ -74,7 +75,7 @@ def index(t: Tables) -> SearchIndex:
     if found is None or not exists(t.spark, f"{found.folder}/vectors"):
         rows = retrieval.chunk_rows(t.chunks)
         rows = rows.repartition(max(t.chunks.rdd.getNumPartitions(), t.spark.sparkContext.defaultParallelism)).withColumn("vector", EMBED(F.col("text")))
-        found = _INDEXES[key] = SearchIndex.build(rows, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}", DIM)
+        found = _INDEXES[key] = SearchIndex.build(rows, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}", DIM, least_cells=sys.maxsize)  # all vectors are searched, so that cells aren't needed
     return found
 
 
@@ -324,6 +325,10 @@ def fused(t):
     return retrieval.with_scores(retrieval.fuse(retrieval.vector_list(q, ix), retrieval.text_list(q, ix)), q, ix)
 
 
+def pool(t):
+    return retrieval.with_rows(retrieval.pooled(retrieval.confident(fused(t))), asked(t), index(t))
+
+
 @query
 def rrf_fusion(t):
     return fused(t).select("query_id", "chunk_id", "rrf", "score", "fts_rank")
@@ -336,14 +341,12 @@ def confidence_floor(t):
 
 @query
 def rerank_default(t):
-    pool = retrieval.pooled(retrieval.confident(fused(t)))
-    return retrieval.reranked(pool, retrieval.overlap_score(F.col("query"), F.col("text"))).select("query_id", "chunk_id", "rerank", "place")
+    return retrieval.reranked(pool(t), retrieval.overlap_score(F.col("query"), F.col("text"))).select("query_id", "chunk_id", "rerank", "place")
 
 
 @query
 def per_file_cap(t):
-    pool = retrieval.pooled(retrieval.confident(fused(t)))
-    return retrieval.capped(retrieval.reranked(pool, None)).select("query_id", "ref", "chunk_id", "path")
+    return retrieval.capped(retrieval.reranked(pool(t), None)).select("query_id", "ref", "chunk_id", "path")
 
 
 def hits(t, k=None):

@@ -2,9 +2,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import models
-from tarnbeck.functions.vector import top_cosines
+from tarnbeck.functions.vector import Best, best_rows, top_cosines
 from tarnbeck.operators import retrieval
 from tarnbeck.operators.index import SearchIndex, refreshed
+from tarnbeck.operators.retrieval import best_sums
 
 
 def chunks(spark, n=60):
@@ -70,3 +71,42 @@ def test_search_of_odd_queries(spark, tmp_path):
 def test_percents_round_halves_to_even(spark):
     shown = spark.range(10_001).select((F.col("id") / 10_000).alias("s")).select("s", retrieval.percent(F.col("s")).alias("p")).collect()
     assert [r.p for r in shown] == [f"{100 * r.s:.0f}%" for r in shown]
+
+
+def test_skipped_places_change_no_sum():
+    rng = np.random.default_rng(8)
+    for k in (1, 5, 24):
+        for _ in range(60):
+            found = []
+            for share in rng.choice([0.002, 0.01, 0.1, 0.9], rng.integers(1, 7)):
+                at = np.flatnonzero(rng.random(4000) < share)
+                w = np.round(rng.random(len(at)) * -np.log(share), int(rng.integers(1, 7))) + 1e-9  # rough weights tie
+                found += [(at, w, w.max())] * bool(len(at))
+            if found:
+                sums = np.zeros(4000)
+                for at, w, _ in found:
+                    sums[at] += w
+                hit = np.unique(np.concatenate([at for at, _, _ in found]))
+                want = sorted(zip(-np.round(sums[hit], 6), hit))[:k]
+                at, s = best_sums(found, k, 4000, few=0)
+                assert [(-b, a) for a, b in zip(at, s)] == [(b, a) for b, a in want]
+
+
+def test_screened_rows_change_no_cosine():
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(np.concatenate([rng.normal(size=(1500, 8)), rng.integers(-1, 2, (3000, 8)) + [9, 0, 0, 0, 0, 0, 0, 0]]).astype(np.float64))
+    q = unit(np.concatenate([rng.normal(size=(20, 8)), x[1500:1520], -x[1500:1510]]))
+    ids = rng.permutation(len(x))
+    best = Best(q, 7)
+    for a in range(0, len(x), 700):
+        best.look(x[a : a + 700], x[a : a + 700].astype(np.float32), ids[a : a + 700], first=50, step=200)
+    assert all((a == b).all() for a, b in zip(best.merge(), best_rows(q, x, ids, 7)))
+
+
+def test_texts_are_joined_to_the_pool_only(spark, tmp_path):
+    index = SearchIndex.build(chunks(spark), str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "word3 common")], "query_id long, query string").withColumn("vector", models.embedder()(F.col("query")))
+    fused = retrieval.with_scores(retrieval.fuse(retrieval.vector_list(asked, index), retrieval.text_list(asked, index)), asked, index)
+    assert "text" not in fused.columns and fused.where("score is null").count() == 0
+    assert fused.count() == fused.select("chunk_id").distinct().count() >= 24
