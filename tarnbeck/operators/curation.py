@@ -169,22 +169,24 @@ def contained(train: DataFrame, held_out: DataFrame, longer: int = 40) -> DataFr
     a = train.where("text is not null").select("row_id", tx.normal_text(F.col("text")).alias("t")).where("t <> ''")
     b = held_out.where("text is not null").select("item_id", tx.normal_text(F.col("text")).alias("b")).where(F.length("b") > longer)
     b = Stages(train.sparkSession, "held_out").keep(b)
-    has = a.select("row_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
+    words = F.explode(F.array_distinct(F.split("t", " "))).alias("key")
+    has = a.select("row_id", words)  # texts are joined to candidates only: a row a word would carry each of them many times
     inner = b.select("item_id", F.explode(F.array_distinct(inner_words(F.col("b")))).alias("key"))
-    seen = has.join(inner.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    seen = has.groupBy("key").agg(F.count("*").alias("n")).join(inner.select("key").distinct(), "key", "left_semi")
     rarest = inner.join(seen, "key").groupBy("item_id").agg(F.count("*").alias("known"), F.min_by("key", F.struct("n", "key")).alias("key"))
     needed = inner.groupBy("item_id").agg(F.count("*").alias("needed"))
     keyed = b.join(rarest, "item_id").join(needed, "item_id").where("known = needed")  # a word that no training text has rules all out
-    around = has.join(keyed.select("item_id", "b", "key"), "key").where(F.contains("t", "b")).select("row_id", "item_id")
+    near = has.join(keyed.select("item_id", "key"), "key").select("row_id", "item_id")
     word = longest(F.split("b", " "))
     middle = F.substr(word, (F.greatest(F.length(word) - size, F.lit(0)) / 2).cast("int") + 1, F.lit(size))
-    few = b.where(F.size(F.split("b", " ")) < 3).select("item_id", "b", middle.alias("key"))
-    long_words = has.where(F.length("key") >= min(size, longer // 2)).select("row_id", "t", F.explode(grams(F.col("key"), F.lit(size))).alias("key")).distinct()
-    around_few = long_words.join(few, "key").where(F.contains("t", "b")).select("row_id", "item_id")
+    few = b.where(F.size(F.split("b", " ")) < 3).select("item_id", middle.alias("key"))
+    long_words = has.where(F.length("key") >= min(size, longer // 2)).select("row_id", F.explode(grams(F.col("key"), F.lit(size))).alias("key"))
+    near_few = long_words.join(few, "key").select("row_id", "item_id")
     n = F.least(F.length("t"), F.lit(size))
-    parts = b.select("item_id", "b", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("n")).select("item_id", "b", F.explode(grams(F.col("b"), F.col("n"))).alias("key"))
-    within = a.select("row_id", "t", F.substr("t", F.lit(1), n).alias("key")).join(parts, "key").where(F.contains("b", "t")).select("row_id", "item_id")
-    return around.union(around_few).union(within).distinct()
+    parts = b.select("item_id", "b", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("n")).select("item_id", F.explode(grams(F.col("b"), F.col("n"))).alias("key"))
+    inside = a.select("row_id", F.substr("t", F.lit(1), n).alias("key")).join(parts, "key").select("row_id", "item_id")
+    pairs = near.union(near_few).union(inside).distinct()
+    return a.join(pairs, "row_id").join(b, "item_id").where(F.contains("t", "b") | F.contains("b", "t")).select("row_id", "item_id")
 
 
 def shared_paths(train: DataFrame, held_out: DataFrame) -> DataFrame:

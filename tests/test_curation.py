@@ -1,6 +1,7 @@
 """Containment, percentiles, draws and nested rows against plain versions."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -71,3 +72,11 @@ def test_no_content_is_shuffled(spark):
     assert all("content" not in line for line in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line)
     assert {(r.keep, r.n_copies) for r in plan.collect()} == {(f"f{i}", 5) for i in range(4)}
     assert actions.trash_plan(files).count() == 16
+
+
+def test_words_carry_no_text(spark):
+    a = spark.createDataFrame([(1, "some text")], "row_id long, text string")
+    b = spark.createDataFrame([(1, "some held-out text that is longer than forty characters")], "item_id long, text string")
+    plan = curation.contained(a, b)._jdf.queryExecution().executedPlan().toString()
+    exploded = [line for line in plan.split("\n") if "Generate explode" in line]
+    assert exploded and not any(re.search(r"\[row_id#\d+L, t#", line) for line in exploded)
