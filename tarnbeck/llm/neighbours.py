@@ -11,6 +11,8 @@ query's tasks found is joined.
 Vectors are sent with 16 bits an element and scored by their distance, so
 that the order among near copies is kept; what this rounding leaves open at the
 k-th place is ranked by the full vectors.
+Where only neighbours of a least cosine are asked for, see ``CloseIndex``: lists
+are chosen by planes between centroids, and a pair is found from either side.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ class Settings:
     """list_size: vectors a list; hood_lists: lists around a centroid, of which a query searches its own nearest most_lists, and at least least_lists; ratio: distance up to which a list is searched,
     against the nearest; closure: the same for storing in up to most_copies lists; most_regions: regions that a query visits, those with most of its lists;
     region_rows and task_queries: stored vectors and queries of a task, about; group: queries of a home list that go to the same task, about; sample: vectors the centroids are fitted on, or sample_each a centroid if that is more;
-    most_centroids: bounds what every worker holds (beyond it, lists get longer and regions hold fewer of them)."""
+    most_centroids: bounds what every worker holds (beyond it, lists get longer and regions hold fewer of them);
+    sigmas: how unusual the direction between two close vectors may be for the pair to be found all the same."""
 
     list_size: int = 500
     most_lists: int = 88
@@ -55,6 +58,7 @@ class Settings:
     sample: int = 40_000
     sample_each: int = 8
     most_centroids: int = 65_536
+    sigmas: float = 6.0
 
     def lists(self, total: int) -> int:
         return max(1, min(round(total / self.list_size), self.most_centroids))
@@ -156,7 +160,7 @@ class Index:
         self.shares_of_home = np.ceil(length / s.group).astype(np.int64)
         self.region = np.empty(k, np.int32)
         self.regions = 0
-        self.divide(np.arange(k), length, max(int(np.ceil(length.sum() / s.region_rows)), min(round(np.sqrt(cores)), k)))
+        self.divide(np.arange(k), length, self.wished(length.sum(), cores))
         _, _, _, region = self.stored(sample)
         slices = np.ceil(np.bincount(region, minlength=self.regions) * scale * 1.1 / s.region_rows)
         region = np.concatenate([r for _, r, *_ in self.visits(sample)])
@@ -166,6 +170,10 @@ class Index:
         self.first_task = np.cumsum(self.slices * self.parts) - self.slices * self.parts
         self.tasks = int((self.slices * self.parts).sum())
 
+    def wished(self, rows: float, cores: int) -> int:
+        """How many regions there should be."""
+        return max(int(np.ceil(rows / self.settings.region_rows)), min(round(np.sqrt(cores)), len(self.centroids)))
+
     def divide(self, lists: np.ndarray, length: np.ndarray, regions: int) -> None:
         """``regions`` of about as many vectors each, by cutting along the direction in which centroids differ most. A region is a single list at least."""
         if len(lists) == 1 or regions == 1:
@@ -252,6 +260,84 @@ class Index:
         return sims, lists
 
 
+class CloseIndex(Index):
+    """An index for pairs with a cosine of at least ``least``.
+
+    A vector is stored in the list of its nearest centroid, of all centroids. Two vectors a distance d apart lie on their
+    own sides of the plane between their centroids, and one of them lies within d / 2 of it at most. The part of d across a
+    plane is d / sqrt(dim) in the root mean square if directions are even, so half of ``sigmas`` times that is how far (``reach``)
+    a query looks across planes; whoever looks tells the other (``Stored.across``). Centroids fitted on some of a small group of close vectors
+    aren't independent of its directions: a query near a sampled vector looks as far as d / 2. Every list and region
+    that is so near is searched. Only in crowds, where the sample has more than k vectors that near, a query searches
+    most_lists lists for its own k best.
+    """
+
+    def __init__(self, sample: np.ndarray, total: int, s: Settings, cores: int, places: int, least: float) -> None:
+        apart = np.sqrt(2 - 2 * least)
+        self.least, self.half = least, float(apart / 2)
+        self.reach = float(min(1.0, s.sigmas / np.sqrt(sample.shape[1]))) * self.half
+        super().__init__(sample, total, s, cores, places)
+
+    def wished(self, rows: float, cores: int) -> int:
+        return max(int(np.ceil(1.3 * rows / self.settings.region_rows)), min(2 * cores, len(self.centroids)))  # room for uneven ones, so that few need slices
+
+    def blocks(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Similarities to all centroids, some rows at a time."""
+        rows = max(64, (1 << 22) // len(self.centroids))
+        for a in range(0, len(x), rows):
+            yield a, x[a : a + rows] @ self.centroids.T
+
+    def walk(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.argmax(sims, axis=1) for _, sims in self.blocks(x)] or [np.empty(0, np.int64)])
+
+    def stored(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        home = self.walk(x).astype(np.int32)
+        return np.arange(len(x) + 1), home, np.arange(len(x)), self.region[home].astype(np.int64)
+
+    def across(self, sims: np.ndarray, home: np.ndarray, lists: np.ndarray | slice, reach: np.ndarray | float) -> np.ndarray:
+        """Which of some lists are within reach. ``sims``: to these lists, less those to the home."""
+        homes, which = np.unique(home, return_inverse=True)
+        apart = np.sqrt(np.maximum(2 - 2 * (self.centroids[homes] @ self.centroids[lists].T), 0))
+        return sims >= apart.astype(np.float32)[which] * np.float32(-1) * np.reshape(np.asarray(reach, np.float32), (-1, 1)) - np.float32(1e-5)
+
+    def visits(self, x: np.ndarray, near_lists: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """As for ``Index``, for many homes at once; the distance is -1 for what isn't in a crowd (-2 if it looks as far as needed for certain), and the score -9."""
+        s, k = self.settings, len(self.centroids)
+        for a, sims in self.blocks(x):
+            home, best = np.argmax(sims, axis=1), sims.max(axis=1)
+            wanted = self.across(sims - best[:, None], home, slice(None), self.reach)
+            limit, least = np.full(len(sims), -1.0, np.float32), np.full(len(sims), -9.0, np.float32)
+            order = np.argsort(home, kind="stable")
+            nodes, starts = np.unique(home[order], return_index=True)
+            for node, b, e in zip(nodes, starts, [*starts[1:], len(order)]):
+                hood, rows = self.near[node, :near_lists], order[b:e]
+                some = np.concatenate([np.arange(self.sample_at[h], self.sample_at[h + 1]) for h in hood])
+                dots = x[a + rows] @ self.sample[some].T
+                near = dots >= self.least - 1e-4
+                limit[rows[(near & (dots < 1 - 1e-6)).any(axis=1)]] = -2.0
+                crowd = np.flatnonzero(np.count_nonzero(near, axis=1) > self.places)
+                if not len(crowd):
+                    continue
+                dots, rows = dots[crowd], rows[crowd]
+                around = self.near[node]
+                far = np.sqrt(np.maximum(2 - 2 * sims[rows][:, around], 1e-9))
+                last = lambda n: np.partition(far, min(n, len(around)) - 1, axis=1)[:, min(n, len(around)) - 1]
+                limit[rows] = np.maximum(np.minimum(last(s.most_lists), s.ratio * far.min(axis=1)), last(s.least_lists))
+                # the score must come from lists that are searched
+                sizes = self.sample_at[hood + 1] - self.sample_at[hood]
+                dots[np.repeat(far[:, : len(hood)] > limit[rows, None], sizes, axis=1)] = -9.0
+                reached = np.partition(dots, len(some) - self.places - 1, axis=1)[:, len(some) - self.places - 1]
+                least[rows] = np.maximum(reached, self.least) - 1
+                wanted[rows] = False
+                wanted[rows[:, None], around] = far <= limit[rows, None]
+            sure = np.flatnonzero(limit == -2)
+            wanted[sure] = self.across(sims[sure] - best[sure, None], home[sure], slice(None), self.half)
+            row, held = np.nonzero(wanted)
+            key = np.unique(row * self.regions + self.region[held])
+            row = key // self.regions
+            yield a + row, key % self.regions, home[row], limit[row], least[row]
+
+
 ROUTED = "task int, role int, home int, rep long, bound float, least float, ids array<long>, v binary, lists array<int>"
 
 
@@ -274,7 +360,7 @@ def route(classes: DataFrame, index, dim: int) -> DataFrame:
             deal = (np.asarray(b.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
             found = list(ix.visits(x))
             row, region, bound, least = (np.concatenate([f[i] for f in found]) for i in (0, 1, 3, 4))
-            home = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+            home = np.concatenate([np.broadcast_to(f[2], len(f[0])) for f in found])
             own, copy = copies(ix.slices[region])
             row, region, bound, least, home = row[own], region[own], bound[own], least[own], home[own]
             part = (home + deal[row] % ix.shares_of_home[home] * 7) % ix.parts[region]
@@ -289,7 +375,7 @@ def route(classes: DataFrame, index, dim: int) -> DataFrame:
             both = asked[order][at] == there
             yield sent(b, kept[own], pa.array(kept[own]), there % ix.tasks, 0, np.where(both, home[order][at], -1), np.where(both, bound[order][at], 0), np.where(both, least[order][at], -9), lists)
             alone = ~np.isin(asked, there)
-            known = np.isin(row[alone], kept[own][both])  # the ids of a query need to come from one task only
+            known = np.isin(row[alone], kept[own][both]) & (not isinstance(ix, CloseIndex))  # the ids of a query need to come from one task only, unless it is told to others
             yield sent(b, row[alone], pa.array(row[alone], mask=known), asked[alone] % ix.tasks, 1, home[alone], bound[alone], least[alone], pa.nulls(int(alone.sum()), pa.list_(pa.int32())))
 
     return classes.select("rep", "ids", "v").mapInArrow(run, ROUTED)
@@ -336,6 +422,50 @@ class Stored:
             if len(rows):
                 yield from way(x[rows], errors[rows], batch.take(pa.array(rows)), k)
 
+    def close(self, k: int, batch: pa.RecordBatch | None = None, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+        """For a batch of queries from elsewhere, or the stored ones: what a ``CloseIndex`` looks for."""
+        x, errors, batch = (*unpack(batch.column("v"), self.dim), batch) if batch is not None else (*self.own[:2], self.own[2].to_batches()[0] if len(self.asks) else None)
+        for a in range(0, len(x), rows):
+            part = batch.slice(a, rows)
+            crowd = np.asarray(part.column("bound")) >= 0
+            for at, way in ((np.flatnonzero(crowd), self.by_home), (np.flatnonzero(~crowd), self.across)):
+                if len(at):
+                    for out in way(x[a + at], errors[a + at], part.take(pa.array(at)), k):
+                        yield out.filter(pa.array(np.asarray(out.column("found").value_lengths()) > 0))
+
+    def across(self, x: np.ndarray, errors: np.ndarray, batch: pa.RecordBatch, k: int, often: int = 32) -> Iterator[pa.RecordBatch]:
+        """List by list; of what is found, vectors that don't look into the query's list are told of the query."""
+        ix, home, asked = self.ix, np.asarray(batch.column("home")), np.asarray(batch.column("rep"))
+        mine = sided(x - self.centre, True)
+        wanted = ix.across(x @ ix.centroids[self.lists].T - np.einsum("ij,ij->i", x, ix.centroids[home])[:, None], home, self.lists, np.where(np.asarray(batch.column("bound")) == -2, ix.half, ix.reach))
+        best = Best(self, asked, errors, -2.0 * mine[:, self.dim], np.full(len(x), ix.least - 1), k)
+        first, told = best.thr.astype(np.float32), []
+        for i, h in enumerate(self.lists):
+            q = np.flatnonzero(wanted[:, i])
+            if len(q):
+                dots = mine[q] @ self.side[self.bounds[h] : self.bounds[h + 1]].T
+                hot = np.flatnonzero(dots.max(axis=1) >= first[q])
+                dots = dots[hot]
+                at = np.flatnonzero(dots >= first[q[hot], None])
+                row, j, score = q[hot[at // dots.shape[1]]], self.bounds[h] + at % dots.shape[1], dots.ravel()[at]
+                may = score >= best.thr[row]
+                best.pile.append((row[may], j[may], score[may]))
+                other = np.flatnonzero(home[row] != h)
+                plane = ix.centroids[h] - ix.centroids[home[row[other]]]
+                beyond = other[np.einsum("ij,ij->i", self.x[j[other]], plane) > ix.reach * np.linalg.norm(plane, axis=1) - 1e-5]
+                told.append((row[beyond], j[beyond], score[beyond]))
+            if i % often == often - 1:
+                best.merge()
+        yield best.result(batch)
+        row, j, score = (np.concatenate(t) for t in zip(*told)) if told else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        if len(row):
+            j = self.member[j]
+            ids = batch.column("ids").take(pa.array(row))
+            n = np.asarray(ids.value_lengths())
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            off = np.nextafter(best.doubt(score, row, self.error[j]).astype(np.float32), np.float32(9))
+            yield pa.RecordBatch.from_arrays([pa.array(self.reps[j]), pa.nulls(len(row), pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, ids.flatten()), pa.ListArray.from_arrays(ends, pa.array(np.repeat(np.minimum(score, 0), n).astype(np.float32))), pa.array(off)], names=["rep", "ids", "found", "score", "doubt"])
+
     def by_list(self, x: np.ndarray, errors: np.ndarray, batch: pa.RecordBatch, k: int, often: int = 32) -> Iterator[pa.RecordBatch]:
         """All queries against one list after the other; scores around the centre of all that is stored."""
         mine = sided(x - self.centre, True)
@@ -461,7 +591,7 @@ class Best:
 def settled(partial: DataFrame, k: int) -> DataFrame:
     """(rep, ids, found, score, open, places): from what the tasks of a query found, the ids that are sure, best first, and for the remaining places all that may have them."""
     both = F.collect_list(F.struct("found", "score"))
-    joined = partial.groupBy("rep").agg(F.first("ids", ignorenulls=True).alias("ids"), both.alias("b"), F.max("doubt").alias("doubt"))
+    joined = partial.groupBy("rep").agg(F.coalesce(F.first("ids", ignorenulls=True), F.array("rep")).alias("ids"), both.alias("b"), F.max("doubt").alias("doubt"))
     joined = joined.select("rep", "ids", F.flatten("b.found").alias("found"), F.flatten("b.score").alias("score"), "doubt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,7 +689,7 @@ def expanded(results: DataFrame, k: int) -> DataFrame:
     return results.mapInArrow(run, "id long, neighbour long, rank int, cosine double")
 
 
-def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Settings()) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Settings(), least: float | None = None) -> DataFrame:
     """(id, neighbour, rank, cosine): the k most similar other vectors of every usable vector.
 
     ``df`` needs chunk_id and vector; other columns are ignored. Usable is a
@@ -571,6 +701,8 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     are the k of the lists searched is decided by the full vectors where that
     is too coarse. Approximate in the lists searched: see the README for recall. Of many equal vectors only the k + 1 smallest ids
     are carried along, which is all that any list of k can show.
+
+    With ``least``, neighbours with a smaller cosine are looked for no further and mostly left out.
     """
     spark = df.sparkSession
     stages = Stages(spark, "neighbours")
@@ -592,7 +724,8 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
     if not drawn:
         drawn = classes.orderBy("rep").select("v").limit(64).collect()
     sample, _ = unpack(pa.array([bytes(r.v) for r in drawn], pa.binary()), dim)
-    ix = Index(sample, total, settings, max(2, spark.sparkContext.defaultParallelism // 2), k)
+    cores = max(2, spark.sparkContext.defaultParallelism // 2)
+    ix = Index(sample, total, settings, cores, k) if least is None else CloseIndex(sample, total, settings, cores, k, least)
     index = spark.sparkContext.broadcast(ix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -604,18 +737,22 @@ def nearest(df: DataFrame, k: int = 10, dim: int = 64, settings: Settings = Sett
             if n < b.num_rows and rows:
                 if stored is None:
                     stored = Stored(pa.Table.from_batches(rows), index.value, dim)
-                    yield from stored.own_answers(k)
-                yield from stored.answers(b.slice(n), k)
+                    yield from stored.own_answers(k) if least is None else stored.close(k)
+                yield from stored.answers(b.slice(n), k) if least is None else stored.close(k, b.slice(n))
         if rows and stored is None:
-            yield from Stored(pa.Table.from_batches(rows), index.value, dim).own_answers(k)
+            stored = Stored(pa.Table.from_batches(rows), index.value, dim)
+            yield from stored.own_answers(k) if least is None else stored.close(k)
 
     routed = route(spread(classes), index, dim).repartitionById(ix.tasks, "task").sortWithinPartitions("role", "home")
-    results = stages.keep(settled(routed.mapInArrow(run, PARTIAL), k))
+    partial = routed.mapInArrow(run, PARTIAL)
+    if least is not None:  # equal vectors are neighbours even if nothing else was found
+        partial = partial.unionByName(lists.selectExpr("rep", "ids", "cast(array() as array<bigint>) found", "cast(array() as array<float>) score", "cast(0 as float) doubt"))
+    results = stages.keep(settled(partial, k))
     late = ranked_open(results, df)
     found = F.concat("found", F.coalesce("late", F.array().cast("array<long>")))
     score = F.concat("score", F.coalesce("late_score", F.array().cast("array<float>")))
     results = results.join(late, "rep", "left").select("rep", "ids", found.alias("found"), score.alias("score"))
-    members = classes.select(F.col("rep").alias("id"), "rep").unionByName(copies)
+    members = (classes if least is None else results).select(F.col("rep").alias("id"), "rep").unionByName(copies)
     return expanded(members.join(results, "rep").select("id", "ids", "found", "score"), k)
 
 

@@ -62,7 +62,7 @@ def p3_report(table) -> DataFrame:
 
 @query
 def p4_found(table) -> DataFrame:
-    return close_pairs(nearest(table("chunks")), table("chunks"))
+    return close_pairs(nearest(table("chunks"), least=0.90), table("chunks"))
 
 
 @query

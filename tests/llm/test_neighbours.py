@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.neighbours import Index, Settings, centroids_of, close_pairs, kmeans, nearest, packed, route
+from tarnbeck.llm.neighbours import CloseIndex, Index, Settings, centroids_of, close_pairs, kmeans, nearest, packed, route
 
 SCHEMA = "chunk_id long, vector array<float>"
 
@@ -105,3 +105,52 @@ def test_two_levels_of_centroids_are_about_as_near():
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     near = [(x @ c.T).max(axis=1).mean() for c in (kmeans(x, 300, rng), centroids_of(x, 300, rng, flat=50))]
     assert len(centroids_of(x, 300, rng, flat=50)) == 300 and near[1] >= 0.97 * near[0]
+
+
+def pairs_of(ids, x, least=0.9):
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    at = {i: n for n, i in enumerate(ids)}
+    return {(min(i, j), max(i, j)) for i, js in exact(ids, x, 10).items() for j in js if unit[at[i]] @ unit[at[j]] >= least}
+
+
+def test_close_pairs_across_many_lists(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8, 64))[rng.integers(0, 8, 5000)] * 0.8 + rng.normal(size=(5000, 64))
+    step = rng.normal(size=(2000, 64))
+    x = np.concatenate([x, x[:2000] + step * (np.linspace(0.1, 0.48, 2000) * np.linalg.norm(x[:2000], axis=1) / np.linalg.norm(step, axis=1))[:, None]])
+    groups = rng.normal(size=(40, 64))  # of 30 each, so that ten aren't all, and too small for a sample to show
+    x = np.concatenate([x, (groups[:, None] + 0.25 * rng.normal(size=(40, 30, 64))).reshape(-1, 64)]).astype(np.float32)
+    ids = rng.permutation(len(x)) + 1
+    df, want = frame(spark, zip(ids, x)), pairs_of(ids, x.astype(np.float64))
+    got = [tuple(r) for r in close_pairs(nearest(df, settings=Settings(list_size=20, region_rows=1000, sample=2000), least=0.9), df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_close_pairs_in_a_crowd(spark):
+    rng = np.random.default_rng(9)
+    for near in (0.4, 0.155, 0.004):
+        step = rng.normal(size=(1200, 64))
+        hot = rng.normal(size=64)
+        x = np.concatenate([hot / np.linalg.norm(hot) + near * step / np.linalg.norm(step, axis=1)[:, None], rng.normal(size=(1200, 64))]).astype(np.float32)
+        ids = rng.permutation(2400) + 1
+        df, want = frame(spark, zip(ids, x)), pairs_of(ids, x.astype(np.float64))
+        got = {tuple(r) for r in close_pairs(nearest(df, settings=Settings(most_lists=256, least_lists=256, region_rows=800), least=0.9), df).collect()}
+        assert got == want, (near, len(want - got), len(got - want))
+
+
+def test_close_pairs_of_equal_few_and_no_vectors(spark):
+    base = list(np.eye(64)[0])
+    df = frame(spark, [(i, base) for i in range(30)] + [(100, [2 * z for z in base]), (101, np.eye(64)[1]), (200, None), (202, [0.0] * 64)])
+    x = np.array([base] * 31)
+    assert {tuple(r) for r in close_pairs(nearest(df, least=0.9), df).collect()} == pairs_of([*range(30), 100], x)
+    for rows, n in (([], 0), ([(1, base)], 0), ([(1, base), (2, base)], 1), ([(1, base), (2, np.eye(64)[1])], 0)):
+        df = frame(spark, rows)
+        assert close_pairs(nearest(df, least=0.9), df).count() == n
+
+
+def test_nearest_list_is_never_missed():
+    rng = np.random.default_rng(10)
+    x = (rng.normal(size=(9, 64))[rng.integers(0, 9, 20_000)] * 0.5 + rng.normal(size=(20_000, 64))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ix = CloseIndex(x, 20_000, Settings(list_size=20), 4, 10, 0.9)
+    assert (ix.walk(x[:3000]) == np.argmax(x[:3000] @ ix.centroids.T, axis=1)).all()
